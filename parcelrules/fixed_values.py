@@ -143,7 +143,6 @@ ZONE_MENTION_PATTERNS = [
 MAX_ZONE_MENTION_LENGTH = 50
 
 # --- Number repair: values and ranges ---
-SUSPICIOUS_ABOVE = 50000
 PLAUSIBLE_LOT_AREA = (1000, 50000)
 TWO_DIGIT_PREFIXES = ["10", "11", "12", "20", "21", "22", "30", "31", "32"]
 KNOWN_LOT_AREAS = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from parcelrules import fixed_values as fv
-from parcelrules.functions.text import drop_footnotes, strip
+from parcelrules.functions.text import drop_footnotes, let, strip
 
 # Spark's cast also takes '25f' or '25d'; only plain decimal notation counts here.
 DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -25,29 +25,26 @@ def _within(number: Column, bounds: tuple[int, int]) -> Column:
     return number.between(F.lit(bounds[0]), F.lit(bounds[1]))
 
 
+# A five- or six-digit area above 50,000 whose last four digits are a plausible
+# area of 1,000 or more, after one digit or one of the two-digit prefixes.
+GLUED_AREA = "^(?:[5-9]|" + "|".join(fv.TWO_DIGIT_PREFIXES) + ")([1-9][0-9]{3})$"
+
+
 def clean_numeric(text: Column) -> Column:
     """Drop footnotes, then a footnote digit in front of a suspiciously large area.
 
     Commas are ignored while looking, but kept in text that is not repaired, so
     '8,000' stays unparsable while '65,000' becomes '5000'.
     """
-    cleaned = drop_footnotes(strip(text))
-    digits = F.translate(cleaned, ", ", "")
-    value = digits.try_cast("bigint")
-    without_one, without_two = F.substring(digits, 2, 20), F.substring(digits, 3, 20)
-    too_large = digits.rlike("^[0-9]+$") & (value > fv.SUSPICIOUS_ABOVE)
-    return (
-        F.when(too_large & (F.length(digits) == 5)
-               & _within(without_one.try_cast("bigint"), fv.PLAUSIBLE_LOT_AREA), without_one)
-        .when(too_large & (F.length(digits) == 6)
-              & F.substring(digits, 1, 2).isin(fv.TWO_DIGIT_PREFIXES)
-              & _within(without_two.try_cast("bigint"), fv.PLAUSIBLE_LOT_AREA), without_two)
-        .otherwise(cleaned)
-    )
+    def repaired(cleaned: Column) -> Column:
+        area = F.regexp_extract(F.translate(cleaned, ", ", ""), GLUED_AREA, 1)
+        return F.when(area != "", area).otherwise(cleaned)
+
+    return let(drop_footnotes(strip(text)), repaired)
 
 
 def number_from_text(text: Column) -> Column:
-    return parse_double(clean_numeric(text))
+    return let(clean_numeric(text), parse_double)
 
 
 def footnote_digit(zone_name: Column) -> Column:

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from parcelrules import fixed_values as fv
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+# Every character that counts as white space, not only the blank.
+WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(text: Column) -> Column:
-    """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -18,9 +29,10 @@ def blank_to_null(text: Column) -> Column:
 
 def drop_footnotes(text: Column) -> Column:
     """Remove superscripts, ``^n`` and ``(n)``, in that order."""
+    cleaned = text
     for pattern in (fv.SUPERSCRIPT_RUN, fv.CARET_NOTE, fv.BRACKET_NOTE):
-        text = F.regexp_replace(text, pattern, "")
-    return text
+        cleaned = F.regexp_replace(cleaned, pattern, "")
+    return F.when(text.rlike(f"[{fv.SUPERSCRIPTS}^(]"), cleaned).otherwise(text)
 
 
 def clean_zone_name(name: Column) -> Column:

@@ -1,7 +1,8 @@
 """Reading semi-structured zone objects.
 
-A key that holds a JSON null is present (a non-NULL variant); a missing key is
-NULL. ``coalesce`` over untyped paths is therefore "first key that exists".
+An object is held as ``map<string,variant>``. A key with a JSON null is present
+(its value is a non-NULL variant); a missing key gives NULL. ``coalesce`` over
+look-ups is therefore "the first key that exists".
 """
 
 from __future__ import annotations
@@ -10,31 +11,40 @@ from pyspark.sql import Column, functions as F
 
 from parcelrules import fixed_values as fv
 from parcelrules.functions.numeric import number_from_text, parse_int
-from parcelrules.functions.text import blank_to_null
+from parcelrules.functions.text import blank_to_null, let
 
+OBJECT = "map<string,variant>"
+OBJECTS = f"array<{OBJECT}>"
 
-def get(obj: Column, key: str) -> Column:
-    return F.try_variant_get(obj, f"$.{key}", "variant")
 
+def as_object(value: Column) -> Column:
+    """The value as an object, NULL when it is anything else."""
+    return F.try_variant_get(value, "$", OBJECT)
 
-def text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
 
+def as_objects(value: Column) -> Column:
+    """A list's elements as objects (NULL where an element is none); NULL for no list."""
+    return F.try_variant_get(value, "$", OBJECTS)
 
-def kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+
+def elements(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(kind(value), F.lit("OBJECT")), F.lit(False))
+def text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
 
-def is_string(value: Column) -> Column:
-    return kind(value) == "STRING"
+def double(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "double")
+
+
+def kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
 
 
 def text_if_string(value: Column) -> Column:
-    return F.when(is_string(value), text(value))
+    return let(value, lambda v: F.when(kind(v) == "STRING", text(v)))
 
 
 def is_given(value: Column) -> Column:
@@ -42,39 +52,36 @@ def is_given(value: Column) -> Column:
     return value.isNotNull() & ~F.is_variant_null(value)
 
 
-def elements(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
-
-
 def number(value: Column) -> Column:
     """A JSON number as it is; a JSON string after footnote and digit repair."""
-    return F.when(is_string(value), number_from_text(text(value))).otherwise(
-        F.try_variant_get(value, "$", "double"))
+    return let(value, lambda v: F.when(v.isNull(), F.lit(None).cast("double"))
+               .when(kind(v) == "STRING", number_from_text(text(v))).otherwise(double(v)))
 
 
 def whole_number(value: Column) -> Column:
     """A JSON number truncated; a JSON string only if it is a whole number."""
-    return F.when(is_string(value), parse_int(text(value))).otherwise(
-        F.try_variant_get(value, "$", "double").try_cast("int"))
+    return let(value, lambda v: F.when(kind(v) == "STRING", parse_int(text(v)))
+               .otherwise(double(v).try_cast("int")))
 
 
 def first_present(scopes: list[Column], keys: list[str]) -> Column:
-    return F.coalesce(*[get(scope, key) for scope in scopes for key in keys])
+    return F.coalesce(*[scope[key] for scope in scopes for key in keys])
 
 
 def group_object(zone: Column, group: str) -> Column:
     """The first of the group's key names that holds an object."""
-    candidates = [get(zone, name) for name in fv.GROUP_KEYS[group]]
-    return F.coalesce(*[F.when(is_object(c), c) for c in candidates])
+    return F.coalesce(*[as_object(zone[name]) for name in fv.GROUP_KEYS[group]])
 
 
 def shown_name(value: Column) -> Column:
     """A zone name as text; blank, zero, false and empty values count as absent."""
-    what = kind(value)
-    return (
-        F.when(what == "STRING", blank_to_null(text(value)))
-        .when(what == "BOOLEAN", F.when(text(value) == "true", F.lit("True")))
-        .when(what.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
-              F.when(F.try_variant_get(value, "$", "double") != 0, text(value)))
-        .when(what.rlike("^(OBJECT|ARRAY)"), F.when(~text(value).isin("{}", "[]"), text(value)))
-    )
+    def shown(v: Column) -> Column:
+        what = kind(v)
+        return (
+            F.when(v.isNull(), F.lit(None).cast("string"))
+            .when(what == "STRING", blank_to_null(text(v)))
+            .when(what == "BOOLEAN", F.when(text(v) == "true", F.lit("True")))
+            .when(what.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.when(double(v) != 0, text(v)))
+            .when(what.rlike("^(OBJECT|ARRAY)"), F.when(~text(v).isin("{}", "[]"), text(v))))
+
+    return let(value, shown)
