@@ -79,7 +79,8 @@ def fix_lot_area(area: Column, zone_name: Column, mode: str = "compatible") -> C
     small = (F.length(shown) == 5) & F.substring(shown, 1, 1).isin("1", "2", "3") & _within(rest, fv.SMALL_LOT_AREA)
     large = ((area > fv.LARGE_LOT_ABOVE) & (F.length(shown) > 4) & zone_name.isNotNull()
              & _within(rest, fv.PLAUSIBLE_LOT_AREA))
-    return (repaired.when(small, rest.cast("double"))
+    # Nothing below 10,000 has a digit to lose.
+    return (F.when(area < 10000, area).when(known[area].isNotNull(), known[area]).when(small, rest.cast("double"))
             .when(by_digit, rest.cast("double"))
             .when(large, rest.cast("double"))
             .otherwise(area))

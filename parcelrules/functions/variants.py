@@ -1,34 +1,34 @@
-"""Reading semi-structured zone objects.
+"""Reading semi-structured values.
 
-An object is held as ``map<string,variant>``. A key with a JSON null is present
-(its value is a non-NULL variant); a missing key gives NULL. ``coalesce`` over
-look-ups is therefore "the first key that exists".
+A key with a JSON null is present (its value is a non-NULL variant); a missing
+key gives NULL. ``coalesce`` over untyped values is therefore "the first key that
+exists". Objects with known keys are read as structs of variants, which makes a
+look-up a field access; objects whose keys matter themselves are read as maps.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from parcelrules import fixed_values as fv
 from parcelrules.functions.numeric import number_from_text, parse_int
 from parcelrules.functions.text import blank_to_null, let
 
-OBJECT = "map<string,variant>"
-OBJECTS = f"array<{OBJECT}>"
+MAP = "map<string,variant>"
 
 
-def as_object(value: Column) -> Column:
-    """The value as an object, NULL when it is anything else."""
-    return F.try_variant_get(value, "$", OBJECT)
+def struct_of(keys: list[str]) -> str:
+    """The type of an object of which only these keys are read."""
+    return "struct<" + ",".join(f"`{k}`:variant" for k in dict.fromkeys(keys)) + ">"
 
 
-def as_objects(value: Column) -> Column:
-    """A list's elements as objects (NULL where an element is none); NULL for no list."""
-    return F.try_variant_get(value, "$", OBJECTS)
+def as_map(value: Column) -> Column:
+    """The value as an object, NULL when it is anything else."""
+    return F.try_variant_get(value, "$", MAP)
 
 
-def elements(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+def as_maps(value: Column) -> Column:
+    """A list's elements as objects (NULL where an element is none); NULL for no list."""
+    return F.try_variant_get(value, "$", f"array<{MAP}>")
 
 
 def text(value: Column) -> Column:
@@ -52,10 +52,16 @@ def is_given(value: Column) -> Column:
     return value.isNotNull() & ~F.is_variant_null(value)
 
 
+# A short plain number reads the same as text and as number: nothing to repair.
+SHORT_PLAIN = r"^-?[0-9]{1,4}(\.[0-9]{1,6})?$"
+
+
 def number(value: Column) -> Column:
     """A JSON number as it is; a JSON string after footnote and digit repair."""
-    return let(value, lambda v: F.when(v.isNull(), F.lit(None).cast("double"))
-               .when(kind(v) == "STRING", number_from_text(text(v))).otherwise(double(v)))
+    nothing = F.lit(None).cast("double")
+    return let(value, lambda v: F.when(v.isNull(), nothing).otherwise(let(
+        text(v), lambda t: F.when(t.isNull(), nothing).when(t.rlike(SHORT_PLAIN), t.try_cast("double"))
+        .when(kind(v) == "STRING", number_from_text(t)).otherwise(double(v)))))
 
 
 def whole_number(value: Column) -> Column:
@@ -64,15 +70,6 @@ def whole_number(value: Column) -> Column:
                .otherwise(double(v).try_cast("int")))
 
 
-def first_present(scopes: list[Column], keys: list[str]) -> Column:
-    return F.coalesce(*[scope[key] for scope in scopes for key in keys])
-
-
-def group_object(zone: Column, group: str) -> Column:
-    """The first of the group's key names that holds an object."""
-    return F.coalesce(*[as_object(zone[name]) for name in fv.GROUP_KEYS[group]])
-
-
 def shown_name(value: Column) -> Column:
     """A zone name as text; blank, zero, false and empty values count as absent."""
     def shown(v: Column) -> Column:

@@ -19,15 +19,29 @@ from parcelrules.functions.text import let
 
 # --- parsing --------------------------------------------------------------------
 
-def strict_json(raw: Column) -> Column:
-    """The JSON value a text is; null when anything but white space follows it.
+ZONE_KEYS = [*fv.ZONE_NAME_KEYS, *[n for names in fv.GROUP_KEYS.values() for n in names],
+             *[k for _, flat, keys in fv.FIELD_ALIASES.values() if flat for k in keys],
+             *[k for keys in fv.ACCESSORY_FALLBACK_KEYS.values() for k in keys]]
+ZONE = v.struct_of(ZONE_KEYS)
+BODY = v.struct_of(["raw_response", "extracted_town", "extracted_county", "extraction_confidence", *fv.ZONE_ARRAY_KEYS])
 
-    The JSON reader alone stops at the end of the first value, so the text is
-    read as the only element of an array.
-    """
+
+def framed(raw: Column) -> Column:
+    """The text read as the only element of a list; a JSON reader alone would stop
+    at the end of the first value and not see what follows it."""
     complete = F.right(text.strip(raw), F.lit(1)).rlike(r'[}\]"0-9el]')
-    framed = F.try_parse_json(F.when(complete, F.concat(F.lit("["), raw, F.lit("]"))))
-    return let(v.elements(framed), lambda one: F.when(F.size(one) == 1, one[0]))
+    return F.try_parse_json(F.when(complete, F.concat(F.lit("["), raw, F.lit("]"))))
+
+
+def is_one(frame: Column) -> Column:
+    """The text was one JSON value and nothing else."""
+    return (F.try_variant_get(frame, "$[0]", "variant").isNotNull()
+            & F.try_variant_get(frame, "$[1]", "variant").isNull())
+
+
+def strict_json(raw: Column) -> Column:
+    """The JSON value a text is; null when anything but white space surrounds it."""
+    return let(framed(raw), lambda f: F.when(is_one(f), F.try_variant_get(f, "$[0]", "variant")))
 
 
 def repair_json(raw: Column) -> Column:
@@ -45,41 +59,48 @@ def envelope(content: Column) -> Column:
     return F.when(strict_json(content).isNotNull(), content).otherwise(wrapped)
 
 
-def zones_from_any_list(body: Column) -> Column:
+def zones_from_any_list(source: Column) -> Column:
     """The first list, in document order, whose first item is an object that names a zone."""
-    entries = F.map_values(F.from_json(F.to_json(body), v.OBJECT))
-    lists = F.transform(entries, v.as_objects)
     naming = F.array(*[F.lit(k) for k in fv.ZONE_MARKER_KEYS])
-    return F.get(F.filter(lists, lambda zones: (F.size(zones) > 0)
-                          & F.arrays_overlap(F.map_keys(F.get(zones, F.lit(0))), naming)), F.lit(0))
+    entries = F.map_values(F.from_json(source, v.MAP))
+    return F.get(F.filter(entries, lambda value: F.coalesce(F.arrays_overlap(F.map_keys(
+        F.try_variant_get(value, "$[0]", v.MAP)), naming), F.lit(False))), F.lit(0))
+
+
+def as_zones(value: Column) -> Column:
+    """A list's elements as zone objects (NULL where an element is none)."""
+    return F.try_variant_get(value, "$", f"array<{ZONE}>")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """Add ``body`` (an object), ``outcome`` and ``zones`` (list of objects).
+    """Add ``outcome``, ``body`` (the keys that matter) and ``zones`` (list of objects).
 
     ``outcome`` is 'json' when the text, its repaired form or its inner
     ``raw_response`` could be read, 'text' when only the text is left.
     """
-    raw = F.col("response_text")
-    read = responses.withColumn("_value", strict_json(raw))
-    read = read.withColumn("_value", F.coalesce("_value", F.when(F.col("_value").isNull(),
-                                                                 strict_json(repair_json(raw)))))
-    read = read.withColumn("_object", v.as_object(F.col("_value")))
-    read = read.withColumn("_inner", v.text_if_string(F.col("_object")["raw_response"]))
-    inner = strict_json(F.col("_inner"))
-    read = read.withColumn("_inner_value", F.when(F.col("_inner").isNotNull(), inner))
-    unread = F.col("_value").isNull() | (F.col("_inner").isNotNull() & F.col("_inner_value").isNull())
-    parsed = read.withColumns({
-        "outcome": F.when(unread, F.lit("text")).otherwise(F.lit("json")),
-        "body": F.when(F.col("_inner").isNull(), F.col("_object")).otherwise(v.as_object(F.col("_inner_value")))})
+    keep, raw = responses.columns, F.col("response_text")
+    one = is_one(F.col("_f"))
+    step = responses.withColumn("_f", framed(raw))
+    step = step.select(*keep, F.when(one, raw).otherwise(repair_json(raw)).alias("_source"),
+                       F.when(one, F.col("_f")).otherwise(framed(repair_json(raw))).alias("_f"))
+    step = step.select(*keep, "_source", F.coalesce(one, F.lit(False)).alias("_read"),
+                       F.when(one, F.try_variant_get("_f", "$[0]", BODY)).alias("body"))
+    wrapped = F.col("body.raw_response")
+    step = step.withColumn("_inner", F.when(v.kind(wrapped) == "STRING", v.text(wrapped)))
+    step = step.withColumn("_f", F.when(F.col("_inner").isNotNull(), framed(F.col("_inner"))))
+    plain = F.col("_inner").isNull()
+    step = step.select(
+        *keep, F.when(plain, F.col("_source")).otherwise(F.col("_inner")).alias("_source"),
+        F.when(F.col("_read") & (plain | one), F.lit("json")).otherwise(F.lit("text")).alias("outcome"),
+        F.when(plain, F.col("body")).when(one, F.try_variant_get("_f", "$[0]", BODY)).alias("body"))
     # The first key that is present decides, even if it holds an empty list.
-    known = F.coalesce(*[F.col("body")[k] for k in fv.ZONE_ARRAY_KEYS])
-    found = parsed.withColumn("_known", known).withColumn("_zones", v.as_objects(F.col("_known")))
+    known = F.coalesce(*[F.col(f"body.{k}") for k in fv.ZONE_ARRAY_KEYS])
+    step = step.withColumn("_known", known).withColumn("_zones", as_zones(F.col("_known")))
     nothing = F.col("_known").isNull() | (F.size("_zones") == 0) | (
         F.col("_zones").isNull() & F.to_json("_known").isin("{}", '""'))
-    whole = F.coalesce(F.col("_inner_value"), F.col("_value"))
-    zones = F.when(F.col("body").isNotNull(), F.when(nothing, zones_from_any_list(whole)).otherwise(F.col("_zones")))
-    return found.withColumn("zones", zones).select(*responses.columns, "outcome", "body", "zones")
+    zones = F.when(F.col("body").isNotNull(), F.when(
+        F.coalesce(nothing, F.lit(False)), as_zones(zones_from_any_list(F.col("_source")))).otherwise(F.col("_zones")))
+    return step.select(*keep, "outcome", "body", zones.alias("zones"))
 
 
 def zone_mentions(raw: Column) -> Column:
@@ -97,7 +118,8 @@ def with_place(parsed: DataFrame) -> DataFrame:
     user_county = text.strip(F.coalesce("county", F.lit("")))
     state = text.strip(F.coalesce(F.nullif(F.col("state"), F.lit("")), F.lit(fv.DEFAULT_STATE)))
     unknown = F.lower(user_town).isin("", "unknown")
-    said = lambda key: text.blank_to_null(v.text_if_string(F.col("body")[key]))
+    said = lambda key: F.when(v.kind(F.col(f"body.{key}")) == "STRING",
+                              text.blank_to_null(v.text(F.col(f"body.{key}"))))
     named = F.coalesce(said("extracted_town"), text.town_from_filename(F.col("filename")),
                        F.concat(F.lit("Job_"), F.substring("job_id", 1, 8)))
     town = (F.when(F.col("outcome") == "text", F.when(unknown, F.lit(fv.PENDING_TOWN)).otherwise(user_town))
@@ -115,20 +137,23 @@ def zone_name(zone: Column) -> Column:
     return F.coalesce(text.clean_zone_name(name), F.lit(fv.UNKNOWN_ZONE))
 
 
-def area_zone_name(zone: Column) -> Column:
+def area_zone_name(name: Column) -> Column:
     """What the lot-area repair sees of a name: '' when missing, null when not a text."""
-    return let(zone["zone_name"], lambda named: F.when(named.isNull(), F.lit(""))
+    return let(name, lambda named: F.when(named.isNull(), F.lit(""))
                .when(v.kind(named) == "STRING", v.text(named)))
 
 
-def groups(zone: Column) -> list[Column]:
-    return [v.group_object(zone, g).alias(g) for g in fv.GROUP_KEYS]
+def _group(name: str) -> Column:
+    """The first of a group's names that holds an object."""
+    keys = v.struct_of([k for group, _, aliases in fv.FIELD_ALIASES.values() if group == name for k in aliases])
+    return F.coalesce(*[F.try_variant_get(f"zone_object.{n}", "$", keys) for n in fv.GROUP_KEYS[name]])
 
 
-def raw_field(found: Column, field: str) -> Column:
+def _field(field: str) -> Column:
     """The untyped value of a field: its aliases in the group, then in the zone object."""
     group, flat, keys = fv.FIELD_ALIASES[field]
-    return v.first_present([found[group], found["zone"]] if flat else [found[group]], keys)
+    scopes = [f"_{group}", "zone_object"] if flat else [f"_{group}"]
+    return F.coalesce(*[F.col(f"{scope}.{key}") for scope in scopes for key in keys])
 
 
 def with_fallbacks(fields: dict[str, Column], yards: dict[str, Column]) -> dict[str, Column]:
@@ -149,7 +174,7 @@ def zone_rows(placed: DataFrame) -> DataFrame:
     several zones with one name (ignoring case) is taken.
     """
     mentioned = F.transform(zone_mentions(F.col("response_text")),
-                            lambda z: F.create_map(F.lit("zone"), z.cast("variant")))
+                            lambda z: F.try_variant_get(F.parse_json(F.to_json(F.struct(z.alias("zone")))), "$", ZONE))
     listed = F.when(F.col("outcome") == "text", mentioned).otherwise(F.col("zones"))
     whole = let(listed, lambda zones: let(
         F.array_position(F.transform(zones, lambda z: z.isNull()), F.lit(True)).cast("int"),
@@ -172,28 +197,27 @@ NUMBER_FIELDS = [f for f in fv.RULE_FIELDS if f not in fv.INTEGER_FIELDS]
 
 def typed_fields(zones: DataFrame, mode: str = "compatible") -> DataFrame:
     """Replace ``zone_object`` by the 29 rule fields."""
-    # Staged lambdas over a one-element array: look-ups, then conversions.
-    staged = F.transform(F.array("zone_object"), lambda z: F.struct(z.alias("zone"), *groups(z)))
-    raw = F.transform(staged, lambda s: F.struct(
-        F.array(*[raw_field(s, f) for f in NUMBER_FIELDS],
-                *[v.first_present([s["zone"]], keys) for keys in fv.ACCESSORY_FALLBACK_KEYS.values()]).alias("values"),
-        raw_field(s, "max_height_stories").alias("stories"), area_zone_name(s["zone"]).alias("area_name")))
-    found = zones.withColumn("_raw", F.element_at(raw, 1))
-    found = found.withColumn("_numbers", F.transform("_raw.values", v.number))
+    grouped = zones.withColumns({f"_{g}": _group(g) for g in fv.GROUP_KEYS})
+    spare = [F.coalesce(*[F.col(f"zone_object.{k}") for k in keys]) for keys in fv.ACCESSORY_FALLBACK_KEYS.values()]
+    found = grouped.select(
+        *[c for c in zones.columns if c != "zone_object"],
+        F.array(*[_field(f) for f in NUMBER_FIELDS], *spare, _field("max_height_stories")).alias("_values"),
+        F.col("zone_object.zone_name").alias("_name"))
+    found = found.withColumn("_numbers", F.transform("_values", v.number))
     found = found.withColumn("_area", let(F.col("_numbers")[0], lambda a: numeric.fix_lot_area(
-        a, F.col("_raw.area_name"), mode)))
+        a, area_zone_name(F.col("_name")), mode)))
     cell = {f: F.col("_numbers")[i] for i, f in enumerate(NUMBER_FIELDS)}
     yards = {f: F.col("_numbers")[len(NUMBER_FIELDS) + i] for i, f in enumerate(fv.ACCESSORY_FALLBACK_KEYS)}
     cell["interior_min_lot_area_sqft"] = F.col("_area")
     cell = with_fallbacks(cell, yards)
-    cell["max_height_stories"] = v.whole_number(F.col("_raw.stories"))
+    cell["max_height_stories"] = v.whole_number(F.element_at("_values", -1))
     return found.select(
         *[c for c in zones.columns if c != "zone_object"], *[cell[f].alias(f) for f in fv.RULE_FIELDS],
-        v.number(F.col("_raw.stories")).alias("max_height_stories_exact"))
+        F.element_at("_numbers", -1).alias("max_height_stories_exact"))
 
 
 def confidence() -> Column:
-    given = F.col("body")["extraction_confidence"]
+    given = F.col("body.extraction_confidence")
     return (F.when(F.col("outcome") == "text", F.lit(fv.REGEX_CONFIDENCE))
             .when(given.isNull(), F.lit(fv.DEFAULT_CONFIDENCE))
             .otherwise(v.double(given)))

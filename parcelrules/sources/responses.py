@@ -82,3 +82,97 @@ def zone_values(spark: SparkSession, folder: str) -> DataFrame:
 
 def extraction_responses(spark: SparkSession, folder: str) -> DataFrame:
     return bind_sql(spark, folder, RESPONSES_SQL)
+
+
+# Verified zones: up to eight per document, one per name.
+TRUTH_SQL = """
+    SELECT min(p_partkey) AS id, CAST(FLOOR(p_partkey / 8) AS BIGINT) AS ground_truth_doc_id,
+           'Z-' || CAST(p_size % 10 AS VARCHAR(10)) AS zone,
+           max(CAST(p_retailprice * 10 AS DOUBLE)) AS interior_min_lot_area_sqft,
+           max(CAST(p_size AS DOUBLE)) AS principal_front_yard_ft,
+           max(CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 2 END) AS principal_side_yard_ft,
+           max(CAST(25 + p_size % 4 * 5 AS DOUBLE)) AS max_height_feet_total,
+           max(CASE WHEN p_size % 3 = 0 THEN CAST(1.5 AS DOUBLE) ELSE NULL END) AS maximum_far
+    FROM {part} WHERE p_size % 10 <> 9 GROUP BY 2, 3"""
+
+# What two runs of an extractor said about the same documents.
+PREDICTED_SQL = """
+    SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) * 2 + v AS test_id,
+           CAST(FLOOR(p_partkey / 8) AS BIGINT) AS ground_truth_doc_id, p_partkey AS k, p_size AS s, v,
+           CASE WHEN v = 0 THEN 'Z-' ELSE 'z-' END || CAST(p_size % 10 AS VARCHAR(10)) AS zone,
+           CAST(FLOOR(p_retailprice * 10 * (100 + p_partkey % 5 * 3 * (1 + v)) / 100) AS BIGINT) AS lot,
+           CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_size + p_partkey % 3 END AS front
+    FROM (SELECT *, 0 AS v FROM {part} UNION ALL SELECT *, 1 AS v FROM {part}) runs WHERE p_partkey % 8 <> 7"""
+
+SCORED_SQL = f"""
+    WITH z AS (SELECT test_id, ground_truth_doc_id, k, '{{{{"zone_name":"' || zone || '"'
+                || CASE WHEN k % 4 <> 1 THEN ',"interior_min_lot_area_sqft":' || CAST(lot AS STRING) ELSE '' END
+                || CASE WHEN k % 2 = 0 THEN ',"principal_min_front_yard_ft":"' || CAST(front AS STRING) || '"' ELSE '' END
+                || CASE WHEN k % 3 = 0 THEN ',"principal_front_yard_ft":' || CAST(s + 2 AS STRING) ELSE '' END
+                || ',"principal_min_side_yard_ft":' || CASE WHEN k % 5 = 0 THEN 'null' ELSE CAST(s / 2.0D AS STRING) END
+                || CASE WHEN k % 7 <> 0 THEN ',"principal_max_height_feet":30' ELSE '' END
+                || CASE WHEN k % 4 = 2 THEN ',"max_far":"N/A"' WHEN k % 4 = 0 THEN ',"maximum_far":1.5' ELSE '' END
+                || '}}}}' AS zone_json FROM ({PREDICTED_SQL})),
+    g AS (SELECT test_id, ground_truth_doc_id, array_join(transform(sort_array(collect_list(struct(k, zone_json))),
+                 x -> x.zone_json), ',') AS zones FROM z GROUP BY test_id, ground_truth_doc_id)
+    SELECT test_id, ground_truth_doc_id,
+           CASE WHEN test_id % 9 = 4 THEN 'no zones here'
+                ELSE '{{{{"extracted_town":"T' || CAST(ground_truth_doc_id AS STRING) || '","extracted_county":'
+                     || CASE WHEN test_id % 3 = 0 THEN 'null' ELSE '"C"' END || ',"zoning_requirements":[' || zones
+                     || ']}}}}' END AS response_text FROM g"""
+
+# Zones of the bulk call in relational form.
+BULK_VALUES = """
+    SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS response_id, CAST(p_partkey % 8 AS INT) AS pos, p_partkey AS k,
+           p_size AS s, 'R-' || CAST(p_size % 6 AS VARCHAR(10)) AS zone_name,
+           CASE p_partkey % 5 WHEN 0 THEN CAST(p_size * 1000 AS VARCHAR(20)) WHEN 1 THEN '8,000'
+                WHEN 2 THEN CAST(p_size AS VARCHAR(20)) || '.5' WHEN 3 THEN ' ' || CAST(p_size * 100 AS VARCHAR(20)) || ' '
+                ELSE NULL END AS lot
+    FROM {part}"""
+
+BULK_SQL = f"""
+    WITH z AS (SELECT response_id, pos, to_json(named_struct(
+                 'zone_name', CASE WHEN k % 19 <> 0 THEN zone_name END,
+                 'interior_min_lot_area_sqft', CASE WHEN k % 5 IN (1, 3) THEN lot END,
+                 'corner_min_lot_area_sqft', CASE WHEN k % 5 = 0 THEN s * 1000 END,
+                 'buildable_lot_area_sqft', CASE WHEN k % 5 = 2 THEN s + 0.5D END,
+                 'principal_front_yard_ft', s / 2.0D,
+                 'max_far', CASE WHEN k % 17 = 0 THEN 'n/a' WHEN k % 2 = 0 THEN '1.25' END)) AS zone_json
+               FROM ({BULK_VALUES})),
+    g AS (SELECT response_id, array_join(transform(sort_array(collect_list(struct(pos, zone_json))),
+                 x -> x.zone_json), ',') AS zones FROM z GROUP BY response_id)
+    SELECT response_id, CASE WHEN response_id % 11 = 0 THEN '{{{{' ELSE '{{{{"extracted_town":"Town_'
+           || CAST(response_id % 50 AS STRING) || '",' END || '"extracted_county":null,"zoning_requirements":['
+           || zones || ']}}}}' AS response_text FROM g"""
+
+# Ordinance texts: a heading per zone, then its rules in words.
+ORDINANCE_SQL = """
+    WITH z AS (SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS doc_id, p_partkey AS k,
+                 CASE WHEN p_partkey % 2 = 0 THEN 'Zone R-' ELSE 'DISTRICT C-' END || CAST(p_size AS STRING)
+                 || ' requirements:' || chr(10) || '- Minimum lot area: ' || format_number(p_size * 1000, 0) || ' square feet' || chr(10)
+                 || CASE WHEN p_size % 2 = 0 THEN '- Minimum lot frontage: ' || CAST(p_size AS STRING) || ' feet' || chr(10) ELSE '' END
+                 || '- Front yard setback: ' || CAST(p_size + 5 AS STRING) || ' feet, side yard '
+                 || CASE WHEN p_size % 3 = 0 THEN 'N/A' ELSE CAST(p_size AS STRING) || ' ft' END || chr(10)
+                 || '- Maximum height: 30 feet (2½ stories)' || chr(10)
+                 || '- Maximum lot coverage: ' || CAST(p_size AS STRING) || '%; FAR shall not exceed 1.5' || chr(10) AS body
+               FROM {part}),
+    g AS (SELECT doc_id, array_join(transform(sort_array(collect_list(struct(k, body))), x -> x.body), '') AS bodies
+          FROM z GROUP BY doc_id)
+    SELECT doc_id, 'Town of Springfield_' || CAST(doc_id AS STRING) || ' Zoning Ordinance' || chr(10)
+           || 'County: Union_' || CAST(doc_id % 21 AS STRING) || ' County' || chr(10) || bodies AS text FROM g"""
+
+
+def verified_zones(spark: SparkSession, folder: str) -> DataFrame:
+    return bind_sql(spark, folder, TRUTH_SQL)
+
+
+def scored_responses(spark: SparkSession, folder: str) -> DataFrame:
+    return bind_sql(spark, folder, SCORED_SQL)
+
+
+def bulk_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return bind_sql(spark, folder, BULK_SQL)
+
+
+def ordinance_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return bind_sql(spark, folder, ORDINANCE_SQL)
