@@ -143,17 +143,23 @@ def area_zone_name(name: Column) -> Column:
                .when(v.kind(named) == "STRING", v.text(named)))
 
 
-def _group(name: str) -> Column:
-    """The first of a group's names that holds an object."""
-    keys = v.struct_of([k for group, _, aliases in fv.FIELD_ALIASES.values() if group == name for k in aliases])
-    return F.coalesce(*[F.try_variant_get(f"zone_object.{n}", "$", keys) for n in fv.GROUP_KEYS[name]])
+def _first(scopes: list[str], keys: list[str]) -> str:
+    """SQL for the first key that is present in the first scope that has one."""
+    found = [f"{scope}.`{key}`" for scope in scopes for key in keys]
+    return f"coalesce({', '.join(found)})" if len(found) > 1 else found[0]
 
 
-def _field(field: str) -> Column:
-    """The untyped value of a field: its aliases in the group, then in the zone object."""
+def _group(name: str) -> str:
+    """SQL for the first of a group's names that holds an object."""
+    kind = v.struct_of([k for group, _, keys in fv.FIELD_ALIASES.values() if group == name for k in keys])
+    held = [f"try_variant_get(zone_object.`{n}`, '$', '{kind}')" for n in fv.GROUP_KEYS[name]]
+    return f"coalesce({', '.join(held)}) AS _{name}"
+
+
+def _field(field: str) -> str:
+    """SQL for a field's untyped value: its aliases in the group, then in the zone object."""
     group, flat, keys = fv.FIELD_ALIASES[field]
-    scopes = [f"_{group}", "zone_object"] if flat else [f"_{group}"]
-    return F.coalesce(*[F.col(f"{scope}.{key}") for scope in scopes for key in keys])
+    return _first([f"_{group}", "zone_object"] if flat else [f"_{group}"], keys)
 
 
 def with_fallbacks(fields: dict[str, Column], yards: dict[str, Column]) -> dict[str, Column]:
@@ -197,12 +203,12 @@ NUMBER_FIELDS = [f for f in fv.RULE_FIELDS if f not in fv.INTEGER_FIELDS]
 
 def typed_fields(zones: DataFrame, mode: str = "compatible") -> DataFrame:
     """Replace ``zone_object`` by the 29 rule fields."""
-    grouped = zones.withColumns({f"_{g}": _group(g) for g in fv.GROUP_KEYS})
-    spare = [F.coalesce(*[F.col(f"zone_object.{k}") for k in keys]) for keys in fv.ACCESSORY_FALLBACK_KEYS.values()]
-    found = grouped.select(
-        *[c for c in zones.columns if c != "zone_object"],
-        F.array(*[_field(f) for f in NUMBER_FIELDS], *spare, _field("max_height_stories")).alias("_values"),
-        F.col("zone_object.zone_name").alias("_name"))
+    values = [*[_field(f) for f in NUMBER_FIELDS],
+              *[_first(["zone_object"], keys) for keys in fv.ACCESSORY_FALLBACK_KEYS.values()],
+              _field("max_height_stories")]
+    found = zones.selectExpr("*", *[_group(g) for g in fv.GROUP_KEYS]).selectExpr(
+        *[c for c in zones.columns if c != "zone_object"], f"array({', '.join(values)}) AS _values",
+        "zone_object.zone_name AS _name")
     found = found.withColumn("_numbers", F.transform("_values", v.number))
     found = found.withColumn("_area", let(F.col("_numbers")[0], lambda a: numeric.fix_lot_area(
         a, area_zone_name(F.col("_name")), mode)))
