@@ -20,9 +20,10 @@ class Tables:
         self.spark, self.folder = prepare(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in bindings.BINDINGS:
-            return bindings.bind(self.spark, self.folder, name)
-        return bindings.load(self.spark, self.folder, name)
+        make = bindings.bind if name in bindings.BINDINGS else bindings.load
+        table = make(self.spark, self.folder, name)
+        setattr(self, name, table)
+        return table
 
 
 def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
