@@ -63,4 +63,6 @@ def trend_direction(change: Column) -> Column:
 
 
 def percent_text(value: Column) -> Column:
-    return F.format_string("%.1f%%", value * 100)
+    """'75.1%': one decimal, halves up, decided on the settled value."""
+    tenths = F.floor(settled(value) * 1000 + 0.5)
+    return F.format_string("%d.%d%%", F.floor(tenths / 10), tenths % 10)

@@ -51,7 +51,7 @@ def with_bindings(sql: str, uses: tuple[str, ...], extra: dict[str, str] | None
     return f"WITH {', '.join(parts)} {body}"
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
     doubles = {n for n, t in df.dtypes if t == "double"}
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if c in doubles else F.col(f"`{c}`")

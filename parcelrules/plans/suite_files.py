@@ -83,9 +83,9 @@ def stream_normalize(t):
     SELECT prompt_experiment_id AS id, count(*) AS total_tests,
            count(*) FILTER (WHERE extraction_success) AS successful_extractions,
            count(*) FILTER (WHERE NOT extraction_success) AS failed_extractions,
-           round(avg(overall_accuracy_score), 6) AS average_accuracy_score,
-           round(avg(field_extraction_accuracy), 6) AS average_field_accuracy,
-           round(avg(zone_identification_accuracy), 6) AS average_zone_accuracy, max(test_date) AS last_tested_at
+           round(avg(overall_accuracy_score), 9) AS average_accuracy_score,
+           round(avg(field_extraction_accuracy), 9) AS average_field_accuracy,
+           round(avg(zone_identification_accuracy), 9) AS average_zone_accuracy, max(test_date) AS last_tested_at
     FROM tests GROUP BY 1""", ("tests",))
 def stream_stats(t):
     base = work_folder(t.spark, "stats")

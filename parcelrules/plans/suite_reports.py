@@ -13,6 +13,13 @@ from parcelrules.plans.registry import query, rounded
 AS_OF = "2001-11-05"
 EXP, TESTS, GTD, GTR, TZR = "experiments", "tests", "gt_documents", "gt_requirements", "zone_results"
 
+
+def sql_percent(x: str) -> str:
+    """One decimal, halves up."""
+    tenths = f"CAST(floor(round({x}, 9) * 1000 + 0.5) AS BIGINT)"
+    return f"(CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) || '%')"
+
+
 # Experiments with their statistics, as the check derives them.
 STATS_SQL = """
     rollup AS (SELECT prompt_experiment_id AS id, count(*) AS n, count(*) FILTER (WHERE extraction_success) AS ok,
@@ -26,9 +33,9 @@ STATS_SQL = """
                      last_at AS last_tested_at
               FROM experiments e LEFT JOIN rollup USING (id))"""
 STATS_COLUMNS = """id, prompt_name, prompt_version, llm_model, is_baseline, is_active, created_at, total_tests,
-    successful_extractions, failed_extractions, round(average_accuracy_score, 6) AS average_accuracy_score,
-    round(average_field_accuracy, 6) AS average_field_accuracy,
-    round(average_zone_accuracy, 6) AS average_zone_accuracy, last_tested_at"""
+    successful_extractions, failed_extractions, round(average_accuracy_score, 9) AS average_accuracy_score,
+    round(average_field_accuracy, 9) AS average_field_accuracy,
+    round(average_zone_accuracy, 9) AS average_zone_accuracy, last_tested_at"""
 
 
 def _stats(t):
@@ -41,7 +48,7 @@ def experiment_stats(t):
 
 
 @query("prompt_performance", f"""WITH {STATS_SQL}
-    SELECT {STATS_COLUMNS}, round(CASE WHEN total_tests > 0 THEN successful_extractions / total_tests ELSE 0 END, 6)
+    SELECT {STATS_COLUMNS}, round(CASE WHEN total_tests > 0 THEN successful_extractions / total_tests ELSE 0 END, 9)
         AS success_rate
     FROM stats""", (EXP, TESTS))
 def prompt_performance(t):
@@ -50,14 +57,14 @@ def prompt_performance(t):
 
 @query("dashboard_results", f"""WITH {STATS_SQL}
     SELECT prompt_name || ' v' || prompt_version AS prompt, llm_model, total_tests,
-           printf('%.1f%%', average_accuracy_score * 100) AS accuracy_text,
+           {sql_percent('average_accuracy_score')} AS accuracy_text,
            CASE WHEN round(average_accuracy_score, 9) >= 0.9 THEN 'success' WHEN round(average_accuracy_score, 9) >= 0.7 THEN 'warning'
                 ELSE 'error' END AS accuracy_band,
            CASE WHEN round(average_field_accuracy, 9) >= 0.9 THEN 'success' WHEN round(average_field_accuracy, 9) >= 0.7 THEN 'warning'
                 ELSE 'error' END AS field_band,
            CASE WHEN round(average_zone_accuracy, 9) >= 0.9 THEN 'success' WHEN round(average_zone_accuracy, 9) >= 0.7 THEN 'warning'
                 ELSE 'error' END AS zone_band,
-           CASE WHEN total_tests > 0 THEN printf('%.1f%%', successful_extractions / total_tests * 100) ELSE 'N/A' END
+           CASE WHEN total_tests > 0 THEN {sql_percent('successful_extractions / total_tests')} ELSE 'N/A' END
                AS success_text
     FROM stats""", (EXP, TESTS))
 def dashboard_results(t):
@@ -66,9 +73,9 @@ def dashboard_results(t):
 
 @query("best_prompts", f"""WITH {STATS_SQL}
     SELECT prompt_name, prompt_version, llm_model, total_tests,
-           round(successful_extractions / total_tests, 6) AS success_rate,
-           round(average_accuracy_score, 6) AS avg_accuracy, round(average_field_accuracy, 6) AS avg_field_accuracy,
-           round(average_zone_accuracy, 6) AS avg_zone_accuracy, last_tested_at AS last_tested
+           round(successful_extractions / total_tests, 9) AS success_rate,
+           round(average_accuracy_score, 9) AS avg_accuracy, round(average_field_accuracy, 9) AS avg_field_accuracy,
+           round(average_zone_accuracy, 9) AS avg_zone_accuracy, last_tested_at AS last_tested
     FROM stats WHERE total_tests >= 5
     ORDER BY average_accuracy_score DESC NULLS LAST, total_tests DESC, id LIMIT 10""", (EXP, TESTS))
 def best_prompts(t):
@@ -83,15 +90,15 @@ def active_experiments(t):
 
 @query("experiment_results", """
     SELECT 7 AS experiment_id, count(*) AS total_tests,
-           round(coalesce(avg(overall_accuracy_score), 0), 6) AS average_accuracy
+           round(coalesce(avg(overall_accuracy_score), 0), 9) AS average_accuracy
     FROM tests WHERE prompt_experiment_id = 7""", (TESTS,))
 def experiment_results(t):
     return rounded(stats.experiment_results(t.tests, 7))
 
 
 @query("document_test_results", """
-    SELECT prompt_name, prompt_version, test_epoch, round(overall_accuracy_score, 6) AS overall_accuracy,
-           round(zone_identification_accuracy, 6) AS zone_accuracy, round(field_extraction_accuracy, 6)
+    SELECT prompt_name, prompt_version, test_epoch, round(overall_accuracy_score, 9) AS overall_accuracy,
+           round(zone_identification_accuracy, 9) AS zone_accuracy, round(field_extraction_accuracy, 9)
            AS field_accuracy, parsed_zones_count AS zones_found, test_date
     FROM tests JOIN experiments e ON prompt_experiment_id = e.id WHERE ground_truth_doc_id = 42""", (EXP, TESTS))
 def document_test_results(t):
@@ -104,12 +111,12 @@ def document_test_results(t):
           WHERE r.test_date BETWEEN TIMESTAMP '2001-08-01' AND TIMESTAMP '2001-11-05' OR r.test_date IS NULL),
     b AS (SELECT average_accuracy_score AS base FROM stats WHERE is_baseline ORDER BY created_at DESC, id DESC LIMIT 1)
     SELECT count(DISTINCT id) AS total_experiments, count(prompt_experiment_id) AS total_tests,
-           round(avg(overall_accuracy_score), 6) AS avg_accuracy,
+           round(avg(overall_accuracy_score), 9) AS avg_accuracy,
            (SELECT prompt_name || ' v' || prompt_version FROM stats WHERE total_tests >= 3
             ORDER BY average_accuracy_score DESC, id LIMIT 1) AS best_prompt,
            round(CASE WHEN (SELECT base FROM b) > 0
                       THEN (max(average_accuracy_score) - (SELECT base FROM b)) / (SELECT base FROM b) * 100
-                      ELSE 0 END, 6) AS improvement_over_baseline
+                      ELSE 0 END, 9) AS improvement_over_baseline
     FROM j""", (EXP, TESTS))
 def test_summary(t):
     return rounded(stats.test_summary(t.experiments, t.tests, datetime(2001, 8, 1), datetime(2001, 11, 5)))
@@ -118,7 +125,7 @@ def test_summary(t):
 @query("improvement_over_baseline", """
     SELECT prompt_experiment_id, ground_truth_doc_id, test_epoch, test_date,
            round(overall_accuracy_score - coalesce((SELECT avg(r.overall_accuracy_score) FROM tests r
-               JOIN experiments e ON r.prompt_experiment_id = e.id WHERE e.is_baseline), 0), 6)
+               JOIN experiments e ON r.prompt_experiment_id = e.id WHERE e.is_baseline), 0), 9)
            AS improvement_over_baseline
     FROM tests""", (EXP, TESTS))
 def improvement_over_baseline(t):
@@ -129,7 +136,7 @@ def improvement_over_baseline(t):
 
 @query("tests_last_n_days", """
     SELECT prompt_experiment_id, ground_truth_doc_id, test_epoch, test_date,
-           round(overall_accuracy_score, 6) AS overall_accuracy_score
+           round(overall_accuracy_score, 9) AS overall_accuracy_score
     FROM tests WHERE test_date BETWEEN TIMESTAMP '2001-08-07' AND TIMESTAMP '2001-11-05'""", (TESTS,))
 def tests_last_n_days(t):
     rows = search.tests_last_n_days(t.tests, AS_OF, 90)
@@ -139,15 +146,15 @@ def tests_last_n_days(t):
 
 @query("test_results_export", """
     SELECT test_epoch, strftime(test_date, '%Y-%m-%d %H:%M:%S') AS test_date,
-           round(overall_accuracy_score, 6) AS overall_accuracy_score,
-           round(zone_identification_accuracy, 6) AS zone_identification_accuracy,
-           round(field_extraction_accuracy, 6) AS field_extraction_accuracy,
-           round(location_extraction_accuracy, 6) AS location_extraction_accuracy, parsed_zones_count,
-           extraction_success, round(processing_time_seconds, 6) AS processing_time_seconds, llm_tokens_used,
+           round(overall_accuracy_score, 9) AS overall_accuracy_score,
+           round(zone_identification_accuracy, 9) AS zone_identification_accuracy,
+           round(field_extraction_accuracy, 9) AS field_extraction_accuracy,
+           round(location_extraction_accuracy, 9) AS location_extraction_accuracy, parsed_zones_count,
+           extraction_success, round(processing_time_seconds, 9) AS processing_time_seconds, llm_tokens_used,
            prompt_name, prompt_version, llm_model, is_baseline, document_name, d.town, d.county, d.state,
            document_complexity,
            round(overall_accuracy_score - coalesce((SELECT avg(r.overall_accuracy_score) FROM tests r
-               JOIN experiments b ON r.prompt_experiment_id = b.id WHERE b.is_baseline), 0), 6)
+               JOIN experiments b ON r.prompt_experiment_id = b.id WHERE b.is_baseline), 0), 9)
            AS improvement_over_baseline,
            CASE WHEN round(overall_accuracy_score, 9) >= 0.9 THEN 'Excellent' WHEN round(overall_accuracy_score, 9) >= 0.7 THEN 'Good'
                 ELSE 'Needs Improvement' END AS accuracy_category,
@@ -170,12 +177,12 @@ def test_results_export(t):
       FROM tests JOIN experiments e ON prompt_experiment_id = e.id
       WHERE test_date >= DATE '2001-11-05' - INTERVAL 90 DAY GROUP BY 1, 2, 3, 4)
     SELECT strftime(day, '%Y-%m-%d') AS test_date, prompt_name, prompt_version, llm_model,
-           round(a, 6) AS daily_avg_accuracy, round(z, 6) AS daily_avg_zone_accuracy,
-           round(f, 6) AS daily_avg_field_accuracy, round(p, 6) AS avg_processing_time,
-           round(k, 6) AS avg_tokens_used, n AS tests_per_day, CAST(ok AS BIGINT) AS successful_tests,
-           round(a - lag(a) OVER (PARTITION BY prompt_name, prompt_version ORDER BY day DESC, a DESC, llm_model), 6)
+           round(a, 9) AS daily_avg_accuracy, round(z, 9) AS daily_avg_zone_accuracy,
+           round(f, 9) AS daily_avg_field_accuracy, round(p, 9) AS avg_processing_time,
+           round(k, 9) AS avg_tokens_used, n AS tests_per_day, CAST(ok AS BIGINT) AS successful_tests,
+           round(a - lag(a) OVER (PARTITION BY prompt_name, prompt_version ORDER BY day DESC, a DESC, llm_model), 9)
                AS accuracy_trend,
-           round(a - lag(a) OVER (PARTITION BY prompt_name, prompt_version ORDER BY day, a, llm_model DESC), 6)
+           round(a - lag(a) OVER (PARTITION BY prompt_name, prompt_version ORDER BY day, a, llm_model DESC), 9)
                AS accuracy_change,
            CASE WHEN round(a, 9) >= 0.95 THEN 5 WHEN round(a, 9) >= 0.85 THEN 4 WHEN round(a, 9) >= 0.75 THEN 3 WHEN round(a, 9) >= 0.6 THEN 2 ELSE 1 END
                AS performance_rating
@@ -195,10 +202,10 @@ def accuracy_trends(t):
     l AS (SELECT d.*, base, lag(a) OVER (PARTITION BY prompt_name, prompt_version ORDER BY d.day) AS prev
           FROM d LEFT JOIN b ON d.day = b.day)
     SELECT strftime(day, '%Y-%m-%d') AS test_date, prompt_name, prompt_version, is_baseline,
-           round(a, 6) AS daily_accuracy, round(z, 6) AS daily_zone_accuracy, round(f, 6) AS daily_field_accuracy,
-           n AS daily_tests, round(base, 6) AS baseline_accuracy,
-           round(a - coalesce(base, 0), 6) AS improvement_over_baseline, round(prev, 6) AS previous_day_accuracy,
-           round(a - prev, 6) AS day_over_day_change, prompt_name || ' v' || prompt_version AS prompt_full_name,
+           round(a, 9) AS daily_accuracy, round(z, 9) AS daily_zone_accuracy, round(f, 9) AS daily_field_accuracy,
+           n AS daily_tests, round(base, 9) AS baseline_accuracy,
+           round(a - coalesce(base, 0), 9) AS improvement_over_baseline, round(prev, 9) AS previous_day_accuracy,
+           round(a - prev, 9) AS day_over_day_change, prompt_name || ' v' || prompt_version AS prompt_full_name,
            CASE WHEN prev IS NULL THEN 'New' WHEN round(a - prev, 9) > 0.01 THEN 'Improving' WHEN round(a - prev, 9) < -0.01
                 THEN 'Declining' ELSE 'Stable' END AS trend_direction
     FROM l""", (EXP, TESTS))
@@ -207,7 +214,7 @@ def accuracy_timeline(t):
 
 
 def _relative(p: str, a: str) -> str:
-    return f"round(CASE WHEN {a} <> 0 THEN abs(1 - abs({p} - {a}) / {a}) END, 6)"
+    return f"round(CASE WHEN {a} <> 0 THEN abs(1 - abs({p} - {a}) / {a}) END, 9)"
 
 
 @query("field_accuracy_heatmap", f"""
@@ -244,10 +251,10 @@ def field_accuracy_heatmap(t):
              avg(CASE WHEN predicted_maximum_far IS NOT NULL THEN 1.0 ELSE 0.0 END) AS far,
              min(test_date) AS first_tested, max(test_date) AS last_tested
           FROM j GROUP BY 1, 2, 3, 4, 5)
-    SELECT g.zone, g.town, g.county, g.state, g.document_complexity, total_tests, round(a, 6) AS avg_zone_accuracy,
+    SELECT g.zone, g.town, g.county, g.state, g.document_complexity, total_tests, round(a, 9) AS avg_zone_accuracy,
            good AS correct_predictions, bad AS incorrect_predictions, predicted_zone AS most_common_prediction,
-           round(lot, 6) AS lot_area_extraction_rate, round(front, 6) AS front_yard_extraction_rate,
-           round(far, 6) AS far_extraction_rate, first_tested, last_tested,
+           round(lot, 9) AS lot_area_extraction_rate, round(front, 9) AS front_yard_extraction_rate,
+           round(far, 9) AS far_extraction_rate, first_tested, last_tested,
            CASE WHEN a IS NULL THEN 'Untested' WHEN round(a, 9) >= 0.9 THEN 'Easy' WHEN round(a, 9) >= 0.7 THEN 'Medium' ELSE 'Hard' END
                AS extraction_difficulty,
            round_even(CASE WHEN total_tests > 0 THEN good * 100.0 / total_tests END, 1) AS prediction_accuracy_percent
@@ -316,7 +323,7 @@ EXPORT_SQL = """SELECT id, job_id, town, county, state, zone, NULL AS data_sourc
     NULL AS interior_min_lot_frontage_ft, principal_front_yard_ft, NULL AS principal_side_yard_ft,
     NULL AS principal_rear_yard_ft, NULL AS max_building_coverage_percent, max_lot_coverage_percent,
     NULL AS max_height_stories, NULL AS max_height_feet_total, NULL AS maximum_far,
-    round(extraction_confidence, 6) AS extraction_confidence, created_at FROM requirements"""
+    round(extraction_confidence, 9) AS extraction_confidence, created_at FROM requirements"""
 
 
 @query("requirements_export", EXPORT_SQL, ("requirements",))
@@ -339,7 +346,7 @@ def scan_project(t):
 
 
 REQ_COLUMNS = "id, job_id, town, county, state, zone, interior_min_lot_area_sqft, principal_front_yard_ft, " \
-              "max_lot_coverage_percent, round(extraction_confidence, 6) AS extraction_confidence, created_at"
+              "max_lot_coverage_percent, round(extraction_confidence, 9) AS extraction_confidence, created_at"
 
 
 @query("search_requirements", f"""SELECT {REQ_COLUMNS} FROM requirements

@@ -10,6 +10,7 @@ from parcelrules import fixed_values as fv
 from parcelrules.functions import numeric, scores, text, variants as v
 from parcelrules.operators import maintenance, prompts, responses as r, scoring
 from parcelrules.plans.registry import query, rounded
+from parcelrules.plans.suite_reports import sql_percent
 from parcelrules.sources import responses as src
 
 
@@ -128,7 +129,7 @@ ZONES_CHECK = f"""
         max_lot_coverage_percent, max_height_stories, max_height_feet_total,
         NULL AS min_gross_floor_area_first_floor_sqft, NULL AS min_gross_floor_area_multistory_sqft,
         NULL AS max_gross_floor_area_all_structures_sqft, maximum_far, maximum_density_units_per_acre,
-        round(max_height_stories_exact, 6) AS max_height_stories_exact, 'AI_Extracted' AS data_source,
+        round(max_height_stories_exact, 9) AS max_height_stories_exact, 'AI_Extracted' AS data_source,
         CASE WHEN r % 12 = 5 THEN 0.3 WHEN r % 10 = 8 THEN 0.25
              WHEN r % 4 = 0 THEN 0.9 ELSE 0.7 END AS extraction_confidence,
         TIMESTAMP '2024-01-01 00:00:00' + (r % 700) * INTERVAL '1' MINUTE AS extracted_at FROM y WHERE rn = 1)"""
@@ -301,9 +302,9 @@ def _tests_and_truth(t):
 
 
 @query("score_extractions", f"""WITH {SCORE_CHECK}
-    SELECT test_id, ground_truth_doc_id, round(zone_accuracy, 6) AS zone_accuracy,
-           round(field_accuracy, 6) AS field_accuracy, location_accuracy,
-           round(0.4 * zone_accuracy + 0.6 * field_accuracy, 6) AS overall_accuracy FROM scored""")
+    SELECT test_id, ground_truth_doc_id, round(zone_accuracy, 9) AS zone_accuracy,
+           round(field_accuracy, 9) AS field_accuracy, location_accuracy,
+           round(0.4 * zone_accuracy + 0.6 * field_accuracy, 9) AS overall_accuracy FROM scored""")
 def score_extractions(t):
     return rounded(scoring.score_extractions(*_tests_and_truth(t)))
 
@@ -325,7 +326,7 @@ def score_extractions(t):
            round(CASE WHEN predicted_zone IS NULL THEN 0.0 ELSE
              ({sql_score('lot', 'interior_min_lot_area_sqft')} + {sql_score('front', 'principal_front_yard_ft')}
               + {sql_score('side', 'principal_side_yard_ft')} + {sql_score('height', 'max_height_feet_total')}
-              + {sql_score('far', 'maximum_far')}) / 5 END, 6) AS zone_accuracy_score
+              + {sql_score('far', 'maximum_far')}) / 5 END, 9) AS zone_accuracy_score
     FROM wanted w LEFT JOIN p ON w.test_id = p.test_id AND w.zk = p.zk""")
 def score_zone_results(t):
     rows = scoring.zone_results(*_tests_and_truth(t))
@@ -351,7 +352,7 @@ def sql_hit(p: str, a: str) -> str:
              + {sql_hit('CASE WHEN k % 4 = 0 THEN 1.5 END', 'maximum_far')} AS hits
           FROM m WHERE predicted_zone = zone),
     g AS (SELECT test_id, sum(hits) / (count(*) * 5) AS a FROM h GROUP BY 1)
-    SELECT test_id, ground_truth_doc_id, round(coalesce(a, 0), 6) AS accuracy
+    SELECT test_id, ground_truth_doc_id, round(coalesce(a, 0), 9) AS accuracy
     FROM all_tests LEFT JOIN g USING (test_id)""")
 def strict_accuracy(t):
     tests, truth = _tests_and_truth(t)
@@ -360,7 +361,7 @@ def strict_accuracy(t):
 
 @query("completeness", f"""WITH {SCORE_CHECK}
     SELECT test_id, round(coalesce(sum(CASE WHEN test_id % 9 <> 4 THEN 1 + (k % 4 <> 1)::INT + (k % 2 = 0)::INT
-        + (k % 5 <> 0)::INT + (k % 7 <> 0)::INT + (k % 4 = 0)::INT END) / (10.0 * count(*)), 0), 6) AS completeness
+        + (k % 5 <> 0)::INT + (k % 7 <> 0)::INT + (k % 4 = 0)::INT END) / (10.0 * count(*)), 0), 9) AS completeness
     FROM pred GROUP BY 1""")
 def completeness(t):
     return rounded(scoring.completeness(_tests_and_truth(t)[0]))
@@ -379,10 +380,10 @@ def response_profile(t):
 
 @query("field_accuracy", f"""
     SELECT z.prompt_experiment_id, z.ground_truth_req_id, z.test_date,
-        round({sql_score('predicted_interior_min_lot_area_sqft', 'interior_min_lot_area_sqft')}, 6) AS lot_area_score,
-        round({sql_score('predicted_principal_front_yard_ft', 'principal_front_yard_ft')}, 6) AS front_yard_score,
-        round({sql_score('predicted_principal_side_yard_ft', 'principal_side_yard_ft')}, 6) AS side_yard_score,
-        round({sql_score('predicted_maximum_far', 'maximum_far')}, 6) AS far_score
+        round({sql_score('predicted_interior_min_lot_area_sqft', 'interior_min_lot_area_sqft')}, 9) AS lot_area_score,
+        round({sql_score('predicted_principal_front_yard_ft', 'principal_front_yard_ft')}, 9) AS front_yard_score,
+        round({sql_score('predicted_principal_side_yard_ft', 'principal_side_yard_ft')}, 9) AS side_yard_score,
+        round({sql_score('predicted_maximum_far', 'maximum_far')}, 9) AS far_score
     FROM zone_results z JOIN gt_requirements g ON z.ground_truth_req_id = g.id""", ("zone_results", "gt_requirements"))
 def field_accuracy(t):
     truth = t.gt_requirements.withColumnRenamed("id", "ground_truth_req_id")
@@ -393,12 +394,12 @@ def field_accuracy(t):
         scores.field_accuracy(F.col(f"predicted_{f}"), F.col(f)).alias(n) for n, f in scored.items()]))
 
 
-@query("prompt_ranking", """
+@query("prompt_ranking", f"""
     WITH a AS (SELECT prompt_experiment_id AS id, round(avg(overall_accuracy_score)
                       FILTER (WHERE extraction_success), 9) AS accuracy, sum(llm_tokens_used) AS tokens,
                       sum(parsed_zones_count) AS zones_found FROM tests GROUP BY 1)
-    SELECT rank() OVER (ORDER BY accuracy DESC) AS rank, prompt_name, prompt_version, round(accuracy, 6) AS accuracy,
-           printf('%.1f%%', accuracy * 100) AS accuracy_text, CAST(tokens AS BIGINT) AS tokens,
+    SELECT rank() OVER (ORDER BY accuracy DESC) AS rank, prompt_name, prompt_version, round(accuracy, 9) AS accuracy,
+           {sql_percent('accuracy')} AS accuracy_text, CAST(tokens AS BIGINT) AS tokens,
            CAST(zones_found AS BIGINT) AS zones_found
     FROM a JOIN experiments e ON a.id = e.id WHERE accuracy IS NOT NULL""", ("tests", "experiments"))
 def prompt_ranking(t):

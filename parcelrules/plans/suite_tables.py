@@ -11,7 +11,7 @@ from parcelrules.plans.suite_reports import STATS_COLUMNS, STATS_SQL
 REQ, CHG, JOBS, DOCS = "requirements", "requirement_changes", "jobs", "zdocuments"
 KEY = "town, county, state, zone"
 VALUES = "job_id, interior_min_lot_area_sqft, principal_front_yard_ft, max_lot_coverage_percent, " \
-         "round(extraction_confidence, 6) AS extraction_confidence"
+         "round(extraction_confidence, 9) AS extraction_confidence"
 
 
 @query("upsert_requirements", f"""
