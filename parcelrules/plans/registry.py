@@ -26,15 +26,21 @@ class Tables:
         return table
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
-    """Register ``fn(tables)``; ``sql`` may name the bindings listed in ``uses``."""
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] = (), types: dict[str, str] | None = None):
+    """Register ``fn(tables)``; ``sql`` may name the bindings listed in ``uses``.
+
+    ``types`` casts result columns of the SQL to the types of the query, where
+    the SQL's literals would give them narrower ones.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
-            CHECK_SQL[name] = with_bindings(sql, uses)
+            casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in (types or {}).items())
+            body = with_bindings(sql, uses)
+            CHECK_SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({body})" if casts else body
         return fn
 
     return register

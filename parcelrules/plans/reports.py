@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from parcelrules import fixed_values as fv
 from parcelrules.functions import scores
 from parcelrules.functions.text import prompt_label
 from parcelrules.operators.stats import last_days
+from parcelrules.schemas import JOBS, REQUIREMENTS
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 DAY = "yyyy-MM-dd"
@@ -224,19 +225,19 @@ JOB_EXPORT = ["id", "town", "county", "state", "pdf_filename", "processing_statu
               "updated_at", "processing_started_at", "processing_completed_at"]
 
 
-def _export(table: DataFrame, columns: list[str], limit: int | None) -> DataFrame:
+def _export(table: DataFrame, columns: list[str], schema: T.StructType, limit: int | None) -> DataFrame:
     have = set(table.columns)
-    rows = table.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+    rows = table.select(*[F.col(c) if c in have else F.lit(None).cast(schema[c].dataType).alias(c) for c in columns])
     rows = rows.orderBy("id")
     return rows.limit(limit) if limit else rows
 
 
 def requirements_export(requirements: DataFrame, limit: int | None = 1000) -> DataFrame:
-    return _export(requirements, REQUIREMENT_EXPORT, limit)
+    return _export(requirements, REQUIREMENT_EXPORT, REQUIREMENTS, limit)
 
 
 def jobs_export(jobs: DataFrame, limit: int | None = 1000) -> DataFrame:
-    return _export(jobs, JOB_EXPORT, limit)
+    return _export(jobs, JOB_EXPORT, JOBS, limit)
 
 
 def dashboard_results(stats: DataFrame) -> DataFrame:

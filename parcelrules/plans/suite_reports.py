@@ -326,14 +326,19 @@ EXPORT_SQL = """SELECT id, job_id, town, county, state, zone, NULL AS data_sourc
     round(extraction_confidence, 9) AS extraction_confidence, created_at FROM requirements"""
 
 
-@query("requirements_export", EXPORT_SQL, ("requirements",))
+@query("requirements_export", EXPORT_SQL, ("requirements",), {
+    "data_source": "VARCHAR", "max_height_stories": "INTEGER", **{c: "DOUBLE" for c in (
+        "interior_min_lot_frontage_ft", "principal_side_yard_ft", "principal_rear_yard_ft",
+        "max_building_coverage_percent", "max_height_feet_total", "maximum_far")}})
 def requirements_export(t):
     return rounded(reports.requirements_export(t.requirements, limit=None))
 
 
 @query("jobs_export", """SELECT id, town, county, state, NULL AS pdf_filename, processing_status,
     NULL AS ai_model_used, created_at, NULL AS updated_at, NULL AS processing_started_at,
-    NULL AS processing_completed_at FROM jobs""", ("jobs",))
+    NULL AS processing_completed_at FROM jobs""", ("jobs",), {
+    "pdf_filename": "VARCHAR", "ai_model_used": "VARCHAR", "updated_at": "TIMESTAMP",
+    "processing_started_at": "TIMESTAMP", "processing_completed_at": "TIMESTAMP"})
 def jobs_export(t):
     return reports.jobs_export(t.jobs, limit=None)
 

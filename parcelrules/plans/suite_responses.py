@@ -135,11 +135,17 @@ ZONES_CHECK = f"""
         TIMESTAMP '2024-01-01 00:00:00' + (r % 700) * INTERVAL '1' MINUTE AS extracted_at FROM y WHERE rn = 1)"""
 
 
+FIELD_TYPES = {f: "INTEGER" if f in fv.INTEGER_FIELDS else "DOUBLE" for f in fv.RULE_FIELDS}
+NORMAL_TYPES = {**FIELD_TYPES, "extraction_confidence": "DOUBLE"}
+BULK_TYPES = {"county": "VARCHAR", **{f: "INTEGER" for f in fv.BULK_INTEGER_FIELDS},
+              **{f: "DOUBLE" for f in fv.BULK_NUMERIC_FIELDS}}
+
+
 def _responses(t):
     return src.extraction_responses(t.spark, t.folder)
 
 
-@query("normalize_requirements", f"WITH {ZONES_CHECK} SELECT * FROM n")
+@query("normalize_requirements", f"WITH {ZONES_CHECK} SELECT * FROM n", types=NORMAL_TYPES)
 def normalize_requirements(t):
     return rounded(r.normalize(_responses(t)))
 
@@ -147,7 +153,7 @@ def normalize_requirements(t):
 @query("normalize_upsert", f"""WITH {ZONES_CHECK},
     u AS (SELECT *, row_number() OVER (PARTITION BY town, county, state, zone
                     ORDER BY extracted_at DESC, response_id DESC, position DESC) AS rn FROM n)
-    SELECT * EXCLUDE (rn) FROM u WHERE rn = 1""")
+    SELECT * EXCLUDE (rn) FROM u WHERE rn = 1""", types=NORMAL_TYPES)
 def normalize_upsert(t):
     rows = r.normalize(_responses(t))
     return rounded(maintenance.latest_per_key(rows, maintenance.UPSERT_KEY,
@@ -159,7 +165,7 @@ def normalize_upsert(t):
            CASE WHEN r % 12 = 5 OR (r % 10 NOT IN (3, 4) AND r % 14 = 6) THEN 0
                 ELSE (SELECT count(*) FROM f WHERE f.r = a.r)
                      + CASE WHEN r % 10 = 7 THEN 1 ELSE 0 END END AS zones
-    FROM a""")
+    FROM a""", types={"zones": "INTEGER"})
 def parse_responses(t):
     return r.parse_responses(_responses(t)).select(
         "response_id", "outcome", F.coalesce(F.size("zones"), F.lit(0)).alias("zones"))
@@ -180,7 +186,8 @@ def resolve_location(t):
 @query("extract_fields", f"""WITH {ZONES_CHECK}
     SELECT response_id, position, zone, interior_min_lot_area_sqft, principal_front_yard_ft, principal_side_yard_ft,
            principal_rear_yard_ft, max_lot_coverage_percent, max_height_stories, max_height_feet_total, maximum_far,
-           maximum_density_units_per_acre FROM n""")
+           maximum_density_units_per_acre FROM n""",
+       types={"principal_rear_yard_ft": "DOUBLE", "maximum_far": "DOUBLE"})
 def extract_fields(t):
     return rounded(r.normalize(_responses(t)).select(
         "response_id", "position", "zone", "interior_min_lot_area_sqft", "principal_front_yard_ft",
@@ -190,7 +197,8 @@ def extract_fields(t):
 
 @query("field_fallbacks", f"""WITH {ZONES_CHECK}
     SELECT response_id, position, zone, interior_min_lot_frontage_ft, interior_min_lot_width_ft,
-           interior_min_lot_depth_ft, accessory_front_yard_ft, accessory_rear_yard_ft FROM n""")
+           interior_min_lot_depth_ft, accessory_front_yard_ft, accessory_rear_yard_ft FROM n""",
+       types={"accessory_rear_yard_ft": "DOUBLE"})
 def field_fallbacks(t):
     return rounded(r.normalize(_responses(t)).select(
         "response_id", "position", "zone", "interior_min_lot_frontage_ft", "interior_min_lot_width_ft",
@@ -237,13 +245,13 @@ BULK_CHECK = f"""
           FROM bv WHERE response_id % 11 <> 0)"""
 
 
-@query("bulk_parse", f"WITH {BULK_CHECK} SELECT * FROM b")
+@query("bulk_parse", f"WITH {BULK_CHECK} SELECT * FROM b", types=BULK_TYPES)
 def bulk_parse(t):
     return r.bulk_rows(src.bulk_calls(t.spark, t.folder))
 
 
 @query("bulk_upsert", f"""WITH {BULK_CHECK}, q AS (SELECT *, row_number() OVER (PARTITION BY town, zone_name
-    ORDER BY response_id DESC, position DESC) AS rn FROM b WHERE NOT is_error) SELECT * EXCLUDE (rn) FROM q WHERE rn = 1""")
+    ORDER BY response_id DESC, position DESC) AS rn FROM b WHERE NOT is_error) SELECT * EXCLUDE (rn) FROM q WHERE rn = 1""", types=BULK_TYPES)
 def bulk_upsert(t):
     good = r.bulk_rows(src.bulk_calls(t.spark, t.folder)).where(~F.col("is_error"))
     return maintenance.latest_per_key(good, ["town", "zone_name"], ["response_id", "position"])
@@ -257,7 +265,8 @@ def bulk_upsert(t):
                 ELSE 'Successfully processed ' || good || ' zones, ' || bad || ' errors' END AS message,
            coalesce(good, 0) AS inserted_count, coalesce(bad, 0) AS error_count,
            CASE WHEN good IS NOT NULL THEN 'Town_' || CAST(a.response_id % 50 AS VARCHAR) END AS town, NULL AS county
-    FROM (SELECT DISTINCT response_id FROM bv) a LEFT JOIN c ON a.response_id = c.response_id""")
+    FROM (SELECT DISTINCT response_id FROM bv) a LEFT JOIN c ON a.response_id = c.response_id""",
+       types={"county": "VARCHAR"})
 def upsert_report(t):
     return r.bulk_report(src.bulk_calls(t.spark, t.folder))
 
@@ -304,7 +313,8 @@ def _tests_and_truth(t):
 @query("score_extractions", f"""WITH {SCORE_CHECK}
     SELECT test_id, ground_truth_doc_id, round(zone_accuracy, 9) AS zone_accuracy,
            round(field_accuracy, 9) AS field_accuracy, location_accuracy,
-           round(0.4 * zone_accuracy + 0.6 * field_accuracy, 9) AS overall_accuracy FROM scored""")
+           round(0.4 * zone_accuracy + 0.6 * field_accuracy, 9) AS overall_accuracy FROM scored""",
+       types={"location_accuracy": "DOUBLE"})
 def score_extractions(t):
     return rounded(scoring.score_extractions(*_tests_and_truth(t)))
 
@@ -319,7 +329,7 @@ def score_extractions(t):
              CASE WHEN k % 5 <> 0 THEN s / 2.0 END AS side, CASE WHEN k % 7 <> 0 THEN 30.0 END AS height,
              CASE WHEN k % 4 = 0 THEN 1.5 END AS far FROM firsts WHERE rn = 1)
     SELECT w.test_id, w.id AS ground_truth_req_id, actual_zone, predicted_zone,
-           {sql_number("CASE WHEN FALSE THEN '' END")} IS NULL AND predicted_zone IS NULL AS is_missed,
+           predicted_zone IS NULL AS is_missed,
            lot AS predicted_interior_min_lot_area_sqft, front AS predicted_principal_front_yard_ft,
            side AS predicted_principal_side_yard_ft, height AS predicted_max_height_feet_total,
            far AS predicted_maximum_far,
@@ -327,7 +337,8 @@ def score_extractions(t):
              ({sql_score('lot', 'interior_min_lot_area_sqft')} + {sql_score('front', 'principal_front_yard_ft')}
               + {sql_score('side', 'principal_side_yard_ft')} + {sql_score('height', 'max_height_feet_total')}
               + {sql_score('far', 'maximum_far')}) / 5 END, 9) AS zone_accuracy_score
-    FROM wanted w LEFT JOIN p ON w.test_id = p.test_id AND w.zk = p.zk""")
+    FROM wanted w LEFT JOIN p ON w.test_id = p.test_id AND w.zk = p.zk""",
+       types={"predicted_max_height_feet_total": "DOUBLE", "predicted_maximum_far": "DOUBLE"})
 def score_zone_results(t):
     rows = scoring.zone_results(*_tests_and_truth(t))
     return rounded(rows.withColumn("is_missed", F.col("predicted_zone").isNull()))
@@ -373,7 +384,8 @@ def completeness(t):
              1 + (k % 4 <> 1)::INT + (k % 2 = 0)::INT + (k % 3 = 0)::INT + (k % 5 <> 0)::INT + (k % 7 <> 0)::INT
              + (k % 4 IN (0, 2))::INT AS given_fields FROM pred WHERE test_id % 9 <> 4)
     SELECT test_id, TRUE AS has_town, test_id % 3 <> 0 AS has_county, zone_count, position, zone_name, given_fields FROM z
-    UNION ALL SELECT DISTINCT test_id, FALSE, FALSE, 0, NULL, NULL, NULL FROM pred WHERE test_id % 9 = 4""")
+    UNION ALL SELECT DISTINCT test_id, FALSE, FALSE, 0, NULL, NULL, NULL FROM pred WHERE test_id % 9 = 4""",
+       types={"zone_count": "INTEGER", "position": "INTEGER", "given_fields": "INTEGER"})
 def response_profile(t):
     return scoring.response_profile(_tests_and_truth(t)[0])
 
@@ -416,7 +428,7 @@ def prompt_ranking(t):
           FROM p JOIN gt_documents g ON p.ground_truth_doc_id = g.id
                JOIN documents d ON p.ground_truth_doc_id = d.doc_id)
     SELECT prompt_experiment_id, ground_truth_doc_id, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5
-    FROM q""", ("tests", "gt_documents"))
+    FROM q""", ("tests", "gt_documents"), {"prompt_chars": "INTEGER"})
 def build_prompts(t):
     template = F.concat(F.lit("Experiment "), F.col("id"), F.lit(
         ': answer {{"zones": []}} for {municipality}, {county}, {state}.\n{text_content}\nEnd of {municipality}'))
@@ -438,6 +450,7 @@ def build_prompts(t):
            CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS principal_min_side_yard_ft,
            NULL AS principal_min_rear_yard_ft, 30.0 AS principal_max_height_feet, NULL AS max_building_coverage_percent,
            CAST(p_size AS DOUBLE) AS max_lot_coverage_percent, 1.5 AS maximum_far, NULL AS maximum_density_units_per_acre,
-           2.5 AS principal_max_height_stories FROM part""")
+           2.5 AS principal_max_height_stories FROM part""",
+       types={"position": "INTEGER", "principal_max_height_stories": "DOUBLE", **{k: "DOUBLE" for k in fv.PHRASES}})
 def rule_extract(t):
     return prompts.rule_extract(src.ordinance_texts(t.spark, t.folder))
