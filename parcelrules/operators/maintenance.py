@@ -147,13 +147,18 @@ def apply_job_events(jobs: DataFrame, events: DataFrame) -> DataFrame:
         F.min(F.when(F.col("status") == "processing", F.col("event_at"))).alias("first_processing_at"),
         F.max(F.when(F.col("status").isin(fv.FINAL_STATUSES), F.col("event_at"))).alias("closed_at"),
         F.max("event_at").alias("last_at"))
-    changed = {"processing_status": F.coalesce("last_status", "processing_status"),
-               "ai_model_used": F.coalesce("last_model", "ai_model_used"),
-               "processing_started_at": F.coalesce("processing_started_at", "first_processing_at"),
-               "processing_completed_at": F.coalesce("closed_at", "processing_completed_at"),
-               "updated_at": F.coalesce("last_at", "updated_at")}
-    return jobs.join(folded, "id", "left").select(
-        *[changed[c].alias(c) if c in changed else F.col(c) for c in jobs.columns])
+    have = set(jobs.columns)
+    joined = jobs.join(folded, "id", "left")
+
+    def newer(column: str, fresh: str, keep_old: bool = False) -> Column:
+        both = [F.col(c) for c in ((column, fresh) if keep_old else (fresh, column)) if c == fresh or c in have]
+        return F.coalesce(*both).alias(column)
+
+    changed = ["processing_status", "ai_model_used", "processing_started_at", "processing_completed_at", "updated_at"]
+    return joined.select(
+        *[c for c in jobs.columns if c not in changed], newer("processing_status", "last_status"),
+        newer("ai_model_used", "last_model"), newer("processing_started_at", "first_processing_at", keep_old=True),
+        newer("processing_completed_at", "closed_at"), newer("updated_at", "last_at"))
 
 
 def dedupe_documents(documents: DataFrame) -> DataFrame:

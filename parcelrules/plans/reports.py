@@ -54,13 +54,14 @@ def test_results_export(tests: DataFrame, experiments: DataFrame, gt_documents:
              "document_complexity")
     numbers = ("overall_accuracy_score", "zone_identification_accuracy", "field_extraction_accuracy",
                "location_extraction_accuracy", "parsed_zones_count", "processing_time_seconds", "llm_tokens_used")
+    # The tie-breaks also let the range sort split a day that holds many tests.
+    rows = rows.orderBy(F.desc("test_date"), "prompt_experiment_id", "ground_truth_doc_id", "test_epoch")
     rows = rows.fillna("", list(texts)).fillna(0, list(numbers)).fillna(False, ["extraction_success", "is_baseline"])
     return rows.select(
         "test_epoch", F.date_format("test_date", STAMP).alias("test_date"), *numbers[:4], "parsed_zones_count",
         "extraction_success", *numbers[5:], *texts[:3], "is_baseline", *texts[3:], "improvement_over_baseline",
         scores.band(F.col("overall_accuracy_score"), fv.ACCURACY_BANDS).alias("accuracy_category"),
-        scores.band(F.col("zone_identification_accuracy"), fv.ZONE_BANDS).alias("zone_extraction_category"),
-    ).orderBy(F.desc("test_date"))
+        scores.band(F.col("zone_identification_accuracy"), fv.ZONE_BANDS).alias("zone_extraction_category"))
 
 
 def _daily(tests: DataFrame, experiments: DataFrame, dims: list[str], sums: dict[str, str],
@@ -107,11 +108,12 @@ def accuracy_timeline(tests: DataFrame, experiments: DataFrame, as_of: str, days
     means = {"daily_accuracy": "overall_accuracy_score", "daily_zone_accuracy": "zone_identification_accuracy",
              "daily_field_accuracy": "field_extraction_accuracy"}
     daily = _daily(tests, experiments, ["prompt_name", "prompt_version", "is_baseline"], means, as_of, days)
-    baseline = daily.where("is_baseline").groupBy("day").agg(F.avg("daily_accuracy").alias("baseline_accuracy"))
     acc = F.col("daily_accuracy")
+    # A window over the day's prompt means: joining a second aggregate would scan the facts twice.
+    baseline = F.avg(F.when(F.col("is_baseline"), acc)).over(Window.partitionBy("day"))
     before = F.lag(acc).over(Window.partitionBy("prompt_name", "prompt_version").orderBy("day"))
     return (
-        daily.join(baseline, "day", "left")
+        daily.withColumn("baseline_accuracy", baseline)
         .withColumn("previous_day_accuracy", before)
         .withColumn("day_over_day_change", acc - F.col("previous_day_accuracy"))
         .select(
@@ -153,13 +155,12 @@ def field_accuracy_heatmap(zone_results: DataFrame, experiments: DataFrame, gt_r
     docs = gt_documents.select(F.col("id").alias("ground_truth_doc_id"), "document_complexity")
     # The two truth tables meet first: both are far smaller than the facts.
     verified = truth.join(docs, "ground_truth_doc_id")
-    return (
-        recent.join(exp, "prompt_experiment_id").join(verified, "ground_truth_req_id")
-        .select("prompt_name", "prompt_version", "predicted_zone", "actual_zone",
-                *[scores.relative_accuracy(F.col(f"predicted_{f}"), F.col(f)).alias(n)
-                  for n, f in HEATMAP_FIELDS.items()],
-                F.date_format("test_date", STAMP).alias("test_date"), "document_complexity")
-        .orderBy(F.desc("test_date")))
+    rows = recent.join(exp, "prompt_experiment_id").join(verified, "ground_truth_req_id").orderBy(
+        F.desc("test_date"), "prompt_experiment_id", "ground_truth_req_id")
+    return rows.select(
+        "prompt_name", "prompt_version", "predicted_zone", "actual_zone",
+        *[scores.relative_accuracy(F.col(f"predicted_{f}"), F.col(f)).alias(n) for n, f in HEATMAP_FIELDS.items()],
+        F.date_format("test_date", STAMP).alias("test_date"), "document_complexity")
 
 
 def zone_extraction_analysis(zone_results: DataFrame, gt_requirements: DataFrame, gt_documents: DataFrame,

@@ -82,6 +82,31 @@ def apply_status_events(t):
     return m.apply_document_events(t.zdocuments, t.status_events)
 
 
+@query("apply_job_events", """
+    WITH f AS (
+      SELECT job_id, arg_max(status, row(event_at, event_id)) AS last_status,
+        arg_max(ai_model_used, row(event_at, event_id)) FILTER (WHERE ai_model_used IS NOT NULL) AS ai_model_used,
+        min(event_at) FILTER (WHERE status = 'processing') AS processing_started_at,
+        max(event_at) FILTER (WHERE status IN ('completed', 'failed')) AS processing_completed_at,
+        max(event_at) AS updated_at
+      FROM job_events GROUP BY 1)
+    SELECT id, town, county, state, created_at, coalesce(last_status, processing_status) AS processing_status,
+           f.ai_model_used, f.processing_started_at, f.processing_completed_at, f.updated_at
+    FROM jobs LEFT JOIN f ON id = job_id""", (JOBS, "job_events"))
+def apply_job_events(t):
+    return m.apply_job_events(t.jobs, t.job_events)
+
+
+@query("remove_orphans", """
+    WITH r AS (SELECT * FROM requirements WHERE job_id IS NULL OR job_id IN (SELECT id FROM jobs)),
+    j AS (SELECT * FROM jobs WHERE processing_status = 'pending' OR id IN (SELECT job_id FROM r WHERE job_id IS NOT NULL))
+    SELECT 'jobs' AS table_name, id FROM j UNION ALL SELECT 'requirements', id FROM r""", (REQ, JOBS))
+def remove_orphans(t):
+    requirements, jobs = m.remove_orphans(t.requirements, t.jobs)
+    return jobs.select(F.lit("jobs").alias("table_name"), "id").unionByName(
+        requirements.select(F.lit("requirements").alias("table_name"), "id"))
+
+
 @query("dedupe_documents", """
     SELECT id, original_filename, file_size, municipality, state, processing_status, created_at FROM (
       SELECT *, row_number() OVER (PARTITION BY original_filename ORDER BY created_at DESC, id DESC) AS rn

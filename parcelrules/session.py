@@ -22,6 +22,8 @@ RUNTIME_CONF = {
     # Tasks here are heavy on CPU for their bytes: small shuffles should still use all cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even where the next aggregate then needs a shuffle of its own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # A repeated key in a JSON object keeps its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

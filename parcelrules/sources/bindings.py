@@ -124,6 +124,13 @@ BINDINGS = {
                CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'e' || CAST(event_id AS VARCHAR(20))
                     ELSE NULL END AS error_message
         FROM {events}""",
+    "job_events": """
+        SELECT event_id, user_id AS job_id, ts AS event_at,
+               CASE event_type WHEN 'view' THEN 'pending' WHEN 'signup' THEN 'processing' WHEN 'click' THEN 'processing'
+                    WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
+               CASE WHEN event_id % 4 = 0 THEN 'model_' || CAST(event_id % 9 AS VARCHAR(10)) ELSE NULL END
+                   AS ai_model_used
+        FROM {events}""",
     "attempts": """
         SELECT 'file_' || CAST(l_orderkey AS VARCHAR(20)) AS path, l_linenumber AS attempt_no,
                l_returnflag = 'A' AND l_linenumber % 2 = 0 AS ok
