@@ -58,6 +58,11 @@ def by_id(table: DataFrame, row_id: object) -> DataFrame:
     return table.where(F.col("id") == row_id)
 
 
+def by_ids(table: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose ``key`` is among the wanted ids (a DataFrame with that column)."""
+    return table.join(wanted.select(key).distinct(), key, "left_semi").select(*table.columns)
+
+
 def active_experiments(stats: DataFrame, active_only: bool = True) -> DataFrame:
     rows = stats.where("is_active") if active_only else stats
     return rows.orderBy(F.desc_nulls_first("average_accuracy_score"), "id")
@@ -70,3 +75,9 @@ def tests_last_n_days(tests: DataFrame, as_of: str, days: int = 30) -> DataFrame
 
 def gt_requirements_for_doc(gt_requirements: DataFrame, doc_id: object) -> DataFrame:
     return gt_requirements.where(F.col("ground_truth_doc_id") == doc_id).orderBy("zone")
+
+
+def gt_requirements_for_docs(gt_requirements: DataFrame, gt_documents: DataFrame) -> DataFrame:
+    """Verified zones of all the given documents, with the document's name."""
+    docs = gt_documents.select(F.col("id").alias("ground_truth_doc_id"), "document_name")
+    return gt_requirements.join(docs, "ground_truth_doc_id")

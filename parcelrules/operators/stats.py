@@ -54,12 +54,15 @@ def experiment_stats(experiments: DataFrame, tests: DataFrame) -> DataFrame:
     return experiments.join(test_rollup(tests), "id", "left").fillna(zero_filled)
 
 
-def experiment_results(tests: DataFrame, experiment_id: object) -> DataFrame:
-    """Mean accuracy of one experiment with its number of tests; 0 if untested."""
-    return tests.where(F.col("prompt_experiment_id") == experiment_id).agg(
-        F.lit(experiment_id).alias("experiment_id"),
-        F.count(F.lit(1)).alias("total_tests"),
-        F.coalesce(F.avg("overall_accuracy_score"), F.lit(0.0)).alias("average_accuracy"))
+def experiment_results(experiments: DataFrame, tests: DataFrame, experiment_id: object | None = None) -> DataFrame:
+    """Number of tests and mean accuracy per experiment (or of one); 0 if untested."""
+    if experiment_id is not None:
+        experiments = experiments.where(F.col("id") == experiment_id)
+        tests = tests.where(F.col("prompt_experiment_id") == experiment_id)
+    means = tests.groupBy(F.col("prompt_experiment_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("total_tests"), F.avg("overall_accuracy_score").alias("average_accuracy"))
+    return experiments.select(F.col("id"), "prompt_name", "prompt_version").join(means, "id", "left").fillna(
+        {"total_tests": 0, "average_accuracy": 0.0})
 
 
 def experiment_tests(tests: DataFrame, experiment_id: object) -> DataFrame:
@@ -80,16 +83,17 @@ def best_prompts(stats: DataFrame, min_tests: int = 5, limit: int = 10) -> DataF
                 F.col("last_tested_at").alias("last_tested")))
 
 
-def document_test_results(tests: DataFrame, experiments: DataFrame, doc_id: object) -> DataFrame:
+def document_test_results(tests: DataFrame, experiments: DataFrame, doc_id: object | None = None) -> DataFrame:
+    """Tests with their prompt, newest first, of one document or of all."""
+    rows = tests if doc_id is None else tests.where(F.col("ground_truth_doc_id") == doc_id)
     return (
-        tests.where(F.col("ground_truth_doc_id") == doc_id)
-        .join(experiments.select("id", "prompt_name", "prompt_version"), F.col("prompt_experiment_id") == F.col("id"))
-        .select("prompt_name", "prompt_version", "test_epoch",
+        rows.join(experiments.select("id", "prompt_name", "prompt_version"), F.col("prompt_experiment_id") == F.col("id"))
+        .select("ground_truth_doc_id", "prompt_name", "prompt_version", "test_epoch",
                 F.col("overall_accuracy_score").alias("overall_accuracy"),
                 F.col("zone_identification_accuracy").alias("zone_accuracy"),
                 F.col("field_extraction_accuracy").alias("field_accuracy"),
                 F.col("parsed_zones_count").alias("zones_found"), "test_date")
-        .orderBy(F.desc("test_date"), "prompt_name", "prompt_version", "test_epoch"))
+        .orderBy("ground_truth_doc_id", F.desc("test_date"), "prompt_name", "prompt_version", "test_epoch"))
 
 
 def test_summary(experiments: DataFrame, tests: DataFrame, start: datetime, end: datetime) -> DataFrame:

@@ -89,20 +89,20 @@ def active_experiments(t):
 
 
 @query("experiment_results", """
-    SELECT 7 AS experiment_id, count(*) AS total_tests,
+    SELECT e.id, prompt_name, prompt_version, count(prompt_experiment_id) AS total_tests,
            round(coalesce(avg(overall_accuracy_score), 0), 9) AS average_accuracy
-    FROM tests WHERE prompt_experiment_id = 7""", (TESTS,))
+    FROM experiments e LEFT JOIN tests ON prompt_experiment_id = e.id GROUP BY 1, 2, 3""", (EXP, TESTS))
 def experiment_results(t):
-    return rounded(stats.experiment_results(t.tests, 7))
+    return rounded(stats.experiment_results(t.experiments, t.tests))
 
 
 @query("document_test_results", """
-    SELECT prompt_name, prompt_version, test_epoch, round(overall_accuracy_score, 9) AS overall_accuracy,
-           round(zone_identification_accuracy, 9) AS zone_accuracy, round(field_extraction_accuracy, 9)
-           AS field_accuracy, parsed_zones_count AS zones_found, test_date
-    FROM tests JOIN experiments e ON prompt_experiment_id = e.id WHERE ground_truth_doc_id = 42""", (EXP, TESTS))
+    SELECT ground_truth_doc_id, prompt_name, prompt_version, test_epoch, round(overall_accuracy_score, 9)
+           AS overall_accuracy, round(zone_identification_accuracy, 9) AS zone_accuracy,
+           round(field_extraction_accuracy, 9) AS field_accuracy, parsed_zones_count AS zones_found, test_date
+    FROM tests JOIN experiments e ON prompt_experiment_id = e.id""", (EXP, TESTS))
 def document_test_results(t):
-    return rounded(stats.document_test_results(t.tests, t.experiments, 42))
+    return rounded(stats.document_test_results(t.tests, t.experiments))
 
 
 @query("test_summary", f"""WITH {STATS_SQL},
@@ -382,11 +382,13 @@ def list_documents(t):
     return search.list_documents(t.zdocuments, status="completed", municipality="src1", skip=10, limit=20)
 
 
-@query("document_by_id", "SELECT * FROM zdocuments WHERE id = 17", ("zdocuments",))
+@query("document_by_id", "SELECT * FROM zdocuments WHERE id IN (SELECT document_id FROM status_events)",
+       ("zdocuments", "status_events"))
 def document_by_id(t):
-    return search.by_id(t.zdocuments, 17)
+    return search.by_ids(t.zdocuments, t.status_events.select(F.col("document_id").alias("id")))
 
 
-@query("gt_requirements_for_doc", "SELECT * FROM gt_requirements WHERE ground_truth_doc_id = 42", (GTR,))
+@query("gt_requirements_for_doc", """SELECT g.*, document_name FROM gt_requirements g
+    JOIN gt_documents d ON ground_truth_doc_id = d.id""", (GTR, GTD))
 def gt_requirements_for_doc(t):
-    return search.gt_requirements_for_doc(t.gt_requirements, 42)
+    return search.gt_requirements_for_docs(t.gt_requirements, t.gt_documents)

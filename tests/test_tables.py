@@ -165,3 +165,16 @@ def test_sinks(spark, tmp_path):
     assert any("i,s,x" in f.read_text() for f in (tmp_path / "none").glob("part-*"))
     fields = sinks.catalogue(spark, {"jobs_export": df}).orderBy("position").collect()
     assert [(r.field, r.type) for r in fields] == [("i", "int"), ("s", "string"), ("x", "double")]
+
+
+def test_single_row_lookups(spark, folder):
+    from parcelrules.operators import search
+    from parcelrules.plans.registry import Tables
+
+    t = Tables(spark, folder)
+    one = stats.experiment_results(t.experiments, t.tests, 3).first()
+    assert one.total_tests == stats.experiment_tests(t.tests, 3).count() == t.tests.where("prompt_experiment_id = 3").count()
+    docs = stats.document_test_results(t.tests, t.experiments, 42)
+    assert docs.count() == t.tests.where("ground_truth_doc_id = 42").count()
+    assert search.by_id(t.zdocuments, 17).count() == 1
+    assert search.gt_requirements_for_doc(t.gt_requirements, 42).first().id == 42
