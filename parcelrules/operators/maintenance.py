@@ -62,8 +62,9 @@ def upsert_keep_created(old: DataFrame, changes: DataFrame, keys: list[str] = UP
 def insert_ignore(old: DataFrame, rows: DataFrame, keys: list[str],
                   order: tuple[str, ...] = ("id",)) -> DataFrame:
     """Add rows whose key is new; of several new rows with one key the first is taken."""
-    fresh = rows.join(old.select(*keys).distinct(), keys, "left_anti")
-    return old.unionByName(first_per_key(fresh, keys, list(order)))
+    # One row per key is picked before the join, so that a hot new key is small by then.
+    fresh = first_per_key(rows, keys, list(order)).join(old.select(*keys), keys, "left_anti")
+    return old.unionByName(fresh.select(*old.columns))
 
 
 def create_jobs(documents: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -82,7 +83,7 @@ def create_jobs(documents: DataFrame, existing: DataFrame | None = None) -> Data
                             town.alias("town"), county.alias("county"),
                             F.coalesce(F.col("state"), F.lit(fv.DEFAULT_STATE)).alias("state"))
     place = ["town", "county", "state"]
-    contenders = jobs if existing is None else jobs.join(existing.select(*place).distinct(), place, "left_anti")
+    contenders = jobs if existing is None else jobs.join(existing.select(*place), place, "left_anti")
     winners = (contenders.groupBy(*place).agg(F.min_by("document_id", F.struct("created_at", "document_id"))
                                               .alias("document_id"))
                .select("document_id", F.lit(True).alias("accepted")))
@@ -196,7 +197,7 @@ def remove_orphans(requirements: DataFrame, jobs: DataFrame) -> tuple[DataFrame,
 
 def delete_children(children: DataFrame, deleted_parents: DataFrame, foreign_key: str) -> DataFrame:
     """Children whose parent was not deleted; a null foreign key stays."""
-    gone = deleted_parents.select(F.col("id").alias(foreign_key)).distinct()
+    gone = deleted_parents.select(F.col("id").alias(foreign_key))
     return children.join(gone, foreign_key, "left_anti").select(*children.columns)
 
 

@@ -16,6 +16,7 @@ from parcelrules.functions import scores, variants as v
 from parcelrules.functions.numeric import parse_double
 from parcelrules.functions.text import let
 from parcelrules.operators.responses import strict_json
+from parcelrules.operators.skew import splittable
 
 
 def scorer_zones(raw: Column) -> Column:
@@ -88,7 +89,7 @@ def score_extractions(tests: DataFrame, truth: DataFrame) -> DataFrame:
         F.count_distinct("zone_key").alias("found"), F.sum("score").alias("score"), F.sum("n").alias("n"))
     expected = verified.groupBy("ground_truth_doc_id").agg(F.count_distinct("zone_key").alias("expected"))
     rows = (tests.select("test_id", "ground_truth_doc_id").join(per_test, "test_id", "left")
-            .join(expected, "ground_truth_doc_id", "left"))
+            .join(splittable(expected, "ground_truth_doc_id"), "ground_truth_doc_id", "left"))
     zone = F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("expected")), F.lit(0.0))
     field = F.coalesce(F.try_divide("score", "n"), F.lit(0.0))
     known = F.col("expected").isNotNull()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelrules.functions.scores import success_rate
 from parcelrules.functions.text import prompt_label
+from parcelrules.operators.skew import splittable
 
 TEST_MEASURES = {
     "average_accuracy_score": "overall_accuracy_score",
@@ -169,7 +170,7 @@ def duplicate_documents(documents: DataFrame) -> DataFrame:
     groups = (named.groupBy("original_filename")
               .agg(F.count(F.lit(1)).alias("copies"), F.max(F.struct("created_at", "id")).alias("newest"))
               .where(F.col("copies") > 1))
-    return named.join(groups, "original_filename").select(
+    return named.join(splittable(groups, "original_filename"), "original_filename").select(
         "original_filename", "copies", "id", "created_at", (F.col("newest.id") == F.col("id")).alias("is_kept"))
 
 

@@ -88,10 +88,29 @@ def normalize_stream(stream: DataFrame, target: str, checkpoint: str, poll: str
     return run_batches(stream, checkpoint, write, poll)
 
 
-def current_requirements(spark: SparkSession, target: str) -> DataFrame:
-    """The table after all batches: the last write of each key."""
-    rows = spark.read.parquet(target).drop("batch_id")
-    return maintenance.latest_per_key(rows, maintenance.UPSERT_KEY, ["extracted_at", "response_id", "position"])
+WRITE_ORDER = ["extracted_at", "response_id", "position"]
+
+
+def current_requirements(spark: SparkSession, target: str, snapshots: str | None = None,
+                         upto: int = -1) -> DataFrame:
+    """The table now: the last write of each key.
+
+    With the snapshot that holds all batches up to ``upto``, only newer batches
+    are read (their folders are pruned by ``batch_id``).
+    """
+    rows = spark.read.parquet(target).where(F.col("batch_id") > upto).drop("batch_id")
+    if snapshots is not None and upto >= 0:
+        rows = spark.read.parquet(f"{snapshots}/upto={upto}").unionByName(rows)
+    return maintenance.latest_per_key(rows, maintenance.UPSERT_KEY, WRITE_ORDER)
+
+
+def compact(spark: SparkSession, target: str, snapshots: str, upto: int, previous: int = -1) -> None:
+    """Write the snapshot of all batches up to ``upto``, starting from an earlier one."""
+    batches = spark.read.parquet(target).where(F.col("batch_id").between(previous + 1, upto)).drop("batch_id")
+    if previous >= 0:
+        batches = spark.read.parquet(f"{snapshots}/upto={previous}").unionByName(batches)
+    maintenance.latest_per_key(batches, maintenance.UPSERT_KEY, WRITE_ORDER).write.mode("overwrite").parquet(
+        f"{snapshots}/upto={upto}")
 
 
 def partial_stats(tests: DataFrame) -> DataFrame:
