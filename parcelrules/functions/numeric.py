@@ -13,7 +13,8 @@ INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 
 
 def parse_double(text: Column) -> Column:
-    return F.when(text.rlike(DECIMAL_TEXT), strip(text).try_cast("double"))
+    # The cast itself ignores the blanks the pattern allows.
+    return F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
 
 
 def parse_int(text: Column) -> Column:

@@ -134,7 +134,8 @@ def with_place(parsed: DataFrame) -> DataFrame:
 
 def zone_name(zone: Column) -> Column:
     name = F.coalesce(*[v.shown_name(zone[k]) for k in fv.ZONE_NAME_KEYS])
-    return F.coalesce(text.clean_zone_name(name), F.lit(fv.UNKNOWN_ZONE))
+    cleaned = let(name, lambda n: text.strip(text.drop_footnotes(n)))
+    return F.coalesce(cleaned, F.lit(fv.UNKNOWN_ZONE))
 
 
 def area_zone_name(name: Column) -> Column:

@@ -22,7 +22,7 @@ POLL = "5 seconds"
 
 def run_batches(stream: DataFrame, checkpoint: str, per_batch: Callable[[DataFrame, int], None],
                 poll: str | None = None):
-    """All available input and stop, or poll every ``poll`` until stopped."""
+    """All available input and stop, or look again every ``poll`` (say, ``POLL``) until stopped."""
     writer = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     query = (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
     if not poll:
