@@ -136,9 +136,9 @@ BRACKET_NOTE = r"\([0-9]+\)"
 TRAILING_COMMA = r",(\s*[}\]])"
 CONTROL_CHARS = r"[\x00-\x1F\x7F-\x9F]"
 ZONE_MENTION_PATTERNS = [
-    r"(?i)(?:zone|district)[:\s]*([A-Z0-9\-]+)",
-    r"(?i)([A-Z]{1,2}-\d+)",
-    r"(?i)([RC]-\d+)",
+    r"(?iU)(?:zone|district)[:\s]*([A-Z0-9\-]+)",
+    r"(?iU)([A-Z]{1,2}-\d+)",
+    r"(?iU)([RC]-\d+)",
 ]
 MAX_ZONE_MENTION_LENGTH = 50
 

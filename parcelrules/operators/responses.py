@@ -178,7 +178,8 @@ def zone_rows(placed: DataFrame) -> DataFrame:
     """One row per zone of a response: ``position``, ``zone`` (name) and ``zone_object``.
 
     Reading stops at the first element that is not an object, and the first of
-    several zones with one name (ignoring case) is taken.
+    several zones with one name is taken; zones of a list are told apart without
+    regard to case, zones mentioned in a text with it.
     """
     mentioned = F.transform(zone_mentions(F.col("response_text")),
                             lambda z: F.try_variant_get(F.parse_json(F.to_json(F.struct(z.alias("zone")))), "$", ZONE))
@@ -188,7 +189,8 @@ def zone_rows(placed: DataFrame) -> DataFrame:
         lambda bad: F.when(bad > 0, F.slice(zones, F.lit(1), bad - 1)).otherwise(zones)))
     staged = placed.withColumn("_zones", whole)
     staged = staged.withColumn("_names", F.transform("_zones", zone_name))
-    staged = staged.withColumn("_keys", F.transform("_names", F.lower))
+    staged = staged.withColumn("_keys", F.when(F.col("outcome") == "text", F.col("_names"))
+                               .otherwise(F.transform("_names", F.lower)))
     first = F.filter(F.arrays_zip(F.col("_names").alias("zone"), F.col("_keys").alias("key"),
                                   F.col("_zones").alias("zone_object"),
                                   F.transform("_keys", lambda _, i: i).alias("position")),

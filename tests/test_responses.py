@@ -41,6 +41,7 @@ ZONE_LISTS = [
     ('{"raw_response": "{\\"zones\\": [{\\"zone\\": \\"In\\"}]}"}', ["In"]),
     ('{"raw_response": 5, "zones": [{"zone": "A"}]}', ["A"]),
     ('{"zones": [{"zone_name": "", "zone": null, "district": 0, "name": 7}]}', ["7"]),
+    ('zone R-1, zone r-1, zone R-1', ["R-1", "r-1"]),
     ('{"a": 1, "a": 2, "zones": [{"zone": "X", "zone": "Y"}]}', ["Y"]),
 ]
 

@@ -70,6 +70,7 @@ def test_field_accuracy(spark):
     ("Zone R-1: Minimum lot area 10,000 sqft. Zone C-2: max FAR 2.0.", {"R-1", "C-2"}),
     ("ZONE R-1 SINGLE FAMILY; zoning district c-2; The zones are Zoned R1. word-4 AB-12",
      {"R-1", "c-2", "s", "d", "rd-4", "AB-12"}),
+    ("district\u00a0B-7", {"B-7"}),
 ])
 def test_zone_mentions(spark, said, zones):
     (row,) = evaluate(spark, [(said,)], "s string", v=responses.zone_mentions(F.col("s")))
