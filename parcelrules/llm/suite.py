@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, packing
+from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -41,3 +41,43 @@ def contamination(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pack")
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(packing.pack(c.table(spark, folder, "documents"), tokenizer_path()))
+
+
+@query("op8_divergence")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.quality(c.table(spark, folder, "documents"))
+
+
+# The rules of the query, as SQL that both engines read.
+RULES = """SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+    ('org', '/fr/', 'allow')) AS rules(host, path, verdict)"""
+# A page's URL is on the list if its host has a name of this form.
+LISTED = "(^|[.])(spam|cheap-pills|casino|adult|malware)[a-z-]*[.]"
+
+
+@query("op10_url_filter", f"""
+    WITH rules AS ({RULES}), parts AS (
+        SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), split AS (
+        SELECT page_id, url, rest, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+    ), named AS (
+        SELECT *, regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') || coalesce('?' || nullif(array_to_string(
+               list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+               lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)', 'i'))), '&'), ''), '') AS canonical
+        FROM split
+    ), listed AS (
+        SELECT DISTINCT canonical FROM named WHERE regexp_matches(host, '{LISTED}')
+    ), fitting AS (
+        SELECT DISTINCT n.host, n.path, r.host || r.path AS rule, r.verdict FROM (SELECT DISTINCT host, path FROM named) n JOIN rules r
+        ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+    ), best AS (
+        SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM fitting GROUP BY host, path
+    )
+    SELECT n.page_id, n.host, n.path, b.rule,
+           coalesce(b.verdict, CASE WHEN n.host <> '' AND l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+    FROM named n LEFT JOIN best b USING (host, path) LEFT JOIN listed l USING (canonical)""")
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    pages = c.table(spark, folder, "pages")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED)).select("url")
+    return url_filter.judge(pages, spark.sql(RULES), listed)
