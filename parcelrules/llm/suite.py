@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, packing, url_filter
+from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, order_minhash, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -81,3 +81,8 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     pages = c.table(spark, folder, "pages")
     listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED)).select("url")
     return url_filter.judge(pages, spark.sql(RULES), listed)
+
+
+@query("op4_order_minhash")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.classes(c.table(spark, folder, "documents"))
