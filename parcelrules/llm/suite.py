@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, order_minhash, packing, url_filter
+from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -86,3 +86,8 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_order_minhash")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.classes(c.table(spark, folder, "documents"))
+
+
+@query("op7_kd_shards")
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    return kd_shards.shard(c.table(spark, folder, "documents"))
