@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from parcelrules.session import prepare, work_folder
 
 BATCH_ROWS = 1000        # rows handed to Python at once
+BROADCAST_ROWS = 1 << 18 # a side of short rows (64 bytes at most) is broadcast up to this many rows, 16 MB
 BLOCK_BYTES = 1 << 22    # bytes hashed at once; bounds the temporary arrays
 
 
@@ -39,11 +40,9 @@ def materialised(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_key(text: str = "text"):
-    """A text's identity: 64-bit hash, a second hash of another seed, and its length."""
-    shown = F.coalesce(F.col(text), F.lit(""))
-    return F.struct(F.xxhash64(shown).alias("a"), F.xxhash64(F.lit(7), shown).alias("b"),
-                    F.octet_length(shown).cast("long").alias("n"))
+def slim(side: DataFrame, rows: int) -> DataFrame:
+    """A side of short rows: broadcast when its counted size is small, else left to a shuffled join."""
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
 # --- Arrow columns as numpy --------------------------------------------------------

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, url_filter
+from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, url_filter, warc
+from parcelrules.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -91,3 +92,13 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_kd_shards")
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     return kd_shards.shard(c.table(spark, folder, "documents"))
+
+
+@query("op5_warc", """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (digest)""")
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(c.table(spark, folder, "pages"), work_folder(spark, "warc"))
