@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, url_filter, warc
+from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, secret_cnn, url_filter, warc
 from parcelrules.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
            CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM p LEFT JOIN f USING (digest)""")
 def archived(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(c.table(spark, folder, "pages"), work_folder(spark, "warc"))
+
+
+@query("op9_secret_cnn")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_cnn.report(c.table(spark, folder, "documents"))
