@@ -152,10 +152,13 @@ def filter_size(counts: DataFrame, most: int) -> int:
     return bits
 
 
-def build_filter(counts: DataFrame, most_bits: int = FILTER_BITS) -> LevelFilter:
-    """The filter of (key, count) rows, built in pieces by the executors; its size bounds what the driver gets."""
+def build_filter(counts: DataFrame, most_bits: int = FILTER_BITS, every: bool = False) -> LevelFilter:
+    """The filter of (key, count) rows, built in pieces by the executors; its size bounds what the driver gets.
+
+    ``every``: all keys are entered, however full the filter gets.
+    """
     bits = filter_size(counts, most_bits)
-    least = least_level(counts, bits // BITS_PER_ENTRY)
+    least = 1 if every else least_level(counts, bits // BITS_PER_ENTRY)
     chunk_bits = 64 * CHUNK_WORDS
 
     def parts(batches):

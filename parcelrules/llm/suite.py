@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, secret_cnn, url_filter, warc
+from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, secret_cnn, suffix_dedup, url_filter, warc
 from parcelrules.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def archived(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_secret_cnn")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_cnn.report(c.table(spark, folder, "documents"))
+
+
+@query("op2_suffix_dedup")
+def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(c.table(spark, folder, "documents")).drop("spans")
