@@ -1,30 +1,64 @@
-"""The corpus pipeline: documents in, packed training windows out."""
+"""The corpus pipeline: documents in, packed training windows out.
+
+Each stage works on all rows that the one before kept; ``run`` writes a stage's
+rows and reads them again. All stages but the last return the columns of
+``documents``: rows with nulls, empty texts or repeated ids go through as each
+operator's module defines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelrules.llm import common as c, decontaminate, packing
+from parcelrules.llm import common as c, decontaminate, divergence, order_minhash, packing, secret_cnn
 from parcelrules.llm.suite import tokenizer_path
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the plain rules, or lie too far from their language's reference, go."""
+    return divergence.keep_good(prepared(spark, docs))
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document with the least doc_id stays."""
+    return order_minhash.one_of_each(prepared(spark, docs))
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with words of a benchmark window go."""
-    return decontaminate.remove_contaminated(docs, c.table(spark, sf_dir, "benchmark"))
+    """Documents with a word inside a benchmark window go."""
+    return decontaminate.remove_contaminated(prepared(spark, docs), c.table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return secret_cnn.redact(prepared(spark, docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(docs, tokenizer_path()))
+    """The pieces of windows of 4096 ids."""
+    return packing.digest(packing.pack(prepared(spark, docs), tokenizer_path()))
+
+
+def prepared(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The same rows under the library's session settings."""
+    c.session(spark)
+    return docs
 
 
-STAGES = [("benchmark decontamination", clean_of_benchmark), ("packing", packed)]
+STAGES = [
+    ("quality rules", good_quality),
+    ("near-duplicates", one_of_each_class),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("secret scans", without_secrets),
+    ("packing", packed),
+]
 
 # Packing follows a tokenizer's ids, which SQL can't express; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
+    """All stages over ``documents``."""
     docs = c.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = c.materialised(stage(spark, docs, sf_dir), name.replace(" ", "-"))
