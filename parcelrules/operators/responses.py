@@ -247,39 +247,71 @@ def normalize(responses: DataFrame, mode: str = "compatible") -> DataFrame:
 
 # --- the bulk call -------------------------------------------------------------------
 
-BULK_CALL = "struct<extracted_town:string,extracted_county:string,zoning_requirements:array<map<string,string>>>"
+CALL = v.struct_of(["extracted_town", "extracted_county", "zoning_requirements"])
+BULK_ZONE = v.struct_of(["zone_name", *fv.BULK_INTEGER_FIELDS, *fv.BULK_NUMERIC_FIELDS])
+NO_JSON, NO_TOWN, NO_LIST, TAKEN = "no_json", "no_town", "no_list", "taken"
+
+
+def read_calls(calls: DataFrame) -> DataFrame:
+    """``calls`` with outcome, town, county and ``elements``, the list's values whatever they are.
+
+    A call without a list has no zones; one with something else in its place fails.
+    """
+    read = calls.withColumn("_body", strict_json(F.col("response_text")))
+    read = read.withColumn("_call", F.try_variant_get("_body", "$", CALL))
+    given = F.col("_call.zoning_requirements")
+    elements = F.try_variant_get(given, "$", "array<variant>")
+    town = v.text(F.col("_call.extracted_town"))
+    outcome = (F.when(F.col("_body").isNull(), NO_JSON).when(town.isNull(), NO_TOWN)
+               .when(given.isNotNull() & elements.isNull(), NO_LIST).otherwise(TAKEN))
+    return read.select(*calls.columns, outcome.alias("outcome"), town.alias("town"),
+                       v.text(F.col("_call.extracted_county")).alias("county"), elements.alias("elements"))
 
 
 def bulk_rows(calls: DataFrame) -> DataFrame:
-    """Every zone of every bulk call with its casts; ``is_error`` where a cast failed."""
-    call = F.from_json("response_text", BULK_CALL)
-    rows = calls.select("response_id", call.alias("c")).where(F.col("c.extracted_town").isNotNull()).select(
-        "response_id", F.col("c.extracted_town").alias("town"), F.col("c.extracted_county").alias("county"),
-        F.posexplode("c.zoning_requirements").alias("position", "z"))
+    """Every element of every call's list with its casts.
+
+    ``is_error`` where a cast failed, the zone has no name, or the element is no object; the others stay.
+    """
+    rows = read_calls(calls).where(F.col("outcome") == TAKEN).select(
+        "response_id", "town", "county", F.posexplode("elements").alias("position", "element"))
+    rows = rows.withColumn("z", F.try_variant_get("element", "$", BULK_ZONE))
 
     def cast(field: str, to: str) -> Column:
-        raw = F.col("z")[field]
+        raw = v.text(F.col(f"z.{field}"))
         return F.when(raw.rlike(numeric.INTEGER_TEXT if to == "int" else numeric.DECIMAL_TEXT),
                       text.strip(raw).try_cast(to))
 
     casts = {f: cast(f, "int") for f in fv.BULK_INTEGER_FIELDS} | {f: cast(f, "double") for f in fv.BULK_NUMERIC_FIELDS}
-    failed = F.exists(F.array(*[F.struct(F.col("z")[f].alias("raw"), c.isNull().alias("lost"))
-                                for f, c in casts.items()]), lambda p: p["raw"].isNotNull() & p["lost"])
-    zone = F.col("z")["zone_name"]
+    failed = F.exists(F.array(*[F.struct(v.is_given(F.col(f"z.{f}")).alias("given"), c.isNull().alias("lost"))
+                                for f, c in casts.items()]), lambda p: p["given"] & p["lost"])
+    zone = v.text(F.col("z.zone_name"))
     return rows.select("response_id", "position", "town", "county", zone.alias("zone_name"),
-                       *[c.alias(f) for f, c in casts.items()], (failed | zone.isNull()).alias("is_error"))
+                       *[c.alias(f) for f, c in casts.items()], (zone.isNull() | F.coalesce(failed, F.lit(False))).alias("is_error"))
 
 
 def bulk_report(calls: DataFrame) -> DataFrame:
     """Per call: success, a message and how many zones were taken or refused."""
-    call = F.from_json("response_text", BULK_CALL)
-    heads = calls.select("response_id", call.alias("c")).select(
-        "response_id", F.col("c.extracted_town").alias("town"), F.col("c.extracted_county").alias("county"))
     counts = bulk_rows(calls).groupBy("response_id").agg(
         F.count_if(~F.col("is_error")).alias("inserted_count"), F.count_if("is_error").alias("error_count"))
-    out = heads.join(counts, "response_id", "left").fillna(0, ["inserted_count", "error_count"])
+    out = read_calls(calls).drop("elements").join(counts, "response_id", "left").fillna(0, ["inserted_count", "error_count"])
+    taken = F.col("outcome") == TAKEN
+    message = (F.when(F.col("outcome") == NO_JSON, "Error processing JSON: not a JSON value")
+               .when(F.col("outcome") == NO_TOWN, "Missing required field: extracted_town")
+               .when(F.col("outcome") == NO_LIST, "Error processing JSON: zoning_requirements is no list")
+               .otherwise(F.format_string("Successfully processed %d zones, %d errors", "inserted_count", "error_count")))
     return out.select(
-        "response_id", F.col("town").isNotNull().alias("success"),
-        F.when(F.col("town").isNull(), F.lit("Missing required field: extracted_town")).otherwise(
-            F.format_string("Successfully processed %d zones, %d errors", "inserted_count", "error_count"))
-        .alias("message"), "inserted_count", "error_count", "town", "county")
+        "response_id", taken.alias("success"), message.alias("message"), "inserted_count", "error_count",
+        F.when(taken, F.col("town")).alias("town"), F.when(taken, F.col("county")).alias("county"))
+
+
+def bulk_document_status(calls: DataFrame) -> DataFrame:
+    """What a call does to the document it names (document_id): completed, failed with the reason, or nothing.
+
+    A call without a town is turned away before it touches its document.
+    """
+    report = bulk_report(calls).select("response_id", "success", "message")
+    outcome = read_calls(calls).select("response_id", "document_id", "outcome").join(report, "response_id")
+    return outcome.where(F.col("document_id").isNotNull() & (F.col("outcome") != NO_TOWN)).select(
+        "document_id", F.when(F.col("success"), "completed").otherwise("failed").alias("processing_status"),
+        F.when(~F.col("success"), F.substring_index("message", ": ", -1)).alias("error_message"))

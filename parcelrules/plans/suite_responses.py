@@ -239,10 +239,14 @@ _BULK_CASTS = ", ".join(
       .get(f, "NULL")) for f in fv.BULK_NUMERIC_FIELDS])
 BULK_CHECK = f"""
     bv AS ({_ansi(src.BULK_VALUES)}),
+    taken AS (SELECT *, count(*) OVER (PARTITION BY response_id) AS zones FROM bv
+              WHERE response_id % 11 <> 0 AND response_id % 13 <> 5 AND response_id % 17 <> 6),
     b AS (SELECT response_id, pos AS position, 'Town_' || CAST(response_id % 50 AS VARCHAR) AS town, NULL AS county,
                  CASE WHEN k % 19 <> 0 THEN zone_name END AS zone_name, {_BULK_CASTS},
-                 k % 5 IN (1, 2) OR k % 17 = 0 OR k % 19 = 0 AS is_error
-          FROM bv WHERE response_id % 11 <> 0)"""
+                 k % 5 IN (1, 2) OR k % 17 = 0 OR k % 19 = 0 AS is_error FROM taken
+          UNION ALL BY NAME
+          SELECT DISTINCT response_id, zones + odd AS position, 'Town_' || CAST(response_id % 50 AS VARCHAR) AS town,
+                 TRUE AS is_error FROM taken, (VALUES (0), (1), (2)) o(odd) WHERE response_id % 7 = 2)"""
 
 
 @query("bulk_parse", f"WITH {BULK_CHECK} SELECT * FROM b", types=BULK_TYPES)
@@ -257,20 +261,35 @@ def bulk_upsert(t):
     return maintenance.latest_per_key(good, ["town", "zone_name"], ["response_id", "position"])
 
 
+OUTCOME = """CASE WHEN response_id % 17 = 6 THEN 'not a JSON value' WHEN response_id % 11 = 0 THEN 'no town'
+                   WHEN response_id % 13 = 5 THEN 'zoning_requirements is no list' END"""
+
+
 @query("upsert_report", f"""WITH {BULK_CHECK},
     c AS (SELECT response_id, count(*) FILTER (WHERE NOT is_error) AS good, count(*) FILTER (WHERE is_error) AS bad
-          FROM b GROUP BY 1)
-    SELECT a.response_id, good IS NOT NULL AS success,
-           CASE WHEN good IS NULL THEN 'Missing required field: extracted_town'
+          FROM b GROUP BY 1),
+    a AS (SELECT DISTINCT response_id, {OUTCOME} AS failure FROM bv)
+    SELECT a.response_id, failure IS NULL AS success,
+           CASE WHEN failure = 'no town' THEN 'Missing required field: extracted_town'
+                WHEN failure IS NOT NULL THEN 'Error processing JSON: ' || failure
                 ELSE 'Successfully processed ' || good || ' zones, ' || bad || ' errors' END AS message,
            coalesce(good, 0) AS inserted_count, coalesce(bad, 0) AS error_count,
-           CASE WHEN good IS NOT NULL THEN 'Town_' || CAST(a.response_id % 50 AS VARCHAR) END AS town, NULL AS county
-    FROM (SELECT DISTINCT response_id FROM bv) a LEFT JOIN c ON a.response_id = c.response_id""",
+           CASE WHEN failure IS NULL THEN 'Town_' || CAST(a.response_id % 50 AS VARCHAR) END AS town, NULL AS county
+    FROM a LEFT JOIN c ON a.response_id = c.response_id""",
        types={"county": "VARCHAR"})
 def upsert_report(t):
     return r.bulk_report(src.bulk_calls(t.spark, t.folder))
 
 
+@query("bulk_documents", f"""WITH {BULK_CHECK}, a AS (SELECT DISTINCT response_id, {OUTCOME} AS failure FROM bv)
+    SELECT response_id + 1000 AS document_id, CASE WHEN failure IS NULL THEN 'completed' ELSE 'failed' END AS processing_status,
+           failure AS error_message FROM a WHERE coalesce(failure, '') <> 'no town' AND response_id % 3 <> 0""")
+def bulk_documents(t):
+    calls = src.bulk_calls(t.spark, t.folder)
+    return r.bulk_document_status(calls.withColumn("document_id", F.when(
+        F.col("response_id") % 3 != 0, F.col("response_id") + 1000)))
+
+
 # --- scoring ---------------------------------------------------------------------------
 
 def sql_score(p: str, a: str) -> str:

@@ -142,8 +142,10 @@ BULK_SQL = f"""
     g AS (SELECT response_id, array_join(transform(sort_array(collect_list(struct(pos, zone_json))),
                  x -> x.zone_json), ',') AS zones FROM z GROUP BY response_id)
     SELECT response_id, CASE WHEN response_id % 11 = 0 THEN '{{{{' ELSE '{{{{"extracted_town":"Town_'
-           || CAST(response_id % 50 AS STRING) || '",' END || '"extracted_county":null,"zoning_requirements":['
-           || zones || ']}}}}' AS response_text FROM g"""
+           || CAST(response_id % 50 AS STRING) || '",' END || '"extracted_county":null,"zoning_requirements":'
+           || CASE WHEN response_id % 13 = 5 THEN '{{{{"zone_name":"R-1"}}}}'
+                   WHEN response_id % 7 = 2 THEN '[' || zones || ',"x",null,[1]]' ELSE '[' || zones || ']' END
+           || CASE WHEN response_id % 17 = 6 THEN '' ELSE '}}}}' END AS response_text FROM g"""
 
 # Ordinance texts: a heading per zone, then its rules in words.
 ORDINANCE_SQL = """
