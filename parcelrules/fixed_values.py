@@ -231,16 +231,16 @@ BULK_NUMERIC_FIELDS = [
 
 # --- Phrases an ordinance uses for a rule, per extracted key ---
 PHRASES = {
-    "interior_min_lot_area_sqft": ["lot area", "lot size", "minimum area"],
+    "interior_min_lot_area_sqft": ["lot area", "lot size", "minimum area", "required area", "minimum lot(?! [a-z])"],
     "interior_min_lot_frontage_ft": ["frontage"],
-    "interior_min_lot_width_ft": ["lot width"],
-    "interior_min_lot_depth_ft": ["lot depth"],
-    "principal_min_front_yard_ft": ["front yard", "front setback"],
+    "interior_min_lot_width_ft": ["lot width", "width"],
+    "interior_min_lot_depth_ft": ["lot depth", "depth"],
+    "principal_min_front_yard_ft": ["front yard", "front setback", "front building line"],
     "principal_min_side_yard_ft": ["side yard", "side setback"],
-    "principal_min_rear_yard_ft": ["rear yard", "rear setback"],
-    "principal_max_height_feet": ["building height", "maximum height", "max height", "height limit"],
-    "max_building_coverage_percent": ["building coverage"],
-    "max_lot_coverage_percent": ["lot coverage", "impervious coverage"],
+    "principal_min_rear_yard_ft": ["rear yard", "rear setback", "back yard"],
+    "principal_max_height_feet": ["building height", "maximum height", "max height", "height limit", "height", "H ?(?==)"],
+    "max_building_coverage_percent": ["building coverage", "structure coverage", "footprint coverage"],
+    "max_lot_coverage_percent": ["lot coverage", "impervious coverage", "total coverage", "site coverage"],
     "maximum_far": ["FAR", "floor area ratio"],
     "maximum_density_units_per_acre": ["density"],
 }

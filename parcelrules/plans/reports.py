@@ -233,11 +233,11 @@ def _export(table: DataFrame, columns: list[str], schema: T.StructType, limit: i
     return rows.limit(limit) if limit else rows
 
 
-def requirements_export(requirements: DataFrame, limit: int | None = 1000) -> DataFrame:
+def requirements_export(requirements: DataFrame, limit: int | None = None) -> DataFrame:
     return _export(requirements, REQUIREMENT_EXPORT, REQUIREMENTS, limit)
 
 
-def jobs_export(jobs: DataFrame, limit: int | None = 1000) -> DataFrame:
+def jobs_export(jobs: DataFrame, limit: int | None = None) -> DataFrame:
     return _export(jobs, JOB_EXPORT, JOBS, limit)
 
 

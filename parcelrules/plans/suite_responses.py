@@ -441,27 +441,31 @@ def prompt_ranking(t):
 
 @query("build_prompts", """
     WITH p AS (SELECT DISTINCT prompt_experiment_id, ground_truth_doc_id FROM tests),
-    q AS (SELECT prompt_experiment_id, ground_truth_doc_id,
+    q AS (SELECT prompt_experiment_id, ground_truth_doc_id, CASE WHEN g.id IS NULL THEN 'no place' WHEN text IS NULL THEN 'no text'
+            ELSE 'ready' END AS status,
             'Experiment ' || CAST(prompt_experiment_id AS VARCHAR) || ': answer {"zones": []} for ' || town || ', '
             || county || ', ' || state || '.' || chr(10) || text || chr(10) || 'End of ' || town AS prompt
-          FROM p JOIN gt_documents g ON p.ground_truth_doc_id = g.id
-               JOIN documents d ON p.ground_truth_doc_id = d.doc_id)
-    SELECT prompt_experiment_id, ground_truth_doc_id, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5
+          FROM p LEFT JOIN gt_documents g ON p.ground_truth_doc_id = g.id
+               LEFT JOIN documents d ON p.ground_truth_doc_id = d.doc_id)
+    SELECT prompt_experiment_id, ground_truth_doc_id, status, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5
     FROM q""", ("tests", "gt_documents"), {"prompt_chars": "INTEGER"})
 def build_prompts(t):
     template = F.concat(F.lit("Experiment "), F.col("id"), F.lit(
         ': answer {{"zones": []}} for {municipality}, {county}, {state}.\n{text_content}\nEnd of {municipality}'))
     rows = prompts.build_prompts(t.tests, t.experiments.withColumn("prompt_text", template), t.documents,
                                  t.gt_documents)
-    return rows.select("prompt_experiment_id", "ground_truth_doc_id", F.length("prompt").alias("prompt_chars"),
+    return rows.select("prompt_experiment_id", "ground_truth_doc_id", "status", F.length("prompt").alias("prompt_chars"),
                        F.md5("prompt").alias("prompt_md5"))
 
 
-@query("rule_extract", """
+ACCESSORY = ["accessory_min_front_yard_ft", "accessory_min_side_yard_ft", "accessory_min_rear_yard_ft"]
+
+
+@query("rule_extract", f"""
     SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS doc_id, p_partkey % 8 + 1 AS position,
            'Springfield_' || CAST(CAST(FLOOR(p_partkey / 8) AS BIGINT) AS VARCHAR) AS extracted_town,
            'Union_' || CAST(CAST(FLOOR(p_partkey / 8) AS BIGINT) % 21 AS VARCHAR) || ' County' AS extracted_county,
-           CASE WHEN p_partkey % 2 = 0 THEN 'R-' ELSE 'C-' END || CAST(p_size AS VARCHAR) AS zone_name,
+           {src.ZONE_NAMES} AS zone_name,
            p_size * 1000.0 AS interior_min_lot_area_sqft,
            CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS interior_min_lot_frontage_ft,
            NULL AS interior_min_lot_width_ft, NULL AS interior_min_lot_depth_ft,
@@ -469,7 +473,8 @@ def build_prompts(t):
            CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS principal_min_side_yard_ft,
            NULL AS principal_min_rear_yard_ft, 30.0 AS principal_max_height_feet, NULL AS max_building_coverage_percent,
            CAST(p_size AS DOUBLE) AS max_lot_coverage_percent, 1.5 AS maximum_far, NULL AS maximum_density_units_per_acre,
-           2.5 AS principal_max_height_stories FROM part""",
-       types={"position": "INTEGER", "principal_max_height_stories": "DOUBLE", **{k: "DOUBLE" for k in fv.PHRASES}})
+           2.5 AS principal_max_height_stories, NULL AS accessory_min_front_yard_ft, NULL AS accessory_min_side_yard_ft,
+           CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS accessory_min_rear_yard_ft FROM part""",
+       types={"position": "INTEGER", "principal_max_height_stories": "DOUBLE", **{k: "DOUBLE" for k in [*fv.PHRASES, *ACCESSORY]}})
 def rule_extract(t):
     return prompts.rule_extract(src.ordinance_texts(t.spark, t.folder))

@@ -1,4 +1,4 @@
-"""Table schemas, declared so that no reader has to infer them."""
+"""Table schemas, declared so that no reader has to infer them. The columns are given ones."""
 
 from __future__ import annotations
 
@@ -6,47 +6,26 @@ from pyspark.sql import types as T
 
 from parcelrules import fixed_values as fv
 
-_TYPES = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "d": T.DoubleType(),
-          "b": T.BooleanType(), "t": T.TimestampType()}
-
-
-def _struct(spec: str) -> T.StructType:
-    """'name:type ...' with one-letter types."""
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split(":") for f in spec.split())])
-
-
-_RULES = " ".join(f"{f}:{'i' if f in fv.INTEGER_FIELDS else 'd'}" for f in fv.RULE_FIELDS)
-_PREDICTED = " ".join(f"predicted_{f}:{'i' if f in fv.INTEGER_FIELDS else 'd'}" for f in fv.RULE_FIELDS)
-
-DOCUMENTS = _struct(
-    "id:s filename:s original_filename:s file_path:s file_size:l mime_type:s municipality:s county:s state:s "
-    "upload_date:t processing_status:s processing_started_at:t processing_completed_at:t response_text:s "
-    "error_message:s created_at:t updated_at:t")
-JOBS = _struct(
-    "id:s town:s county:s state:s pdf_filename:s original_pdf_filename:s pdf_file_path:s pdf_file_size:l "
-    "processing_status:s processing_started_at:t processing_completed_at:t ai_model_used:s created_at:t updated_at:t")
-REQUIREMENTS = _struct(
-    f"id:s job_id:s town:s county:s state:s zone:s {_RULES} data_source:s extraction_confidence:d "
-    "extracted_at:t created_at:t updated_at:t")
-PROMPT_EXPERIMENTS = _struct(
-    "id:s prompt_name:s prompt_version:s prompt_text:s llm_model:s llm_temperature:d llm_max_tokens:i "
-    "experiment_description:s hypothesis:s is_active:b is_baseline:b total_tests:i successful_extractions:i "
-    "failed_extractions:i average_accuracy_score:d average_field_accuracy:d average_zone_accuracy:d created_at:t "
-    "updated_at:t last_tested_at:t")
-GROUND_TRUTH_DOCUMENTS = _struct(
-    "id:s document_name:s original_filename:s file_path:s file_size:l town:s county:s state:s verified_by:s "
-    "verification_date:t verification_notes:s document_complexity:s number_of_zones:i has_tables:b has_charts:b "
-    "created_at:t updated_at:t")
-GROUND_TRUTH_REQUIREMENTS = _struct(
-    f"id:s ground_truth_doc_id:s zone:s zone_description:s {_RULES} created_at:t updated_at:t")
-REQUIREMENTS_TESTS = _struct(
-    "id:s prompt_experiment_id:s ground_truth_doc_id:s test_batch_id:s test_epoch:i test_date:t raw_llm_response:s "
-    "parsed_zones_count:i extraction_success:b extraction_error:s overall_accuracy_score:d "
-    "zone_identification_accuracy:d field_extraction_accuracy:d location_extraction_accuracy:d "
-    "field_accuracy_breakdown:s zone_accuracy_breakdown:s processing_time_seconds:d llm_tokens_used:i created_at:t")
-TEST_ZONE_RESULTS = _struct(
-    f"id:s requirements_test_id:s ground_truth_req_id:s predicted_zone:s actual_zone:s zone_match_score:d {_PREDICTED} "
-    "field_accuracy_scores:s zone_accuracy_score:d created_at:t")
+STRING, LONG, INT, DOUBLE, TIME = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.TimestampType()
+
+
+def table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+RULES = {f: INT if f in fv.INTEGER_FIELDS else DOUBLE for f in fv.RULE_FIELDS}
+
+JOBS = table(
+    id=STRING, town=STRING, county=STRING, state=STRING,
+    pdf_filename=STRING, original_pdf_filename=STRING, pdf_file_path=STRING, pdf_file_size=LONG,
+    processing_status=STRING, processing_started_at=TIME, processing_completed_at=TIME, ai_model_used=STRING,
+    created_at=TIME, updated_at=TIME)
+
+REQUIREMENTS = table(
+    id=STRING, job_id=STRING, town=STRING, county=STRING, state=STRING, zone=STRING, **RULES, data_source=STRING,
+    extraction_confidence=DOUBLE, extracted_at=TIME, created_at=TIME, updated_at=TIME)
+
 # One extraction response per row, as the normaliser takes it.
-RESPONSES = _struct(
-    "response_id:l job_id:s municipality:s county:s state:s filename:s processed_at:t response_text:s")
+RESPONSES = table(
+    response_id=LONG, job_id=STRING, municipality=STRING, county=STRING,
+    state=STRING, filename=STRING, processed_at=TIME, response_text=STRING)

@@ -147,17 +147,28 @@ BULK_SQL = f"""
                    WHEN response_id % 7 = 2 THEN '[' || zones || ',"x",null,[1]]' ELSE '[' || zones || ']' END
            || CASE WHEN response_id % 17 = 6 THEN '' ELSE '}}}}' END AS response_text FROM g"""
 
-# Ordinance texts: a heading per zone, then its rules in words.
-ORDINANCE_SQL = """
-    WITH z AS (SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS doc_id, p_partkey AS k,
-                 CASE WHEN p_partkey % 2 = 0 THEN 'Zone R-' ELSE 'DISTRICT C-' END || CAST(p_size AS STRING)
-                 || ' requirements:' || chr(10) || '- Minimum lot area: ' || format_number(p_size * 1000, 0) || ' square feet' || chr(10)
-                 || CASE WHEN p_size % 2 = 0 THEN '- Minimum lot frontage: ' || CAST(p_size AS STRING) || ' feet' || chr(10) ELSE '' END
-                 || '- Front yard setback: ' || CAST(p_size + 5 AS STRING) || ' feet, side yard '
-                 || CASE WHEN p_size % 3 = 0 THEN 'N/A' ELSE CAST(p_size AS STRING) || ' ft' END || chr(10)
-                 || '- Maximum height: 30 feet (2½ stories)' || chr(10)
-                 || '- Maximum lot coverage: ' || CAST(p_size AS STRING) || '%; FAR shall not exceed 1.5' || chr(10) AS body
-               FROM {part}),
+# Ordinance texts: a heading per zone, then its rules in one of six wordings.
+ZONE_NAMES = """CASE p_partkey % 6 WHEN 1 THEN 'C-' WHEN 3 THEN 'PUD-' WHEN 4 THEN 'CBD' WHEN 5 THEN 'M-' ELSE 'R-' END
+    || CASE WHEN p_partkey % 6 = 4 THEN '' ELSE CAST(p_size AS VARCHAR(10)) END || CASE WHEN p_partkey % 6 = 5 THEN '-A' ELSE '' END"""
+
+ORDINANCE_SQL = f"""
+    WITH v AS (SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS doc_id, p_partkey AS k, p_partkey % 6 AS w, p_size AS n,
+                 CAST(p_size AS STRING) AS s, format_number(p_size * 1000, 0) AS area, CAST(p_size + 5 AS STRING) AS front, {ZONE_NAMES} AS zone
+               FROM {{part}}),
+    z AS (SELECT doc_id, k, CASE WHEN w % 2 = 0 THEN 'Zone ' ELSE 'DISTRICT ' END || zone
+                 || CASE w WHEN 2 THEN '¹: ' WHEN 3 THEN '^2: ' WHEN 4 THEN ': ' ELSE ' requirements:' || chr(10) END
+                 || CASE w WHEN 0 THEN '- Minimum lot area: ' || area || ' square feet' WHEN 1 THEN 'Required area ' || CAST(n * 1000 AS STRING) || ' sq ft'
+                           WHEN 2 THEN area || ' sq ft, and no less' WHEN 3 THEN 'minimum area ' || area || ' sf'
+                           WHEN 4 THEN 'lot size ' || area ELSE area || ' sf minimum lot' END || chr(10)
+                 || CASE WHEN n % 2 = 0 THEN '- Minimum lot frontage: ' || s || ' feet' || chr(10) ELSE '' END
+                 || CASE WHEN w < 3 THEN '- Front yard setback: ' || front || ' feet, side yard '
+                         ELSE 'The front setback required of every principal structure in the district shall be ' || front || ' ft; side setback ' END
+                 || CASE WHEN n % 3 = 0 THEN 'N/A' ELSE s || ' ft' END || chr(10)
+                 || CASE w WHEN 1 THEN 'Maximum height 2 1/2 stories or 30 feet' WHEN 3 THEN 'Height limit two and one-half stories, height 30 ft'
+                           WHEN 5 THEN 'H=30; 2.5 stories' ELSE '- Maximum height: 30 feet (2½ stories)' END || chr(10)
+                 || CASE WHEN w % 2 = 1 THEN 'Accessory buildings: rear setback ' || s || ' feet.' || chr(10) ELSE '' END
+                 || CASE WHEN w < 3 THEN '- Maximum lot coverage: ' || s || '%; FAR shall not exceed 1.5'
+                         ELSE 'site coverage of no more than ' || s || '%, FAR=1.5' END || chr(10) AS body FROM v),
     g AS (SELECT doc_id, array_join(transform(sort_array(collect_list(struct(k, body))), x -> x.body), '') AS bodies
           FROM z GROUP BY doc_id)
     SELECT doc_id, 'Town of Springfield_' || CAST(doc_id AS STRING) || ' Zoning Ordinance' || chr(10)
