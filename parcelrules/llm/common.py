@@ -8,6 +8,7 @@ million distinct words meet with a chance below one in a thousand).
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,13 +34,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def materialised(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written as Parquet to the folder all executors share, and read from there."""
+def materialised(df: DataFrame, purpose: str, small: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the folder all executors share, and read from there; ``small``: as one file."""
     path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    (df.coalesce(1) if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielding(operator):
+    """For operators that return their input's columns: extra columns can't clash with their working columns."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        names = [n if n in OWN else f"_extra_{i}" for i, n in enumerate(docs.columns)]
+        out = operator(docs.toDF(*names), *args, **options)
+        return out.select(*names).toDF(*docs.columns)
+
+    return run
+
+
 def slim(side: DataFrame, rows: int) -> DataFrame:
     """A side of short rows: broadcast when its counted size is small, else left to a shuffled join."""
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side

@@ -218,9 +218,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", w["items"]), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@c.shielding
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 1) -> DataFrame:
     """Documents with fewer than ``least_words`` hit words; same columns."""
-    found = find_windows(docs.withColumnRenamed("windows", "_windows") if "windows" in docs.columns else docs, benchmark)
     n_hit = F.aggregate(F.col("windows.spans"), F.lit(0).cast("long"), lambda total, s: total + s["length"])
-    kept = found.where(n_hit < least_words).drop("windows")
-    return kept.withColumnRenamed("_windows", "windows") if "windows" in docs.columns else kept
+    return find_windows(docs, benchmark).where(n_hit < least_words).drop("windows")

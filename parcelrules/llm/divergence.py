@@ -145,6 +145,7 @@ def quality(documents: DataFrame) -> DataFrame:
                       F.col("_char_distance").alias("char_distance"), F.col("_word_distance").alias("word_distance"))
 
 
+@c.shielding
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass; same columns. The texts are measured once and written with their measures."""
     return judged(c.materialised(measured(docs), "quality-docs")).where("_kept").select(*docs.columns)

@@ -101,7 +101,7 @@ def cut_level(placed: DataFrame, root: dict) -> DataFrame:
                                                                         for k, f in (("lo", F.min), ("hi", F.max))])
     state = nodes.select("node", (-best).cast("int").alias("dim"), "total", F.lit(0).cast("long").alias("low"),
                          F.lit((1 << 62) - 1).cast("long").alias("high"), F.lit(0).cast("long").alias("below"))
-    state = c.materialised(state, "kd-nodes")
+    state = c.materialised(state, "kd-nodes", small=True)
     by_order = placed.select("node", "weight", *[f"d{i}" for i in range(n)], "tie")
     for _ in range(ROUNDS):
         if not state.where("high > low").limit(1).count():
@@ -118,7 +118,7 @@ def cut_level(placed: DataFrame, root: dict) -> DataFrame:
         # The range shrinks to its points; where it holds one, low = high is the cut.
         narrowed = reached.select("node", "r.dim", "r.total", F.col("r.first").alias("low"), F.col("r.last").alias("high"),
                                   (F.col("r.upto") - F.col("r.weight")).alias("below"))
-        state = c.materialised(narrowed.unionByName(state.where("high = low")), "kd-nodes")
+        state = c.materialised(narrowed.unionByName(state.where("high = low")), "kd-nodes", small=True)
     # The point at the median goes to the side that leaves the halves nearer.
     at_cut = by_order.join(state, "node").where(order_of(F.col("dim")) == F.col("low")).groupBy("node").agg(F.sum("weight").alias("own"))
     cut = state.join(at_cut, "node").select("node", "dim", F.when(
