@@ -200,14 +200,11 @@ TREND_STEP = 0.01
 
 # --- Files ---
 ALLOWED_SUFFIXES = ["pdf", "doc", "docx", "txt", "jpg", "jpeg", "png", "tiff"]
-UPLOAD_FORM_SUFFIXES = ["pdf", "doc", "docx", "txt", "jpg", "jpeg", "png", "tiff", "zip"]
 PARSER_SUFFIXES = ["pdf", "doc", "docx"]
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_ATTEMPTS = 3
 
 # --- Status values ---
-DOCUMENT_STATUSES = ["uploaded", "processing", "completed", "failed"]
-JOB_STATUSES = ["pending", "processing", "completed", "failed"]
 FINAL_STATUSES = ["completed", "failed"]
 COMPLEXITIES = ["simple", "medium", "complex"]
 

@@ -69,8 +69,3 @@ def human_size(size: Column) -> Column:
 
 def prompt_label(name: Column, version: Column) -> Column:
     return F.concat(name, F.lit(" v"), version)
-
-
-def stable_id(*parts: Column) -> Column:
-    """The same id for the same key on every run and retry."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)

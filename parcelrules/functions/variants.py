@@ -43,10 +43,6 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def text_if_string(value: Column) -> Column:
-    return let(value, lambda v: F.when(kind(v) == "STRING", text(v)))
-
-
 def is_given(value: Column) -> Column:
     """Present and not a JSON null."""
     return value.isNotNull() & ~F.is_variant_null(value)

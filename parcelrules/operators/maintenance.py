@@ -19,7 +19,7 @@ UPSERT_KEY = ["town", "county", "state", "zone"]
 def _conflict_key(keys: list[str], order: list[str]) -> list[Column]:
     """Grouping columns of a unique key; a key with a null part conflicts with nothing."""
     any_null = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(True)) for k in keys], F.lit(False))
-    alone = F.when(any_null, F.concat_ws("|", *[F.col(c).cast("string") for c in order]))
+    alone = F.when(any_null, F.struct(*order))
     return [*[F.col(k) for k in keys], alone.alias("_alone")]
 
 
@@ -201,8 +201,16 @@ def delete_children(children: DataFrame, deleted_parents: DataFrame, foreign_key
     return children.join(gone, foreign_key, "left_anti").select(*children.columns)
 
 
-def toggle_experiment(experiments: DataFrame, experiment_id: object, active: bool) -> DataFrame:
-    hit = F.col("id") == experiment_id
+def touched(table: DataFrame, hit: Column, now: Column) -> DataFrame:
+    """``updated_at`` set to ``now`` in the rows that a change hits."""
+    return table.withColumn("updated_at", F.when(hit, now).otherwise(F.col("updated_at")))
+
+
+def toggle_experiment(experiments: DataFrame, experiment_id: object, active: bool, now: Column | None = None) -> DataFrame:
+    """One experiment switched on or off; with ``now`` the row's ``updated_at`` follows where it changes."""
+    hit = F.coalesce(F.col("id") == experiment_id, F.lit(False))
+    if now is not None:
+        experiments = touched(experiments, hit & ~F.col("is_active").eqNullSafe(F.lit(active)), now)
     return experiments.withColumn("is_active", F.when(hit, F.lit(active)).otherwise(F.col("is_active")))
 
 
@@ -211,12 +219,33 @@ def delete_where(table: DataFrame, condition: Column) -> DataFrame:
     return table.where(~F.coalesce(condition, F.lit(False)))
 
 
+def append_rows(old: DataFrame, new: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """``old`` and ``new``; what ``new`` lacks, or has as null where a default is given, gets the default or null."""
+    def filled(c: str) -> Column:
+        own = [F.col(c)] if c in new.columns else []
+        return F.coalesce(*own, defaults[c]) if c in defaults else own[0] if own else F.lit(None)
+
+    return old.unionByName(new.select(*[filled(c).cast(old.schema[c].dataType).alias(c) for c in old.columns]))
+
+
 def record_tests(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Append test rows; columns they lack get their defaults (nulls, full location score)."""
-    defaults = {"location_extraction_accuracy": F.lit(1.0), "test_epoch": F.lit(1)}
-    missing = [c for c in old.columns if c not in new.columns]
-    filled = new.select("*", *[defaults.get(c, F.lit(None)).cast(old.schema[c].dataType).alias(c) for c in missing])
-    return old.unionByName(filled.select(*old.columns))
+    """Append test rows; a failed run scores zero, and the location score is full unless said."""
+    ok = F.coalesce(F.col("extraction_success"), F.lit(True)) if "extraction_success" in new.columns else F.lit(True)
+    scores = ("overall_accuracy_score", "zone_identification_accuracy", "field_extraction_accuracy")
+    zero = F.when(~ok, F.lit(0.0))
+    return append_rows(old, new, {"location_extraction_accuracy": F.lit(1.0), "test_epoch": F.lit(1), "extraction_success": F.lit(True),
+                                  **{s: zero for s in scores if s in old.columns}})
+
+
+def add_experiments(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Append prompts: active, no baseline, version 1.0, nothing tested yet."""
+    return append_rows(old, new, {"is_active": F.lit(True), "is_baseline": F.lit(False), "prompt_version": F.lit("1.0"),
+                                  "total_tests": F.lit(0), "successful_extractions": F.lit(0), "failed_extractions": F.lit(0)})
+
+
+def add_gt_documents(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Append verified documents: of medium complexity and the default state unless said."""
+    return append_rows(old, new, {"document_complexity": F.lit("medium"), "state": F.lit(fv.DEFAULT_STATE)})
 
 
 def register_documents(files: DataFrame) -> DataFrame:

@@ -93,8 +93,7 @@ def document_test_results(tests: DataFrame, experiments: DataFrame, doc_id: obje
                 F.col("overall_accuracy_score").alias("overall_accuracy"),
                 F.col("zone_identification_accuracy").alias("zone_accuracy"),
                 F.col("field_extraction_accuracy").alias("field_accuracy"),
-                F.col("parsed_zones_count").alias("zones_found"), "test_date")
-        .orderBy("ground_truth_doc_id", F.desc("test_date"), "prompt_name", "prompt_version", "test_epoch"))
+                F.col("parsed_zones_count").alias("zones_found"), "test_date"))
 
 
 def test_summary(experiments: DataFrame, tests: DataFrame, start: datetime, end: datetime) -> DataFrame:
@@ -132,8 +131,7 @@ def ground_truth_overview(gt_documents: DataFrame, gt_requirements: DataFrame) -
     """Verified documents with their number of verified zones, newest first."""
     zones = gt_requirements.groupBy(F.col("ground_truth_doc_id").alias("id")).agg(
         F.count("id").alias("verified_zones"))
-    return (gt_documents.join(zones, "id", "left").fillna({"verified_zones": 0})
-            .orderBy(F.desc("verification_date"), "id"))
+    return gt_documents.join(zones, "id", "left").fillna({"verified_zones": 0})
 
 
 def distinct_zones(requirements: DataFrame, town: str | None = None, state: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ def prompt_performance(stats: DataFrame) -> DataFrame:
     """Experiments, best mean accuracy first."""
     return stats.withColumn(
         "success_rate", scores.success_rate(F.col("successful_extractions"), F.col("total_tests"))
-    ).orderBy(F.desc_nulls_first("average_accuracy_score"), F.desc_nulls_first("created_at"), "id")
+    )
 
 
 def baseline_accuracy(tests: DataFrame, experiments: DataFrame) -> DataFrame:
@@ -54,8 +54,6 @@ def test_results_export(tests: DataFrame, experiments: DataFrame, gt_documents:
              "document_complexity")
     numbers = ("overall_accuracy_score", "zone_identification_accuracy", "field_extraction_accuracy",
                "location_extraction_accuracy", "parsed_zones_count", "processing_time_seconds", "llm_tokens_used")
-    # The tie-breaks also let the range sort split a day that holds many tests.
-    rows = rows.orderBy(F.desc("test_date"), "prompt_experiment_id", "ground_truth_doc_id", "test_epoch")
     rows = rows.fillna("", list(texts)).fillna(0, list(numbers)).fillna(False, ["extraction_success", "is_baseline"])
     return rows.select(
         "test_epoch", F.date_format("test_date", STAMP).alias("test_date"), *numbers[:4], "parsed_zones_count",
@@ -155,8 +153,7 @@ def field_accuracy_heatmap(zone_results: DataFrame, experiments: DataFrame, gt_r
     docs = gt_documents.select(F.col("id").alias("ground_truth_doc_id"), "document_complexity")
     # The two truth tables meet first: both are far smaller than the facts.
     verified = truth.join(docs, "ground_truth_doc_id")
-    rows = recent.join(exp, "prompt_experiment_id").join(verified, "ground_truth_req_id").orderBy(
-        F.desc("test_date"), "prompt_experiment_id", "ground_truth_req_id")
+    rows = recent.join(exp, "prompt_experiment_id").join(verified, "ground_truth_req_id")
     return rows.select(
         "prompt_name", "prompt_version", "predicted_zone", "actual_zone",
         *[scores.relative_accuracy(F.col(f"predicted_{f}"), F.col(f)).alias(n) for n, f in HEATMAP_FIELDS.items()],
@@ -175,23 +172,25 @@ def zone_extraction_analysis(zone_results: DataFrame, gt_requirements: DataFrame
     inside = last_days("test_date", as_of, days) | F.col("test_date").isNull()
 
     def rate(column: str):
-        return F.count_if(inside & F.col(column).isNotNull())
+        return F.count(column)
 
-    partial = with_test_columns(zone_results, tests).groupBy("ground_truth_req_id", "predicted_zone").agg(
-        F.count_if(inside).alias("n"), F.sum(F.when(inside, rated)).alias("score_sum"),
-        F.count(F.when(inside, rated)).alias("score_n"),
+    # The figures come from the period alone; of older results only the zones' ids are read.
+    partial = with_test_columns(zone_results, tests).where(inside).groupBy("ground_truth_req_id", "predicted_zone").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rated).alias("score_sum"), F.count(rated).alias("score_n"),
         rate("predicted_interior_min_lot_area_sqft").alias("lot_n"),
         rate("predicted_principal_front_yard_ft").alias("front_n"),
         rate("predicted_maximum_far").alias("far_n"),
-        F.min(F.when(inside, F.col("test_date"))).alias("first_tested"),
-        F.max(F.when(inside, F.col("test_date"))).alias("last_tested"))
+        F.min("test_date").alias("first_tested"), F.max("test_date").alias("last_tested"))
+    tested = zone_results.select("ground_truth_req_id").distinct()
     keys = ["zone", "town", "county", "state", "document_complexity"]
     docs = gt_documents.select(F.col("id").alias("ground_truth_doc_id"), "town", "county", "state",
                                "document_complexity")
     truth = gt_requirements.select(F.col("id").alias("ground_truth_req_id"), "ground_truth_doc_id", "zone")
-    rows = truth.join(docs, "ground_truth_doc_id").join(partial, "ground_truth_req_id", "left")
-    # An untested zone is one row with all rates 0, as a left join gives it.
-    rows = rows.where(F.col("n").isNull() | (F.col("n") > 0)).withColumn("lines", F.coalesce("n", F.lit(1)))
+    zones = truth.join(docs, "ground_truth_doc_id")
+    # An untested zone is one row with all rates 0.
+    untested = zones.join(tested, "ground_truth_req_id", "left_anti")
+    rows = zones.join(partial, "ground_truth_req_id").unionByName(untested, allowMissingColumns=True).withColumn(
+        "lines", F.coalesce("n", F.lit(1)))
     counts = ("n", "score_n", "lot_n", "front_n", "far_n", "lines")
     per_prediction = rows.groupBy(*keys, "predicted_zone").agg(
         *[F.sum(c).alias(c) for c in counts], F.sum("score_sum").alias("score_sum"),
@@ -229,8 +228,8 @@ JOB_EXPORT = ["id", "town", "county", "state", "pdf_filename", "processing_statu
 def _export(table: DataFrame, columns: list[str], schema: T.StructType, limit: int | None) -> DataFrame:
     have = set(table.columns)
     rows = table.select(*[F.col(c) if c in have else F.lit(None).cast(schema[c].dataType).alias(c) for c in columns])
-    rows = rows.orderBy("id")
-    return rows.limit(limit) if limit else rows
+    # A whole export has no order: a global sort would run the scan twice and shuffle all wide rows.
+    return rows.orderBy("id").limit(limit) if limit else rows
 
 
 def requirements_export(requirements: DataFrame, limit: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parcelrules.operators import responses
 from parcelrules.plans import reports
 from parcelrules.plans.registry import query, rounded, CHECK_SQL
 from parcelrules.plans.suite_reports import AS_OF
@@ -11,9 +12,14 @@ from parcelrules.session import work_folder
 from parcelrules.sources import bindings, files, responses as src, sinks
 from parcelrules.streaming import flows
 
+# Files hold many texts, in no order: their lines are compared as a sum of hashes.
 TEXT_SQL = """
-    SELECT source, lang, 'txt' AS suffix, FALSE AS needs_parser, CAST(sum(length(text) + 1) AS BIGINT) AS characters
-    FROM documents GROUP BY 1, 2"""
+    WITH lines AS (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+    hashed AS (SELECT source, lang, CAST(sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)) AS BIGINT) AS line_hash
+               FROM lines WHERE line <> '' GROUP BY 1, 2)
+    SELECT d.source, d.lang, 'txt' AS suffix, FALSE AS needs_parser, CAST(sum(length(text) + 1) AS BIGINT) AS characters,
+           any_value(line_hash) AS line_hash
+    FROM documents d JOIN hashed h ON d.source = h.source AND d.lang = h.lang GROUP BY 1, 2"""
 
 
 def _text_folder(t):
@@ -24,8 +30,11 @@ def _text_folder(t):
 
 def _by_source(texts):
     part = lambda key: F.regexp_extract("path", f"/{key}=([^/]+)/", 1)
+    hashes = F.transform(F.filter(F.split("text", "\n"), lambda line: line != ""),
+                         lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint"))
     return texts.groupBy(part("source").alias("source"), part("lang").alias("lang"), "suffix", "needs_parser").agg(
-        F.sum(F.length("text")).cast("bigint").alias("characters"))
+        F.sum(F.length("text")).cast("bigint").alias("characters"),
+        F.sum(F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("line_hash"))
 
 
 @query("scan_documents", TEXT_SQL)
@@ -40,9 +49,39 @@ def stream_ingest(t):
     return _by_source(t.spark.read.parquet(f"{base}/documents"))
 
 
-@query("file_listing")
-def file_listing(t):
-    return files.list_files(t.spark, t.folder)
+REJECT_SQL = "SELECT 'suffix' AS reject_reason, count(DISTINCT s_nationkey) AS files FROM supplier"
+
+
+def _mixed_folder(t):
+    """The texts, and a file of another kind for each nation."""
+    folder = _text_folder(t)
+    t.supplier.repartition("s_nationkey").write.partitionBy("s_nationkey").json(f"{folder}/other")
+    return folder
+
+
+def _by_reason(rejects):
+    return rejects.where(F.col("path").contains("/s_nationkey=")).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("scan_rejects", REJECT_SQL)
+def scan_rejects(t):
+    return _by_reason(files.rejected_documents(t.spark, _mixed_folder(t)))
+
+
+@query("stream_rejects", REJECT_SQL)
+def stream_rejects(t):
+    base = work_folder(t.spark, "ingest")
+    flows.ingest_rejects(t.spark, _mixed_folder(t), f"{base}/rejects", f"{base}/checkpoint")
+    return _by_reason(t.spark.read.parquet(f"{base}/rejects"))
+
+
+@query("envelope", "SELECT doc_id, md5(text) AS text_md5, 0 AS zones, 0.5 AS extraction_confidence FROM documents",
+       types={"extraction_confidence": "DOUBLE", "zones": "INTEGER"})
+def envelope(t):
+    body = F.parse_json(responses.envelope(F.col("text")))
+    return t.documents.select("doc_id", F.md5(F.variant_get(body, "$.raw_response", "string")).alias("text_md5"),
+                              F.size(F.variant_get(body, "$.zones", "array<variant>")).alias("zones"),
+                              F.variant_get(body, "$.extraction_confidence", "double").alias("extraction_confidence"))
 
 
 def _report(t):

@@ -52,7 +52,9 @@ def experiment_stats(t):
         AS success_rate
     FROM stats""", (EXP, TESTS))
 def prompt_performance(t):
-    return rounded(reports.prompt_performance(_stats(t)))
+    # Ranked when read: the operator and the view have no order.
+    return rounded(reports.prompt_performance(_stats(t))).orderBy(
+        F.desc_nulls_first("average_accuracy_score"), F.desc_nulls_first("created_at"), "id")
 
 
 @query("dashboard_results", f"""WITH {STATS_SQL}

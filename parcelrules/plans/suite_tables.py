@@ -155,6 +155,45 @@ def toggle_experiment(t):
     return m.toggle_experiment(t.experiments, 7, False)
 
 
+NOW = "TIMESTAMP '2024-06-01 00:00:00'"
+
+
+@query("toggle_touches", f"""SELECT * EXCLUDE (is_active), CASE WHEN id = 7 THEN FALSE ELSE is_active END AS is_active,
+    CASE WHEN id = 7 AND is_active THEN {NOW} ELSE created_at END AS updated_at FROM experiments""", ("experiments",))
+def toggle_touches(t):
+    return m.toggle_experiment(t.experiments.withColumn("updated_at", F.col("created_at")), 7, False, F.expr(NOW))
+
+
+@query("delete_where", "SELECT * FROM requirements WHERE NOT coalesce(zone = 'Brand#11' OR state IS NULL, FALSE)", ("requirements",))
+def delete_where(t):
+    return m.delete_where(t.requirements, (F.col("zone") == "Brand#11") | F.col("state").isNull())
+
+
+@query("add_experiments", """
+    SELECT id, prompt_name, prompt_version, llm_model, is_baseline, is_active, created_at FROM experiments
+    UNION ALL SELECT id, prompt_name, '1.0', llm_model, FALSE, TRUE, created_at FROM seed_experiments""", ("experiments", "seed_experiments"))
+def add_experiments(t):
+    return m.add_experiments(t.experiments, t.seed_experiments.drop("prompt_version", "is_baseline", "is_active"))
+
+
+@query("add_gt_documents", """SELECT * FROM gt_documents UNION ALL
+    SELECT id + 10000000, document_name, town, county, 'NJ', 'medium', NULL FROM gt_documents WHERE document_complexity <> 'simple'""",
+       ("gt_documents",))
+def add_gt_documents(t):
+    new = t.gt_documents.where("document_complexity <> 'simple'").select(
+        (F.col("id") + 10000000).alias("id"), "document_name", "town", "county")
+    return m.add_gt_documents(t.gt_documents, new)
+
+
+@query("record_failed_tests", """SELECT ground_truth_doc_id, prompt_experiment_id, 0.0 AS overall_accuracy_score, 1 AS test_epoch
+    FROM tests WHERE NOT extraction_success""", ("tests",), {"overall_accuracy_score": "DOUBLE", "test_epoch": "INTEGER"})
+def record_failed_tests(t):
+    new = t.tests.where("NOT extraction_success").select("prompt_experiment_id", "ground_truth_doc_id", "test_date", "extraction_success")
+    both = m.record_tests(t.tests.where("extraction_success"), new)
+    return both.where("NOT extraction_success").select("ground_truth_doc_id", "prompt_experiment_id", "overall_accuracy_score",
+                                                       F.col("test_epoch").cast("int").alias("test_epoch"))
+
+
 @query("record_tests", f"""WITH {STATS_SQL.replace('FROM tests GROUP', 'FROM (SELECT * FROM tests UNION ALL '
        'SELECT * REPLACE (1.0 AS overall_accuracy_score) FROM tests WHERE extraction_success) GROUP')}
     SELECT {STATS_COLUMNS} FROM stats""", ("experiments", "tests"))

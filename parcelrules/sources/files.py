@@ -45,10 +45,28 @@ def as_text(files: DataFrame) -> DataFrame:
         F.when(~needs, decoded).alias("text"))
 
 
+def suffix_glob(suffixes: list[str]) -> str:
+    """A file name pattern for the suffixes in either case, which keeps other files from being opened."""
+    return "*.{" + ",".join("".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in s) for s in suffixes) + "}"
+
+
+def admitted(files: DataFrame) -> DataFrame:
+    """Admitted files; the length is a filter of its own, as only that reaches the source."""
+    return admission(files.where(F.col("length") <= fv.MAX_FILE_BYTES)).where(F.col("reject_reason").isNull())
+
+
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Admitted files of a folder as text; the size limit is applied before a file is read."""
-    return as_text(admission(files_of(spark, folder).where(F.col("length") <= fv.MAX_FILE_BYTES))
-                   .where(F.col("reject_reason").isNull()))
+    """Admitted files of a folder as text; suffix and size are looked at before a file is read."""
+    return as_text(admitted(files_of(spark, folder, suffix_glob(fv.ALLOWED_SUFFIXES))))
+
+
+def rejected(files: DataFrame) -> DataFrame:
+    """path, length and reason of the files that are not admitted; no content is read."""
+    return admission(files.select("path", "modificationTime", "length")).where(F.col("reject_reason").isNotNull())
+
+
+def rejected_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return rejected(files_of(spark, folder))
 
 
 def write_text_files(documents: DataFrame, folder: str, group: list[str], per_file: int = 200) -> None:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from parcelrules import fixed_values as fv
 from parcelrules.operators import maintenance, responses
 from parcelrules.operators.stats import TEST_MEASURES
 from parcelrules.sources import files
@@ -35,9 +36,10 @@ def batch_folder(target: str, batch_id: int) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, archive: str | None = None,
-                files_per_batch: int | None = None) -> DataFrame:
+                files_per_batch: int | None = None, glob: str = "*") -> DataFrame:
     """New files of a folder, each once; with ``archive`` they are moved there when done."""
-    reader = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true"))
+    reader = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", glob))
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if files_per_batch:
@@ -45,18 +47,21 @@ def file_stream(spark: SparkSession, folder: str, archive: str | None = None,
     return reader.load(folder)
 
 
+def admitted_texts(stream: DataFrame) -> DataFrame:
+    """Admission and text on the streaming frame itself, so that both reach the source of each batch."""
+    return files.as_text(files.admitted(stream)).withColumns({
+        "municipality": F.lit("Unknown"), "county": F.lit(""), "state": F.lit("NJ")})
+
+
 def ingest_batch(target: str, attempts: str) -> Callable[[DataFrame, int], None]:
-    """Admitted text to ``target`` and the outcome of every file to ``attempts``.
+    """Texts to ``target``, once; the outcome of every file, from what was written, to ``attempts``.
 
     A file fails when no text can be had from it here (it needs a parser).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        admitted = files.admission(batch).where(F.col("reject_reason").isNull())
-        texts = files.as_text(admitted).withColumns({
-            "municipality": F.lit("Unknown"), "county": F.lit(""), "state": F.lit("NJ")})
-        texts.write.mode("overwrite").parquet(batch_folder(target, batch_id))
-        done = files.as_text(admitted.withColumn("content", F.lit(None).cast("binary"))).select(
-            "path", F.lit(1).alias("attempt_no"), (~F.col("needs_parser")).alias("ok"))
+        batch.write.mode("overwrite").parquet(batch_folder(target, batch_id))
+        written = batch.sparkSession.read.schema(batch.schema).parquet(batch_folder(target, batch_id))
+        done = written.select("path", F.lit(1).alias("attempt_no"), (~F.col("needs_parser")).alias("ok"))
         done.write.mode("overwrite").parquet(batch_folder(attempts, batch_id))
 
     return write
@@ -64,7 +69,17 @@ def ingest_batch(target: str, attempts: str) -> Callable[[DataFrame, int], None]
 
 def ingest(spark: SparkSession, folder: str, target: str, attempts: str, checkpoint: str,
            archive: str | None = None, poll: str | None = None):
-    return run_batches(file_stream(spark, folder, archive), checkpoint, ingest_batch(target, attempts), poll)
+    """New admitted files as text. Files of other kinds are never opened; see :func:`ingest_rejects`."""
+    stream = admitted_texts(file_stream(spark, folder, archive, glob=files.suffix_glob(fv.ALLOWED_SUFFIXES)))
+    return run_batches(stream, checkpoint, ingest_batch(target, attempts), poll)
+
+
+def ingest_rejects(spark: SparkSession, folder: str, target: str, checkpoint: str, poll: str | None = None):
+    """New files that are not admitted, with their reason; a stream of its own that reads no content."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(target, batch_id))
+
+    return run_batches(files.rejected(file_stream(spark, folder)), checkpoint, write, poll)
 
 
 def retry_round(spark: SparkSession, attempts: str, round_no: int,

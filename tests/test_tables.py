@@ -120,6 +120,8 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "in" / "c.exe").write_bytes(b"MZ")
     got = {r.suffix: (r.text, r.needs_parser) for r in files.scan_documents(spark, str(tmp_path / "in")).collect()}
     assert got == {"txt": ("Zone R-1 ½ end", False), "pdf": (None, True)}
+    gone = files.rejected_documents(spark, str(tmp_path / "in"))
+    assert [(r.path.rsplit("/", 1)[1], r.reject_reason) for r in gone.collect()] == [("c.exe", "suffix")]
     listed = files.list_files(spark, str(tmp_path / "in"))
     assert {r.name: r.type for r in listed.collect()} == {"a.txt": "txt", "b.PDF": "pdf", "c.exe": "exe"}
     assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
@@ -142,6 +144,28 @@ def test_ingest_sees_a_file_once_and_retries_are_durable(spark, tmp_path):
     assert outcome == {"a.txt": ("processed", 1), "b.pdf": ("failed", 3), "c.txt": ("processed", 1)}
 
 
+def test_a_batch_reads_admitted_files_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("one")
+    (source / "b.exe").write_text("two")
+    (source / "c.TXT").write_text("three")
+    args = [str(tmp_path / n) for n in ("out", "attempts", "check")]
+    query = flows.ingest(spark, str(source), *args)
+    # The source hands on the two admitted files only, in one read.
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 2
+    assert sorted(r.text for r in spark.read.parquet(args[0]).collect()) == ["one", "three"]
+    flows.ingest_rejects(spark, str(source), str(tmp_path / "gone"), str(tmp_path / "check2"))
+    rows = spark.read.parquet(str(tmp_path / "gone")).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.reject_reason) for r in rows] == [("b.exe", "suffix")]
+    assert "content" not in rows[0].asDict()
+
+
+def test_keys_with_null_parts_never_meet(spark):
+    rows = spark.createDataFrame([("A", None, None, 1), ("A", None, None, 2), ("A", None, 5, 3)], "town string, county string, at int, id int")
+    assert m.latest_per_key(rows, ["town", "county"], ["at", "id"]).count() == 3
+
+
 def test_archived_files(spark, tmp_path):
     source, archive = tmp_path / "in", tmp_path / "done"
     source.mkdir(), archive.mkdir()
