@@ -13,11 +13,13 @@ alignment is the bit-parallel longest common subsequence in the band that texts
 near enough can't leave, so it is exact for them.
 
 A bucket of near copies may hold a third of all texts, so no bucket is expanded
-into its pairs. First each text meets its bucket's pivot, the least text, for
-``STARS`` rounds; what a round joins, or shows to be out of reach of any text
-left (by the triangle inequality), leaves the bucket. Then the texts that remain,
-in different classes, and within reach of each other, are compared. So no link
-between texts that share a bucket is lost; texts with a similarity of 0.8 miss
+into its pairs. First each text meets its bucket's pivot, the text with most company
+in all its buckets, for ``STARS`` rounds; what a round joins, or shows to be out
+of reach of any text left (by the triangle inequality), leaves the bucket. Then
+the bucket's guests, the texts outside its largest class, are compared with all
+texts left, in blocks of ``BLOCK`` by ``BLOCK`` texts: a task counts the shingles in
+common and aligns what could be near, and only links leave it. So no link between
+texts that share a bucket is lost; texts with a similarity of 0.8 miss
 all buckets with a chance of 2 in 10,000, nearer ones less.
 
 Exact copies are one text throughout. Defined cases: a null or empty text is
@@ -44,7 +46,7 @@ SKETCHES = 16
 PICKED = 4
 LEAST = 0.8
 STARS = 2
-BROADCAST_ROWS = 1 << 19       # a side of two longs a row is broadcast up to this many rows, 8 MB
+BLOCK = 256
 LABEL = np.uint64(0xD6E8FEB86659FD93)
 SEEDS = c.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -170,15 +172,10 @@ def reach(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 # --- on the cluster -----------------------------------------------------------------
 
-def slim(side: DataFrame, rows: int) -> DataFrame:
-    """A side of short rows: broadcast when its counted size is small."""
-    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
-
-
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, one row each."""
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("node"))
-    wanted = own.join(slim(nodes, nodes.count()), ["node"], "left_semi")
+    wanted = own.join(c.slim(nodes, nodes.count()), ["node"], "left_semi")
     first = wanted.groupBy("node").agg(F.min("doc_id").alias("least"))
     both = wanted.join(splittable(first, "node"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
     return both.groupBy("node").agg(F.first("text").alias("text"))
@@ -200,6 +197,55 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.repartition(F.xxhash64("p", "x")).mapInArrow(align, "p long, x long, low double, high double")
 
 
+def block_links(own: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between a bucket's guests and all its texts; ``own``: seed, key, node, low, high, root."""
+    bucket = ["seed", "key"]
+    by_root = own.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = by_root.groupBy(*bucket).agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("host")).where(
+        F.col("host.n") < F.col("size")).select(*bucket, "size", F.col("host.root").alias("host"), (F.col("size") - F.col("host.n")).alias("guests"))
+    rows = c.materialised(own.join(splittable(sizes, *bucket), bucket), "guests")
+    across, down = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("guests") / BLOCK)
+    x = rows.where("root <> host").select("*", F.pmod(F.hash("node"), down).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("i"),
+                                          F.lit(True).alias("guest"))
+    y = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), down - 1)).alias("j"), F.pmod(F.xxhash64("node"), across).alias("i"),
+                    F.lit(False).alias("guest"))
+    columns = ["seed", "key", "i", "j", "guest", "node", "root", "low", "high"]
+    both = x.select(*columns).unionByName(y.select(*columns))
+    wanted = rows.select("node").distinct()
+    held = c.materialised(texts.join(wanted, "node", "left_semi").join(keys, "node"), "guest-texts")
+    full = both.join(splittable(held, "node"), "node")
+
+    def compare(block: pa.Table) -> pa.Table:
+        guest = np.asarray(block.column("guest").to_numpy(zero_copy_only=False), bool)
+        node, root, low, high = (block.column(n).to_numpy() for n in ("node", "root", "low", "high"))
+        seed = block.column("seed")[0].as_py()
+        keys = np.array(block.column("keys").to_pylist(), np.int64)
+        text = block.column("text").combine_chunks()
+        shingles = list(shingle_runs(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text))
+        mine, theirs = np.flatnonzero(guest), np.flatnonzero(~guest)
+        size = np.array([len(s) for s in shingles])
+        held = np.concatenate([labelled(shingles[t]) for t in theirs])
+        order = np.argsort(held)
+        held, owner = held[order], np.repeat(np.arange(len(theirs)), size[theirs])[order]
+        near, found = 1 - LEAST + 1e-12, []
+        for g in mine:
+            # A pair is compared in the first of its buckets only.
+            may = (root[theirs] != root[g]) & (low[theirs] - high[g] <= near) & (low[g] - high[theirs] <= near) & (
+                (keys[theirs] == keys[g]).argmax(1) == seed)
+            if not may.any():
+                continue
+            own = labelled(shingles[g])
+            begin, end = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            count = end - begin
+            at = np.arange(int(count.sum())) + np.repeat(begin - np.cumsum(count) + count, count)
+            most = np.bincount(owner[at], minlength=len(theirs))
+            may &= most >= (1 - near) * (size[theirs] + size[g] - most)
+            found += [(int(node[g]), int(node[t])) for t in theirs[may] if reach(shingles[g], shingles[t])[1] <= near]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return full.groupBy("seed", "key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketch table (doc_id, node) and the edges (a, b) between near texts."""
     near = 1 - LEAST + 1e-12
@@ -215,13 +261,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bucket = sketched.groupBy("node").agg(F.first("keys").alias("keys")).select(
         "node", F.posexplode("keys").alias("seed", "key"))
     # A bucket is a seed's key; it stays while two texts of it may still be linked.
-    crowd = bucket.groupBy("seed", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed", "key")
-    active = c.materialised(bucket.join(splittable(crowd, "seed", "key"), ["seed", "key"]).withColumn(
-        "low", F.lit(0.0)).withColumn("high", F.lit(1.0)), "buckets")
+    crowd = bucket.groupBy("seed", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = c.materialised(bucket.join(splittable(crowd, "seed", "key"), ["seed", "key"]), "buckets")
+    company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
+    active = c.materialised(crowded.join(company, "node").select(
+        "seed", "key", "node", "company", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "buckets")
     texts = c.materialised(texts_of(docs, active.select("node").distinct()), "near-texts")
     done = None
     for _ in range(STARS):
-        pivots = active.groupBy("seed", "key").agg(F.min("node").alias("p"))
+        pivots = active.groupBy("seed", "key").agg(F.max(F.struct("company", "node"))["node"].alias("p"))
         met = active.drop("low", "high").join(splittable(pivots, "seed", "key"), ["seed", "key"]).where("node <> p")
         pairs = met.select("p", F.col("node").alias("x")).distinct()
         found = c.materialised(verified(pairs, texts), "verified")
@@ -231,16 +279,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # Of a bucket, what isn't linked to the pivot stays, and of the linked what those may still reach.
         left = told.where(F.col("high") > near).groupBy("seed", "key").agg(F.min("low").alias("nearest"))
         active = c.materialised(told.join(splittable(left, "seed", "key"), ["seed", "key"]).where(
-            (F.col("high") > near) | (F.col("nearest") - F.col("high") <= near)).select("seed", "key", "node", "low", "high"), "buckets")
+            (F.col("high") > near) | (F.col("nearest") - F.col("high") <= near)).select("seed", "key", "node", "company", "low", "high"), "buckets")
     edges = c.materialised(done, "edges")
     roots = components(edges)
     own = active.join(splittable(roots, "node"), "node", "left").select(
         "seed", "key", "node", "low", "high", F.coalesce("root", "node").alias("root"))
-    x, y = own.alias("x"), own.alias("y")
-    rest = x.join(y, (F.col("x.seed") == F.col("y.seed")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root"))
-                  & (F.col("x.low") - F.col("y.high") <= near) & (F.col("y.low") - F.col("x.high") <= near)).select(
-        F.col("x.node").alias("p"), F.col("y.node").alias("x")).distinct()
-    last = verified(rest, texts).where(F.col("high") <= near).select(F.col("p").alias("a"), F.col("x").alias("b"))
+    last = block_links(own, sketched.groupBy("node").agg(F.first("keys").alias("keys")), texts)
     return sketched.select("doc_id", "node"), c.materialised(edges.unionByName(last), "edges")
 
 
@@ -258,6 +302,7 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.unionByName(alone)
 
 
+@c.shielding
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least doc_id; texts without bytes all stay. Same columns."""
     named, edges = links(docs.select(F.col("doc_id").cast("long"), "text"))
@@ -269,15 +314,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.col("k.node").alias("_node"), F.col("k.least").alias("_least"))
     own = docs.withColumn("_node", F.xxhash64("text"))
     empty = own.where(F.coalesce(F.octet_length("text"), F.lit(0)) == 0).drop("_node")
-    found = own.where(F.octet_length("text") > 0).join(slim(kept, kept.count()), (own["_node"] == kept["_node"]) & own["doc_id"].cast(
+    found = own.where(F.octet_length("text") > 0).join(c.slim(kept, kept.count()), (own["_node"] == kept["_node"]) & own["doc_id"].cast(
         "long").eqNullSafe(kept["_least"]), "left_semi")
     # Rows repeated with one doc_id and text: one stays. Only those are grouped whole.
     twice = named.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
     own_twice = (found["_node"] == twice["_node"]) & found["doc_id"].cast("long").eqNullSafe(twice["_id"])
     size = twice.count()
-    single = found.join(slim(twice, size), own_twice, "left_anti").select(*docs.columns)
+    single = found.join(c.slim(twice, size), own_twice, "left_anti").select(*docs.columns)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    repeated = found.join(slim(twice, size), own_twice, "left_semi").select(*[F.col(f"`{n}`").alias(x) for n, x in zip(
+    repeated = found.join(c.slim(twice, size), own_twice, "left_semi").select(*[F.col(f"`{n}`").alias(x) for n, x in zip(
         docs.columns, names)], "_node").groupBy("_node").agg(*[F.first(x).alias(x) for x in names])
     return single.unionByName(empty).union(repeated.select(*[F.col(x).alias(n) for n, x in zip(docs.columns, names)]))
