@@ -7,6 +7,7 @@ the only shuffles are that join and the final sum per test.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -36,35 +37,43 @@ def scorer_name(zone: Column) -> Column:
     return F.coalesce(v.shown_name(zone["zone_name"]), v.shown_name(zone["zone"]))
 
 
-def extracted_zones(tests: DataFrame, upper: bool = True) -> DataFrame:
-    """One row per test and zone name, the first of several with one name."""
+def extracted_zones(tests: DataFrame, keys: list[str], read: Callable[[Column], Column], upper: bool = True) -> DataFrame:
+    """One row per test and zone name, the first of several with one name; a test without zones keeps one row of nulls.
+
+    Of a zone only its name and ``read`` of the wanted ``keys`` go on: no object crosses a shuffle.
+    """
     zones = tests.withColumn("_zones", scorer_zones(F.col("response_text")))
-    name = (lambda z: F.upper(scorer_name(z))) if upper else scorer_name
-    zones = zones.withColumn("_names", F.transform("_zones", name))
-    kept = F.filter(F.arrays_zip(F.col("_names").alias("name"), F.col("_zones").alias("zone_object"),
-                                 F.transform("_names", lambda _, i: i).alias("i")),
-                    lambda n: F.array_position(F.col("_names"), n["name"]) == n["i"] + 1)
-    return zones.withColumn("_z", F.explode(kept)).select(
-        "test_id", "ground_truth_doc_id", F.col("_z.name").alias("zone_key"), F.col("_z.zone_object").alias("zone_object"))
+    zones = zones.select("test_id", "ground_truth_doc_id", F.transform("_zones", lambda z: F.struct(
+        scorer_name(z).alias("name"), F.array(*[read(z[k]) for k in keys]).alias("values"))).alias("_zones"))
+    key = (lambda z: F.upper(z["name"])) if upper else (lambda z: z["name"])
+    zones = zones.withColumn("_keys", F.transform("_zones", key))
+    kept = F.filter(F.arrays_zip(F.col("_keys").alias("key"), F.col("_zones").alias("zone"),
+                                 F.transform("_keys", lambda _, i: i).alias("i")),
+                    lambda n: F.array_position(F.col("_keys"), n["key"]) == n["i"] + 1)
+    return zones.withColumn("_z", F.explode_outer(kept)).select(
+        "test_id", "ground_truth_doc_id", F.col("_z.key").alias("zone_key"), F.col("_z.zone.name").alias("predicted_zone"),
+        F.col("_z.zone.values").alias("values"))
 
 
-def key_score(value: Column, actual: Column) -> Column:
-    """Score of one key of an extracted zone; null when the key is absent.
+def given_value(value: Column) -> Column:
+    """What a score needs of a key: whether it is given, is a JSON null, and its number.
 
     Numbers may come as text; other text never equals a number.
     """
-    def score(val: Column) -> Column:
+    def parts(val: Column) -> Column:
         # A text counts only in plain decimal notation.
-        as_number = F.when(v.kind(val) == "STRING", parse_double(v.text(val))).otherwise(v.double(val))
-        null_given = F.is_variant_null(val)
-        return (F.when(val.isNull(), F.lit(None).cast("double"))
-                .when(null_given & actual.isNull(), F.lit(1.0))
-                .when(null_given | actual.isNull(), F.lit(0.0))
-                .otherwise(let(as_number, lambda p: F.when(
-                    p.isNull(), F.lit(0.0))
-                    .otherwise(scores.field_accuracy(p, actual)))))
+        number = F.when(v.kind(val) == "STRING", parse_double(v.text(val))).otherwise(v.double(val))
+        return F.struct(val.isNotNull().alias("given"), F.coalesce(F.is_variant_null(val), F.lit(False)).alias("none"), number.alias("number"))
 
-    return let(value, score)
+    return let(value, parts)
+
+
+def key_score(value: Column, actual: Column) -> Column:
+    """Score of one key of an extracted zone (a :func:`given_value`); null when the key is absent."""
+    return (F.when(~value["given"], F.lit(None).cast("double"))
+            .when(value["none"] & actual.isNull(), F.lit(1.0))
+            .when(value["none"] | actual.isNull() | value["number"].isNull(), F.lit(0.0))
+            .otherwise(scores.field_accuracy(value["number"], actual)))
 
 
 def _total(parts: list[Column]) -> Column:
@@ -78,18 +87,18 @@ def score_extractions(tests: DataFrame, truth: DataFrame) -> DataFrame:
     """
     have = set(truth.columns)
     pairs = {k: f for k, f in fv.SCORED_KEYS.items() if f in have}
-    verified = truth.select("ground_truth_doc_id", F.upper("zone").alias("zone_key"), *sorted(set(pairs.values())))
-    matched = extracted_zones(tests).join(verified, ["ground_truth_doc_id", "zone_key"])
-    given = F.array(*[F.struct(F.col("zone_object")[k].alias("value"), F.col(f).cast("double").alias("actual"))
-                      for k, f in pairs.items()])
-    cells = F.transform(given, lambda g: key_score(g["value"], g["actual"]))
-    per_zone = matched.select("test_id", "zone_key", F.array_compact(cells).alias("s")).select(
-        "test_id", "zone_key", F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("score"), F.size("s").alias("n"))
-    per_test = per_zone.groupBy("test_id").agg(
-        F.count_distinct("zone_key").alias("found"), F.sum("score").alias("score"), F.sum("n").alias("n"))
+    verified = truth.select("ground_truth_doc_id", F.upper("zone").alias("zone_key"), F.lit(True).alias("is_verified"),
+                            *sorted(set(pairs.values())))
+    rows = extracted_zones(tests, list(pairs), given_value).join(verified, ["ground_truth_doc_id", "zone_key"], "left")
+    given = F.arrays_zip(F.col("values").alias("value"), F.array(*[F.col(f).cast("double") for f in pairs.values()]).alias("actual"))
+    cells = F.when(F.col("is_verified"), F.array_compact(F.transform(given, lambda g: key_score(g["value"], g["actual"]))))
+    per_zone = rows.select("test_id", "ground_truth_doc_id", F.when(F.col("is_verified"), F.col("zone_key")).alias("zone_key"), cells.alias("s")).select(
+        "test_id", "ground_truth_doc_id", "zone_key", F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("score"),
+        F.when(F.col("s").isNotNull(), F.size("s")).alias("n"))
+    per_test = per_zone.groupBy("test_id", "ground_truth_doc_id").agg(
+        F.nullif(F.count_distinct("zone_key"), F.lit(0)).alias("found"), F.sum("score").alias("score"), F.sum("n").alias("n"))
     expected = verified.groupBy("ground_truth_doc_id").agg(F.count_distinct("zone_key").alias("expected"))
-    rows = (tests.select("test_id", "ground_truth_doc_id").join(per_test, "test_id", "left")
-            .join(splittable(expected, "ground_truth_doc_id"), "ground_truth_doc_id", "left"))
+    rows = per_test.join(splittable(expected, "ground_truth_doc_id"), "ground_truth_doc_id", "left")
     zone = F.coalesce(F.try_divide(F.col("found").cast("double"), F.col("expected")), F.lit(0.0))
     field = F.coalesce(F.try_divide("score", "n"), F.lit(0.0))
     known = F.col("expected").isNotNull()
@@ -105,21 +114,20 @@ def zone_results(tests: DataFrame, truth: DataFrame) -> DataFrame:
     verified = truth.select(F.col("id").alias("ground_truth_req_id"), "ground_truth_doc_id",
                             F.col("zone").alias("actual_zone"), F.upper("zone").alias("zone_key"), *have)
     wanted = tests.select("test_id", "ground_truth_doc_id").join(verified, "ground_truth_doc_id")
-    found = extracted_zones(tests).drop("ground_truth_doc_id")
-    rows = wanted.join(found, ["test_id", "zone_key"], "left")
     keys = {f: [k for k, t in fv.SCORED_KEYS.items() if t == f] for f in have}
     scored = [f for f, ks in keys.items() if ks]
-    # All keys of all fields are read in one lambda; a field takes its first number.
+    # A field takes its first number.
     flat = [k for f in scored for k in keys[f]]
-    rows = rows.withColumn("_n", F.transform(F.array(*[F.col("zone_object")[k] for k in flat]), v.number))
+    found = extracted_zones(tests, flat, v.number).where(F.col("zone_key").isNotNull()).drop("ground_truth_doc_id")
+    rows = wanted.join(found, ["test_id", "zone_key"], "left").withColumnRenamed("values", "_n")
     predicted = {f: F.coalesce(*[F.col("_n")[flat.index(k)] for k in keys[f]]) for f in scored}
     marks = F.transform(F.array(*[F.struct(p.alias("p"), F.col(f).cast("double").alias("a"))
                                   for f, p in predicted.items()]), lambda m: scores.field_accuracy(m["p"], m["a"]))
     return rows.select(
         "test_id", "ground_truth_req_id", "actual_zone",
-        F.when(F.col("zone_object").isNotNull(), scorer_name(F.col("zone_object"))).alias("predicted_zone"),
+        "predicted_zone",
         *[p.alias(f"predicted_{f}") for f, p in predicted.items()],
-        F.when(F.col("zone_object").isNull(), F.lit(0.0)).otherwise(
+        F.when(F.col("_n").isNull(), F.lit(0.0)).otherwise(
             F.aggregate(marks, F.lit(0.0), lambda a, x: a + x) / len(scored))
         .alias("zone_accuracy_score"))
 
@@ -129,16 +137,14 @@ def strict_accuracy(tests: DataFrame, expected: DataFrame, fields: dict[str, str
 
     ``fields`` maps a key of an extracted zone to a column of ``expected``.
     """
-    verified = expected.select("ground_truth_doc_id", F.col("zone").alias("zone_key"), *fields.values())
-    matched = extracted_zones(tests, upper=False).join(verified, ["ground_truth_doc_id", "zone_key"])
-    hits = _total([scores.strict_hit(v.number(F.col("zone_object")[k]), F.col(c)).cast("int")
-                   for k, c in fields.items()])
-    per_test = matched.select("test_id", hits.alias("hits")).groupBy("test_id").agg(
-        F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("zones"))
-    return tests.select("test_id", "ground_truth_doc_id").join(per_test, "test_id", "left").select(
+    verified = expected.select("ground_truth_doc_id", F.col("zone").alias("zone_key"), F.lit(True).alias("is_verified"), *fields.values())
+    rows = extracted_zones(tests, list(fields), v.number, upper=False).join(verified, ["ground_truth_doc_id", "zone_key"], "left")
+    hits = _total([scores.strict_hit(F.col("values")[i], F.col(c)).cast("int") for i, c in enumerate(fields.values())])
+    per_test = rows.groupBy("test_id", "ground_truth_doc_id").agg(
+        F.sum(F.when(F.col("is_verified"), hits)).alias("hits"), F.count("is_verified").alias("zones"))
+    return per_test.select(
         "test_id", "ground_truth_doc_id",
-        F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("zones") * len(fields)), F.lit(0.0))
-        .alias("accuracy"))
+        F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("zones") * len(fields)), F.lit(0.0)).alias("accuracy"))
 
 
 def _listed(raw: Column) -> Column:

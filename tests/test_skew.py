@@ -66,3 +66,25 @@ def test_children_of_a_hot_parent(spark, small_splits):
     assert [(r.k, r["count"]) for r in keys] == [("hot", 80000)]
     left.collect()
     assert "skew=true" in final_plan(left)
+
+
+def test_scores_shuffle_values_only(spark, folder):
+    from parcelrules.plans import suite
+
+    for name in ("score_extractions", "score_zone_results", "strict_accuracy"):
+        df = suite.QUERIES[name](spark, folder)
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan()
+        found, stack = 0, [plan]
+        while stack:
+            node = stack.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                stack.append(node.initialPlan())
+                continue
+            if "Exchange" in node.nodeName():
+                found += 1
+                kinds = node.schema().simpleString()
+                assert "variant" not in kinds and "map<" not in kinds
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+        assert found
