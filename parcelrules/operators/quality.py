@@ -26,6 +26,12 @@ REQUIRED = {
     "gt_documents": ["document_name", "town", "state"],
     "tests": ["prompt_experiment_id", "ground_truth_doc_id"],
 }
+UNIQUE = {
+    "requirements": ["town", "county", "state", "zone"],
+    "jobs": ["town", "county", "state"],
+    "experiments": ["prompt_name", "prompt_version"],
+    "gt_requirements": ["ground_truth_doc_id", "zone"],
+}
 # Warn-level bounds: what a rule of this kind plausibly is.
 PLAUSIBLE = {
     "interior_min_lot_area_sqft": (5000, 50000),
@@ -65,6 +71,17 @@ def violations(table: DataFrame, checks: dict[str, Column], key: list[str]) -> D
             .select(*key, F.explode(F.array_compact(broken)).alias("rule")))
 
 
+def key_violations(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Values of a unique key that several rows have, and how many; a key with a null part is never one."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return table.where(whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
+
+
+def length_rules(limits: dict[str, int]) -> dict[str, Column]:
+    """Rule name -> predicate, for texts with a declared length."""
+    return {f"{c} within {n} characters": F.length(c) <= n for c, n in limits.items()}
+
+
 def passing(table: DataFrame, checks: dict[str, Column]) -> DataFrame:
     for ok in checks.values():
         table = table.where(F.coalesce(ok, F.lit(True)))

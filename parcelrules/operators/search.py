@@ -21,10 +21,21 @@ def _equal(df: DataFrame, filters: dict[str, object]) -> DataFrame:
     return df
 
 
+MOST_OFFSET = 10_000      # a page further on is asked for by the key of the row before it
+
+
 def _page(df: DataFrame, limit: int, offset: int) -> DataFrame:
+    """Each task keeps offset + limit rows, so the offset is bounded; see :func:`after`."""
+    if offset > MOST_OFFSET:
+        raise ValueError(f"offset must be at most {MOST_OFFSET}; ask for the rows after the last key")
     return df.offset(offset).limit(limit) if offset else df.limit(limit)
 
 
+def after(df: DataFrame, key: dict[str, object]) -> DataFrame:
+    """The rows that follow ``key`` in the order of its columns; with a limit, the next page of any depth."""
+    return df.where(F.struct(*key) > F.struct(*[F.lit(x).alias(c) for c, x in key.items()]))
+
+
 def search_requirements(requirements: DataFrame, town: str | None = None, county: str | None = None,
                         state: str | None = None, zone: str | None = None,
                         limit: int = 100, offset: int = 0) -> DataFrame:

@@ -253,6 +253,30 @@ def quality_violations(t):
     return out
 
 
+@query("unique_key_violations", " UNION ALL ".join(f"""SELECT '{table}' AS table_name, {' || '.join(f"CAST({k} AS VARCHAR) || '|'" for k in keys)} AS unique_key,
+    count(*) AS row_count FROM {table} WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)} HAVING count(*) > 1"""
+    for table, keys in quality.UNIQUE.items()), (REQ, "jobs", "experiments", "gt_requirements"))
+def unique_key_violations(t):
+    tables = {"requirements": t.requirements, "jobs": t.jobs, "experiments": t.experiments, "gt_requirements": t.gt_requirements}
+    out = None
+    for name, keys in quality.UNIQUE.items():
+        found = quality.key_violations(tables[name], keys).select(
+            F.lit(name).alias("table_name"), F.concat(*[F.concat(F.col(k).cast("string"), F.lit("|")) for k in keys]).alias("unique_key"), "row_count")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("experiment_violations", """
+    SELECT id, 'llm_temperature within 0..2' AS rule FROM (SELECT *, id % 30 / 10.0 AS temperature FROM experiments) WHERE temperature > 2
+    UNION ALL SELECT id, 'llm_model not null' FROM experiments WHERE id % 11 = 0
+    UNION ALL SELECT id, 'prompt_name within 8 characters' FROM experiments WHERE length(prompt_name) > 8""", ("experiments",))
+def experiment_violations(t):
+    made = t.experiments.withColumn("llm_temperature", F.col("id") % 30 / 10.0).withColumn(
+        "llm_model", F.when(F.col("id") % 11 != 0, F.col("llm_model")))
+    checks = quality.rules("experiments", made.columns) | quality.length_rules({"prompt_name": 8})
+    return quality.violations(made, checks, ["id"])
+
+
 @query("plausibility_flags", """
     SELECT id, 'interior_min_lot_area_sqft within 5000..50000' AS rule FROM gt_requirements
     WHERE NOT interior_min_lot_area_sqft BETWEEN 5000 AND 50000

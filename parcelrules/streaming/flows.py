@@ -106,6 +106,43 @@ def normalize_stream(stream: DataFrame, target: str, checkpoint: str, poll: str
 WRITE_ORDER = ["extracted_at", "response_id", "position"]
 
 
+def compact_batches(spark: SparkSession, target: str, merge: Callable[[DataFrame], DataFrame], upto: int) -> None:
+    """Batches up to ``upto`` merged into one folder, beside the batches; :func:`compacted` reads both.
+
+    The merged folder is written whole before it is used, so a run that is cut
+    short leaves the old state, and a second run gives the same one.
+    """
+    merge(compacted(spark, target, last=upto)).write.mode("overwrite").parquet(f"{target}_merged/upto={upto}")
+
+
+def compacted(spark: SparkSession, target: str, last: int | None = None) -> DataFrame:
+    """The newest complete merged folder and the batches after it; older batch folders aren't listed."""
+    folders, done = finished_folders(spark, f"{target}_merged", "upto"), -1
+    if last is not None:
+        folders = [n for n in folders if n < last]
+    parts = []
+    if folders:
+        done = max(folders)
+        parts.append(spark.read.parquet(f"{target}_merged/upto={done}"))
+    newer = [n for n in finished_folders(spark, target, "batch_id") if n > done and (last is None or n <= last)]
+    if newer:
+        parts.append(spark.read.parquet(*[batch_folder(target, n) for n in newer]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def finished_folders(spark: SparkSession, base: str, key: str) -> list[int]:
+    """Numbers of the folders ``key=N`` under ``base`` whose write was committed."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{key}=*/_SUCCESS")) or []
+    names = [status.getPath().getParent().getName().split("=", 1)[1] for status in found]
+    return [int(n) for n in names if n.isdigit()]
+
+
 def current_requirements(spark: SparkSession, target: str, snapshots: str | None = None,
                          upto: int = -1) -> DataFrame:
     """The table now: the last write of each key.
@@ -139,6 +176,12 @@ def partial_stats(tests: DataFrame) -> DataFrame:
         F.max("test_date").alias("last_tested_at"))
 
 
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partials of one experiment as one partial."""
+    sums = [c for c in partials.columns if c not in ("id", "last_tested_at")]
+    return partials.groupBy("id").agg(*[F.sum(c).alias(c) for c in sums], F.max("last_tested_at").alias("last_tested_at"))
+
+
 def merge_stats(partials: DataFrame) -> DataFrame:
     counts = ("total_tests", "successful_extractions", "failed_extractions")
     return partials.groupBy("id").agg(

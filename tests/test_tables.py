@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelrules.operators import maintenance as m, quality, stats
@@ -220,3 +221,27 @@ def test_compacted_batches_give_the_same_table(spark, tmp_path):
     flows.compact(spark, target, snaps, 1, previous=0)
     later = flows.current_requirements(spark, target, snaps, upto=1)
     assert sorted(map(str, later.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_merged_partials_and_later_batches(spark, tmp_path):
+    target = str(tmp_path / "partials")
+    rows = [(1, 2, 3.0), (2, 1, 0.5), (1, 4, 1.0), (3, 1, 2.0)]
+    for n, row in enumerate(rows):
+        spark.createDataFrame([(*row, T0 + timedelta(hours=n))], "id int, total_tests long, s_x double, last_tested_at timestamp").write.parquet(
+            flows.batch_folder(target, n))
+        if n in (1, 2):
+            flows.compact_batches(spark, target, flows.merge_partials, n)
+    got = {r.id: (r.total_tests, r.s_x) for r in flows.merge_partials(flows.compacted(spark, target)).collect()}
+    assert got == {1: (6, 4.0), 2: (1, 0.5), 3: (1, 2.0)}
+    assert flows.compacted(spark, target).count() == 3
+
+
+def test_pages_by_key(spark):
+    from parcelrules.operators import search
+
+    rows = spark.createDataFrame([("A", i % 3, i) for i in range(9)], "town string, zone int, id int")
+    first = rows.orderBy("town", "zone", "id").limit(4).collect()
+    rest = search.after(rows, {"town": first[-1].town, "zone": first[-1].zone, "id": first[-1].id})
+    assert first + rest.orderBy("town", "zone", "id").collect() == rows.orderBy("town", "zone", "id").collect()
+    with pytest.raises(ValueError):
+        search.search_requirements(rows, offset=10 ** 6)
