@@ -4,7 +4,6 @@ import pytest
 from check import compare, connect
 
 import __spark_entry__ as entry
-import corpus_pipeline
 from parcelrules.llm import suite
 
 NATIVE = ("op7_kd_shards", "op8_divergence", "op10_url_filter")
@@ -24,16 +23,3 @@ def test_native_plans_hold_no_python(name, spark, folder):
 def test_one_query_per_operator():
     names = sorted(entry.queries())
     assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
-
-
-def test_pipeline(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, folder)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        left = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert left <= ids and left
-        ids = left
-    packed = corpus_pipeline.run(spark, folder)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
