@@ -20,6 +20,8 @@ HEADLINE = [
     "upsert_requirements", "dedupe_documents", "apply_status_events", "orphan_jobs", "retry_outcomes",
     "quality_violations", "normalize_requirements", "score_extractions", "bulk_parse", "rule_extract", "build_prompts",
 ]
+# Timed beside the total: each runs its stream inside the query.
+STREAMS = ["stream_ingest", "stream_normalize", "stream_stats"]
 
 
 def main() -> None:
@@ -30,17 +32,21 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    took = {}
-    for name in HEADLINE:
+    took, plan = {}, {}
+    for name in [*HEADLINE, *STREAMS]:
         times = []
         for _ in range(runs + 1):
             start = time.perf_counter()
-            suite.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
-        took[name] = round(min(times[1:]), 3)
+            df = suite.QUERIES[name](spark, folder)
+            built = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            times.append((time.perf_counter() - start, built - start))
+        best = min(times[1:])
+        took[name], plan[name] = round(best[0], 3), round(best[1], 3)
+    streams = {name: took.pop(name) for name in STREAMS}
     print(json.dumps({
         "metric": "total time of headline queries", "value": round(sum(took.values()), 3), "unit": "sec",
-        "queries": took, "sf": os.path.basename(folder.rstrip("/")), "cpus": int(cpus), "spark": spark.version,
+        "queries": took, "plan_building": plan, "streams": streams, "sf": os.path.basename(folder.rstrip("/")), "cpus": int(cpus), "spark": spark.version,
         "state": "warm, best of %d" % runs}))
     spark.stop()
 

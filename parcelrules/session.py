@@ -7,12 +7,15 @@ unset gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 _local_folders: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 # Runtime settings every plan relies on; safe to set on a running session.
 RUNTIME_CONF = {
@@ -61,5 +64,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         app = spark.sparkContext.applicationId
         if app not in _local_folders:
             _local_folders[app] = tempfile.mkdtemp(prefix="parcelrules-")
+            atexit.register(shutil.rmtree, _local_folders[app], ignore_errors=True)
         base = _local_folders[app]
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_work_folders(spark: SparkSession) -> int:
+    """Delete the work folders this application has made, once no DataFrame needs them; how many there were."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

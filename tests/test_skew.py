@@ -88,3 +88,15 @@ def test_scores_shuffle_values_only(spark, folder):
             children = node.children()
             stack += [children.apply(i) for i in range(children.size())]
         assert found
+
+
+def test_work_folders_can_be_removed(spark, monkeypatch):
+    import os
+
+    from parcelrules import session
+
+    monkeypatch.setattr(session, "_made", {})
+    paths = [session.work_folder(spark, "try") for _ in range(2)]
+    spark.range(3).write.parquet(paths[0])
+    assert os.path.exists(paths[0]) and session.remove_work_folders(spark) == 2
+    assert not os.path.exists(paths[0]) and session.remove_work_folders(spark) == 0
