@@ -191,7 +191,7 @@ def prompt_ranking(tests: DataFrame, experiments: DataFrame) -> DataFrame:
     rows = per_exp.where(F.col("a").isNotNull()).join(
         experiments.select("id", "prompt_name", "prompt_version"), "id").withColumn("accuracy", scores.settled(F.col("a")))
     values = rows.groupBy("accuracy").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "bin", F.floor(F.col("accuracy") * RANK_BINS))
+        "bin", F.least(F.greatest(F.floor(F.col("accuracy") * RANK_BINS), F.lit(0)), F.lit(RANK_BINS)))
     bins = values.groupBy("bin").agg(F.sum("n").alias("bin_n"))
     before = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("bin", F.coalesce(F.sum("bin_n").over(before), F.lit(0)).alias("above"))

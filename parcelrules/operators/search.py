@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from parcelrules.operators.skew import splittable
 from parcelrules.operators.stats import last_days
 
 
@@ -71,7 +72,8 @@ def by_id(table: DataFrame, row_id: object) -> DataFrame:
 
 def by_ids(table: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose ``key`` is among the wanted ids (a DataFrame with that column)."""
-    return table.join(wanted.select(key).distinct(), key, "left_semi").select(*table.columns)
+    # Spread anew, so that the rows of a hot key can be split over tasks.
+    return table.join(splittable(wanted.select(key).distinct(), key), key, "left_semi").select(*table.columns)
 
 
 def active_experiments(stats: DataFrame, active_only: bool = True) -> DataFrame:
