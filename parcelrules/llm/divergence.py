@@ -21,8 +21,6 @@ or unknown language is not judged by divergence; repeated rows are judged each;
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelrules.functions.text import let
@@ -67,16 +65,15 @@ def windows_repeated(words: Column) -> Column:
 
 def common_counts(words: Column, lang: Column) -> Column:
     """Counts of the language's common words and of the rest; null without a list."""
-    line = F.lower(F.concat(F.lit("  "), F.array_join(words, "  "), F.lit("  ")))
-
-    def counts(names: list[str], text: Column) -> Column:
-        found = [((F.length(text) - F.length(F.replace(text, F.lit(f" {n} "), F.lit("")))) / (len(n) + 2)).cast("long") for n in names]
-        return let(F.array(*found), lambda a: F.concat(a, F.array(
-            F.size(words) - F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x))))
+    def counts(names: list[str]) -> Column:
+        known = F.transform(F.filter(words, lambda w: F.lower(w).isin(names)), F.lower)
+        return let(known, lambda k: F.concat(
+            F.array(*[(F.size(k) - F.size(F.array_remove(k, n))).cast("long") for n in names]),
+            F.array((F.size(words) - F.size(k)).cast("long"))))
 
     out = F.when(F.lit(False), F.lit(None).cast("array<bigint>"))
     for name, names in COMMON.items():
-        out = out.when(lang == name, let(line, partial(counts, names)))
+        out = out.when(lang == name, counts(names))
     return out
 
 
