@@ -34,7 +34,26 @@ def bloom_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return bloom_lm.score_table(c.table(spark, folder, "documents"))
 
 
-@query("op3_decontaminate")
+# For the SQL of the queries: A-Z lower-cased, and the words of a text.
+LOWER = "translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PLAIN_WORDS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op3_decontaminate", f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {PLAIN_WORDS.format(text='text')} AS w FROM documents),
+    i AS (SELECT item_id, {PLAIN_WORDS.format(text='text')} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, m, array_to_string(w[a:a + m - 1], ' ') AS words FROM (
+        SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS a FROM i WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT m FROM windows),
+    places AS (SELECT rid, m, a, array_to_string(w[a:a + m - 1], ' ') AS words FROM (
+        SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS a FROM d, sizes WHERE len(w) >= m)),
+    found AS (SELECT rid, a, m, item_id FROM places JOIN windows USING (m, words)),
+    hits AS (SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(a, a + m)) AS word FROM found) GROUP BY rid),
+    items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+              FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)""")
 def contamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(c.table(spark, folder, "documents"), c.table(spark, folder, "benchmark"))
 
