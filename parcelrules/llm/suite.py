@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, secret_cnn, suffix_dedup, url_filter, warc
+from parcelrules.plans.registry import rounded
 from parcelrules.session import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,9 +64,46 @@ def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(packing.pack(c.table(spark, folder, "documents"), tokenizer_path()))
 
 
-@query("op8_divergence")
+NOT_SPACE = "[^\\x20\\x09-\\x0D]"
+CHAR_BINS = ", ".join(f"struct_pack(bin := {i}, n := length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g')))"
+                      for i, p in enumerate(divergence.CLASSES.values()))
+WORD_BINS = ", ".join(f"('{lang}', {i}, '{name}')" for lang, names in divergence.COMMON.items() for i, name in enumerate(names))
+
+
+@query("op8_divergence", f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '{NOT_SPACE}+') AS w FROM documents),
+    windows AS (SELECT rid, a, array_to_string(w[a:a + 2], ' ') AS words FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS a FROM d)),
+    twice AS (SELECT rid, a, count(*) OVER (PARTITION BY rid, words) AS n FROM windows),
+    repeated AS (SELECT rid, count(DISTINCT word) AS n FROM (SELECT rid, unnest([a, a + 1, a + 2]) AS word FROM twice WHERE n > 1) GROUP BY rid),
+    m AS (SELECT d.*, len(w) AS n_words, coalesce(r.n, 0) AS n_repeat_words,
+                 list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{NOT_SPACE}')) AS lines FROM d LEFT JOIN repeated r USING (rid)),
+    listed AS (SELECT * FROM (VALUES {WORD_BINS}) x(lang, bin, name)),
+    said AS (SELECT rid, lower(word) AS name, count(*) AS n FROM (SELECT rid, unnest(w) AS word FROM d) GROUP BY 1, 2),
+    char_counts AS (SELECT rid, lang, x.bin, x.n FROM (SELECT rid, lang, t, unnest([{CHAR_BINS}]) AS x FROM d)),
+    common_counts AS (SELECT d.rid, d.lang, l.bin, coalesce(s.n, 0) AS n FROM d JOIN listed l USING (lang) LEFT JOIN said s ON s.rid = d.rid AND s.name = l.name),
+    counts AS (
+        SELECT 'chars' AS kind, rid, lang, bin, n FROM char_counts
+        UNION ALL SELECT 'chars', rid, any_value(c.lang), {len(divergence.CLASSES)}, any_value(length(t)) - sum(n) FROM char_counts c JOIN d USING (rid) GROUP BY rid
+        UNION ALL SELECT 'words', rid, lang, bin, n FROM common_counts
+        UNION ALL SELECT 'words', rid, any_value(c.lang), {divergence.BINS}, any_value(len(w)) - sum(n) FROM common_counts c JOIN d USING (rid) GROUP BY rid),
+    shares AS (SELECT kind, rid, lang, bin, n / nullif(sum(n) OVER (PARTITION BY kind, rid), 0) AS p FROM counts),
+    reference AS (SELECT kind, s.lang, bin, avg(p) AS q FROM shares s JOIN m USING (rid)
+                  WHERE n_words >= {divergence.LEAST_WORDS} AND s.lang IN (SELECT lang FROM listed) GROUP BY ALL),
+    distance AS (SELECT rid, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+                        + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS far
+                 FROM shares JOIN reference USING (kind, lang, bin) WHERE p IS NOT NULL GROUP BY rid, kind),
+    judged AS (SELECT m.*, c.far AS char_far, v.far AS word_far, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+               FROM m LEFT JOIN distance c ON c.rid = m.rid AND c.kind = 'chars' LEFT JOIN distance v ON v.rid = m.rid AND v.kind = 'words')
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST(length(t) - length(translate(t, '{divergence.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+           NOT base_failed AND NOT coalesce(char_far > {divergence.MOST_CHARS}, FALSE)
+               AND NOT (n_words >= {divergence.LEAST_COMMON} AND coalesce(word_far > {divergence.MOST_WORDS}, FALSE)) AS kept,
+           round(char_far, 6) AS char_distance, round(word_far, 6) AS word_distance
+    FROM judged""")
 def quality(spark: SparkSession, folder: str) -> DataFrame:
-    return divergence.quality(c.table(spark, folder, "documents"))
+    return rounded(divergence.quality(c.table(spark, folder, "documents")), 6)
 
 
 # The rules of the query, as SQL that both engines read.
