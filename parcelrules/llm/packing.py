@@ -39,7 +39,9 @@ END_ID = 2
 SENTENCE, INSIDE = 16, 128
 LOOSE, STEP = 256, 64
 RUN = 1 << 20
-REMEMBER = 3 << 19
+REMEMBER = 3 << 19          # words a worker keeps, in about 100 MB
+ENCODED = 1 << 12           # words encoded at once
+SLICE = 1 << 20             # bytes of text encoded at once
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 LETTER = np.zeros(256, bool)
@@ -61,23 +63,31 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        # Sorted hashes and where each one's ids are told: arrays, as a worker keeps them between tasks.
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.counts = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in order, and the number of ids of each word."""
         distinct, first, inverse = np.unique(c.range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > REMEMBER:
+        if len(self.keys) + len(distinct) > REMEMBER:
             self.forget()
-        at = np.array([self.place.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(at < 0)
+        near = np.searchsorted(self.keys, distinct)
+        hit = near < len(self.keys)
+        hit[hit] = self.keys[near[hit]] == distinct[hit]
+        at = np.full(len(distinct), -1, np.int64)
+        at[hit] = self.places[near[hit]]
+        new = np.flatnonzero(~hit)
         if len(new):
             words = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[first[new]], ends[first[new]])]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            counts = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            known, total = len(self.place), len(self.place) + len(new)
+            counts, parts = np.zeros(len(words), np.int64), []
+            for at_word in range(0, len(words), ENCODED):      # the encoder's own results are large
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[at_word:at_word + ENCODED], add_special_tokens=False)]
+                counts[at_word:at_word + len(ids)] = [len(x) for x in ids]
+                parts.append(np.array([i for x in ids for i in x], np.uint32))
+            flat = np.concatenate(parts)
+            known, total = len(self.keys), len(self.keys) + len(new)
             if total > len(self.starts):
                 self.starts, self.counts = np.resize(self.starts, 2 * total), np.resize(self.counts, 2 * total)
             if self.used + len(flat) > len(self.pool):
@@ -87,9 +97,10 @@ class WordIds:
             self.pool[self.used:self.used + len(flat)] = flat
             self.used += len(flat)
             at[new] = np.arange(known, total)
-            self.place.update(zip(distinct[new].tolist(), range(known, total)))
+            self.keys = np.insert(self.keys, near[new], distinct[new])
+            self.places = np.insert(self.places, near[new], at[new].astype(np.int32))
         word = at[inverse]
-        counts = self.counts[word]
+        counts = self.counts[word].astype(np.int64)
         step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
         return self.pool[np.repeat(self.starts[word], counts) + step], counts
 
@@ -124,7 +135,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def encoded(column: pa.Array, words: WordIds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per text: its ids with the end mark, and the positions after which a sentence ends."""
     raw, offsets = c.text_bytes(column)
-    for low, high in c.slices(offsets):
+    for low, high in c.slices(offsets, SLICE):
         rows = offsets[low:high + 1] - offsets[low]
         data, starts, ends, first = units(raw[offsets[low]:offsets[high]], rows)
         ids, counts = words.encode(data, starts, ends) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
