@@ -34,10 +34,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def materialised(df: DataFrame, purpose: str, small: bool = False) -> DataFrame:
-    """``df`` written as Parquet to the folder all executors share, and read from there; ``small``: as one file."""
+def materialised(df: DataFrame, purpose: str, small: bool = False, narrow: bool = False) -> DataFrame:
+    """``df`` written as Parquet to the folder all executors share, and read from there.
+
+    ``small``: as one file. ``narrow``: rows of a few numbers, as two files per core of the cluster at most.
+    """
     path = work_folder(df.sparkSession, purpose)
-    (df.coalesce(1) if small else df).write.parquet(path)
+    files = 1 if small else 2 * df.sparkSession.sparkContext.defaultParallelism if narrow else None
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,10 +16,10 @@ from parcelrules.operators.skew import splittable
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); the root is the least node of its component."""
     now = c.materialised(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-                         "edges")
+                         "edges", narrow=True)
     before = None
     while True:
-        now = c.materialised(small_star(large_star(now)), "edges")
+        now = c.materialised(small_star(large_star(now)), "edges", narrow=True)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v"))).collect()[0]
         if seen == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -131,11 +131,11 @@ def tree(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(text_key, part, parts, shard): the leaf of every point; shards are 0 to shards - 1, a power of two."""
     total = rows.agg(F.sum("size").alias("n")).collect()[0]["n"] or 0
     target = max(1, -(-total // shards))
-    placed = c.materialised(points(rows, target).withColumn("node", F.lit(0).cast("long")), "kd-points")
+    placed = c.materialised(points(rows, target).withColumn("node", F.lit(0).cast("long")), "kd-points", narrow=True)
     n = range(len(DIMENSIONS))
     root = placed.agg(*[F.coalesce(f(f"d{i}"), F.lit(0)).alias(f"{k}{i}") for i in n for k, f in (("lo", F.min), ("hi", F.max))]).collect()[0].asDict()
     for _ in range(levels(shards, 1) if total else 0):
-        placed = c.materialised(cut_level(placed, root), "kd-points")
+        placed = c.materialised(cut_level(placed, root), "kd-points", narrow=True)
     return placed.select("text_key", "part", "parts", F.col("node").cast("int").alias("shard"))
 
 
@@ -152,11 +152,11 @@ def numbered(rows: DataFrame, group: str) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Every document with its shard and slot; shards hold nearly equal bytes."""
-    rows = c.materialised(with_text(docs), "kd-rows")
+    rows = c.materialised(with_text(docs), "kd-rows", narrow=True)
     leaves = tree(rows, shards)
     parts = leaves.groupBy("text_key").agg(F.first("parts").alias("parts"))
     own = rows.join(splittable(parts, "text_key"), "text_key").withColumn("part", part_of(F.col("parts")))
     placed = own.join(splittable(leaves.select("text_key", "part", "shard"), "text_key", "part"), ["text_key", "part"])
-    out = numbered(c.materialised(placed.select("doc_id", "text_key", "size", "text_crc32", "shard"), "kd-placed"), "shard")
+    out = numbered(c.materialised(placed.select("doc_id", "text_key", "size", "text_crc32", "shard"), "kd-placed", narrow=True), "shard")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))

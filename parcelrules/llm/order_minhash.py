@@ -203,7 +203,7 @@ def block_links(own: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
     by_root = own.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = by_root.groupBy(*bucket).agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("host")).where(
         F.col("host.n") < F.col("size")).select(*bucket, "size", F.col("host.root").alias("host"), (F.col("size") - F.col("host.n")).alias("guests"))
-    rows = c.materialised(own.join(splittable(sizes, *bucket), bucket), "guests")
+    rows = c.materialised(own.join(splittable(sizes, *bucket), bucket), "guests", narrow=True)
     across, down = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("guests") / BLOCK)
     x = rows.where("root <> host").select("*", F.pmod(F.hash("node"), down).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), across - 1)).alias("i"),
                                           F.lit(True).alias("guest"))
@@ -262,30 +262,30 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "node", F.posexplode("keys").alias("seed", "key"))
     # A bucket is a seed's key; it stays while two texts of it may still be linked.
     crowd = bucket.groupBy("seed", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = c.materialised(bucket.join(splittable(crowd, "seed", "key"), ["seed", "key"]), "buckets")
+    crowded = c.materialised(bucket.join(splittable(crowd, "seed", "key"), ["seed", "key"]), "buckets", narrow=True)
     company = crowded.groupBy("node").agg(F.sum("size").alias("company"))
     active = c.materialised(crowded.join(company, "node").select(
-        "seed", "key", "node", "company", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "buckets")
+        "seed", "key", "node", "company", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "buckets", narrow=True)
     texts = c.materialised(texts_of(docs, active.select("node").distinct()), "near-texts")
     done = None
     for _ in range(STARS):
         pivots = active.groupBy("seed", "key").agg(F.max(F.struct("company", "node"))["node"].alias("p"))
         met = active.drop("low", "high").join(splittable(pivots, "seed", "key"), ["seed", "key"]).where("node <> p")
         pairs = met.select("p", F.col("node").alias("x")).distinct()
-        found = c.materialised(verified(pairs, texts), "verified")
+        found = c.materialised(verified(pairs, texts), "verified", narrow=True)
         edges = found.where(F.col("high") <= near).select(F.col("p").alias("a"), F.col("x").alias("b"))
         done = edges if done is None else done.unionByName(edges)
         told = met.join(found.select("p", F.col("x").alias("node"), "low", "high"), ["p", "node"])
         # Of a bucket, what isn't linked to the pivot stays, and of the linked what those may still reach.
         left = told.where(F.col("high") > near).groupBy("seed", "key").agg(F.min("low").alias("nearest"))
         active = c.materialised(told.join(splittable(left, "seed", "key"), ["seed", "key"]).where(
-            (F.col("high") > near) | (F.col("nearest") - F.col("high") <= near)).select("seed", "key", "node", "company", "low", "high"), "buckets")
-    edges = c.materialised(done, "edges")
+            (F.col("high") > near) | (F.col("nearest") - F.col("high") <= near)).select("seed", "key", "node", "company", "low", "high"), "buckets", narrow=True)
+    edges = c.materialised(done, "edges", narrow=True)
     roots = components(edges)
     own = active.join(splittable(roots, "node"), "node", "left").select(
         "seed", "key", "node", "low", "high", F.coalesce("root", "node").alias("root"))
     last = block_links(own, sketched.groupBy("node").agg(F.first("keys").alias("keys")), texts)
-    return sketched.select("doc_id", "node"), c.materialised(edges.unionByName(last), "edges")
+    return sketched.select("doc_id", "node"), c.materialised(edges.unionByName(last), "edges", narrow=True)
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -296,7 +296,7 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
 def repeated_places(texts: DataFrame, hot: int) -> DataFrame:
     """The places of anchors whose hash occurs more than once."""
     spark = texts.sparkSession
-    many = c.materialised(anchor_counts(texts).where("count > 1"), "anchors")
+    many = c.materialised(anchor_counts(texts).where("count > 1"), "anchors", narrow=True)
     likely = spark.sparkContext.broadcast(build_filter(many.select("key", F.lit(1).cast("long").alias("count")), FILTER_BITS, True))
 
     def run(batches):
@@ -420,7 +420,7 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and the removed ranges as ``spans``."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = c.materialised(removed_ranges(docs, hot).groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    ranges = c.materialised(removed_ranges(docs, hot).groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges", narrow=True)
     wanted = ranges.select("node")
     result = ("node long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -443,7 +443,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                                               pa.array(spans, span)], names=["node", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     hit = firsts(docs).join(c.slim(wanted, wanted.count()), "node", "left_semi").select("node", "text")
-    changed = c.materialised(hit.join(ranges, "node").mapInArrow(cut, result).dropDuplicates(["node"]), "cut")
+    changed = c.materialised(hit.join(ranges, "node").mapInArrow(cut, result).dropDuplicates(["node"]), "cut", narrow=True)
     own = docs.select("doc_id", F.xxhash64("text").alias("node"), F.octet_length("text").cast("long").alias("n_bytes"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     many = copies(docs)

@@ -75,7 +75,7 @@ def with_types(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     seen = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(
         F.min(F.struct(key.isNull().alias("none"), key.alias("id"))).alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = seen.where("n > 1").select("digest", F.col("first.id").alias("first"), F.lit(True).alias("again"))
-    repeated = c.materialised(repeated, "warc-repeated")
+    repeated = c.materialised(repeated, "warc-repeated", narrow=True)
     side = c.slim(repeated, repeated.count())
     both = rows.join(side, "digest", "left")
     # A short payload has no entry; an empty one neither.
