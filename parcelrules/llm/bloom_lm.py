@@ -7,11 +7,12 @@ that was found stands for the middle of its range of counts. An error can only
 raise a count, and each further level needs another false hit, so gross errors
 are exponentially rare.
 
-The filter is broadcast and has a proven size: ``filter_bits`` at most, whatever
-the corpus. The corpus is counted whole; if all entries don't fit at
-``BITS_PER_ENTRY``, the n-grams with the lowest levels stay out (least level by
-the exact numbers of n-grams per level), which the smoothing then treats as
-unseen. The probability of a word w after v is
+Every n-gram of every level is entered. A filter has ``filter_bits`` at most;
+a corpus with more entries than that holds at ``BITS_PER_ENTRY`` has more filters,
+and the hash of an n-gram says which one is its own. All are broadcast, but a
+worker holds one at a time: texts are gathered into lots, and each filter is
+loaded once a lot and asked for its own n-grams. The texts are read once, however
+many filters there are. The probability of a word w after v is
 
     P(w | v) = lambda * min(c(vw) / c(v), 1) + (1 - lambda) * (c(w) + 1) / (N + V + 1)
 
@@ -30,20 +31,25 @@ than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parcelrules.llm import common as c
 
-FILTER_BITS = 1 << 28        # 32 MB
+FILTER_BITS = 1 << 28        # 32 MB, of each filter
 BITS_PER_ENTRY = 8
 PROBES = 3
 FREQUENT = 1 << 18           # words whose exact counts are broadcast: 4 MB
 WEIGHT = 0.4
 LEVELS = 64
 CHUNK_WORDS = 1 << 13        # filter words (64 bits each) a row of the built filter holds
+ENTER_KEYS = 1 << 17         # keys whose bits a task gathers per chunk at once
+LOT_TOKENS = 1 << 22         # tokens that wait for a filter at once, if there are several
+PART = np.uint64(0xD6E8FEB86659FD93)
 END = np.uint64(0xE5D0E5D0E5D0E5D1)
 PAIR = 2
 
@@ -107,8 +113,13 @@ def positions(keys: np.ndarray, at: int, probe: int, bits: int) -> np.ndarray:
     return (c.mix(keys ^ seed) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` filters (a power of two) an n-gram belongs to; independent of its bits there."""
+    return (c.mix(keys ^ PART) & np.uint64(parts - 1)).astype(np.int64)
+
+
 class LevelFilter:
-    """The broadcast side: a bit array and the level of any n-gram by repeated probes."""
+    """One filter: a bit array and the level of any n-gram by repeated probes."""
 
     def __init__(self, bits: np.ndarray):
         self.words, self.size = bits, len(bits) * 64
@@ -125,71 +136,101 @@ class LevelFilter:
             out[left] = at
         return out
 
+
+class LevelFilters:
+    """All filters, broadcast one by one. With several, no more than one is in a worker's memory."""
+
+    def __init__(self, parts: list[Broadcast]):
+        self.parts = parts
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.parts[0].value.levels(keys)
+        out = np.zeros(len(keys), np.int64)
+        part = part_of(keys, len(self.parts))
+        for k, held in enumerate(self.parts):
+            own = np.flatnonzero(part == k)
+            if len(own):
+                out[own] = held.value.levels(keys[own])
+                if getattr(held, "_path", None):     # the file stays, and is loaded again for the next lot
+                    vars(held).pop("_value", None)
+        return out
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of the range of counts that a level stands for."""
         q = self.levels(keys).astype(np.float64)
         return np.where(q > 0, (3 * 2.0 ** (q - 1) - 1) / 2, 0.0)
 
 
-def least_level(counts: DataFrame, entries: int) -> int:
-    """The lowest level such that all n-grams from it on need at most ``entries`` entries."""
-    rows = counts.groupBy(level(F.col("count")).alias("q")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64
-    total, least = 0, LEVELS + 1
-    for q, n in sorted(((r["q"], r["n"]) for r in rows), reverse=True):
-        total += q * n
-        if total > entries:
-            break
-        least = q
-    return least
-
-
-def filter_size(counts: DataFrame, most: int) -> int:
-    """A power of two of bits for all entries, at most ``most``."""
+def filter_shape(counts: DataFrame, most: int, one: bool = False) -> tuple[int, int]:
+    """The number of filters and the bits of each, powers of two, for all entries; ``most`` bits each at most."""
     entries = counts.agg(F.sum(level(F.col("count"))).alias("n")).collect()[0]["n"] or 0
-    bits = 64 * CHUNK_WORDS
-    while bits < min(most, entries * BITS_PER_ENTRY):
+    parts, bits = 1, 64 * CHUNK_WORDS
+    while not one and parts * most < entries * BITS_PER_ENTRY:
+        parts *= 2
+    while bits < min(most, -(-entries * BITS_PER_ENTRY // parts)):
         bits *= 2
-    return bits
+    return parts, bits
 
 
-def build_filter(counts: DataFrame, most_bits: int = FILTER_BITS, every: bool = False) -> LevelFilter:
-    """The filter of (key, count) rows, built in pieces by the executors; its size bounds what the driver gets.
+def build_filters(counts: DataFrame, most_bits: int = FILTER_BITS, one: bool = False) -> Iterator[LevelFilter]:
+    """The filters of (key, count) rows, built in pieces by the executors; the driver gets one after another.
 
-    ``every``: all keys are entered, however full the filter gets.
+    ``one``: all keys go into one filter, however full it gets.
     """
-    bits = filter_size(counts, most_bits)
-    least = 1 if every else least_level(counts, bits // BITS_PER_ENTRY)
+    parts, bits = filter_shape(counts, most_bits, one)
     chunk_bits = 64 * CHUNK_WORDS
-
-    def parts(batches):
-        """Each batch's bits, gathered per chunk of the filter."""
+    chunks = bits // chunk_bits      # of one filter
+
+    def entered(keys: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        """The bits of some keys, gathered per chunk of the filters."""
+        part, own_bits = part_of(keys, parts) * bits, []
+        for at in range(1, int(q.max(initial=0)) + 1):
+            own = q >= at
+            own_bits += [part[own] + positions(keys[own], at, probe, bits) for probe in range(PROBES)]
+        bit = np.unique(np.concatenate(own_bits)) if own_bits else np.zeros(0, np.int64)
+        chunk, start = np.unique(bit // chunk_bits, return_index=True)
+        rows = [x.astype("<u4").tobytes() for x in np.split(bit % chunk_bits, start[1:])] if len(chunk) else []
+        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(rows, pa.binary())], names=["chunk", "bits"])
+
+    def pieces(batches):
+        held, size = [], 0
         for batch in batches:
-            keys = batch.column("key").to_numpy().view(np.uint64)
-            q = batch.column("q").to_numpy().astype(np.int64)
-            every = []
-            for at in range(1, int(q.max(initial=0)) + 1):
-                own = keys[q >= at]
-                every += [positions(own, at, probe, bits) for probe in range(PROBES)]
-            bit = np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64)
-            chunk, start = np.unique(bit // chunk_bits, return_index=True)
-            rows = [x.astype("<u4").tobytes() for x in np.split(bit % chunk_bits, start[1:])] if len(chunk) else []
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(rows, pa.binary())], names=["chunk", "bits"])
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("q").to_numpy().astype(np.int64)))
+            size += batch.num_rows
+            if size >= ENTER_KEYS:
+                yield entered(*map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if held:
+            yield entered(*map(np.concatenate, zip(*held)))
 
     def merged(rows: pa.Table) -> pa.Table:
-        """One chunk; its entries are bounded, as all entries fit the filter."""
+        """One chunk; its entries are bounded, as all entries fit the filters."""
         words = np.zeros(CHUNK_WORDS, np.uint64)
         for raw in rows.column("bits").to_pylist():
             bit = np.frombuffer(raw, "<u4").astype(np.int64)
             np.bitwise_or.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
         return pa.table({"chunk": rows.column("chunk").slice(0, 1), "words": pa.array([words.tobytes()], pa.binary())})
 
-    kept = counts.select("key", level(F.col("count")).alias("q")).where(F.col("q") >= least)
-    built = kept.mapInArrow(parts, "chunk long, bits binary").groupBy("chunk").applyInArrow(
-        merged, "chunk long, words binary")
-    out = np.zeros(bits // 64, np.uint64)
+    built = counts.select("key", level(F.col("count")).alias("q")).mapInArrow(pieces, "chunk long, bits binary").groupBy(
+        "chunk").applyInArrow(merged, "chunk long, words binary")
+    if parts > 1:
+        built = c.materialised(built, "lm-filters").orderBy("chunk")     # one filter's chunks after another's
+    out, part = np.zeros(bits // 64, np.uint64), 0
     for row in built.toLocalIterator():
-        out[row["chunk"] * CHUNK_WORDS:(row["chunk"] + 1) * CHUNK_WORDS] = np.frombuffer(row["words"], np.uint64)
-    return LevelFilter(out)
+        while part < row["chunk"] // chunks:
+            yield LevelFilter(out)
+            out, part = np.zeros(bits // 64, np.uint64), part + 1
+        at = row["chunk"] % chunks * CHUNK_WORDS
+        out[at:at + CHUNK_WORDS] = np.frombuffer(row["words"], np.uint64)
+    while part < parts:
+        yield LevelFilter(out)
+        out, part = np.zeros(bits // 64, np.uint64), part + 1
+
+
+def build_filter(counts: DataFrame, most_bits: int = FILTER_BITS, every: bool = True) -> LevelFilter:
+    """One filter with all keys; its size bounds what the driver gets."""
+    return next(build_filters(counts, most_bits, one=every))
 
 
 # --- the model ----------------------------------------------------------------------
@@ -204,22 +245,27 @@ class Model:
         both = c.materialised(both, "lm-ngrams")
         totals = self.word_counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
         self.tokens, self.types = totals["n"] or 0, totals["v"]
-        self.filter = build_filter(both, filter_bits)
-
-    def log_probability(self, words: np.ndarray, first: np.ndarray, levels: LevelFilter) -> np.ndarray:
-        """log10 P of each token after the one before it."""
-        distinct, inverse = np.unique(words, return_inverse=True)
-        count = levels.counts(distinct)
-        at_end = levels.counts(np.array([END]))[0]
-        own = count[inverse]
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[first[:-1]] = at_end
-        pair = levels.counts(pair_hashes(words, first))
-        single = np.minimum((own + 1) / (self.tokens + self.types + 1), 1.0)
-        weight = np.where(before > 0, WEIGHT, 0.0)
-        after = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1.0)
-        return np.log10(weight * after + (1 - weight) * single)
+        self.filters = LevelFilters([self.spark.sparkContext.broadcast(f) for f in build_filters(both, filter_bits)])
+
+    def log_probabilities(self, blocks: list[tuple[np.ndarray, np.ndarray]], filters: LevelFilters) -> Iterator[np.ndarray]:
+        """Per block (its tokens, its rows' first ones) log10 P of each token after the one before it."""
+        asked, places = [np.array([END])], []
+        for words, first in blocks:
+            distinct, inverse = np.unique(words, return_inverse=True)
+            asked += [distinct, pair_hashes(words, first)]
+            places.append(inverse.astype(np.int32))
+        sizes = [len(x) for x in asked]
+        counts = np.split(filters.counts(np.concatenate(asked)), np.cumsum(sizes)[:-1])
+        at_end = counts[0][0]
+        for k, (words, first) in enumerate(blocks):
+            own, pair = counts[2 * k + 1][places[k]], counts[2 * k + 2]
+            before = np.empty_like(own)
+            before[1:] = own[:-1]
+            before[first[:-1]] = at_end
+            single = np.minimum((own + 1) / (self.tokens + self.types + 1), 1.0)
+            weight = np.where(before > 0, WEIGHT, 0.0)
+            after = np.minimum(np.divide(pair, before, out=np.zeros_like(pair), where=before > 0), 1.0)
+            yield np.log10(weight * after + (1 - weight) * single)
 
 
 def score_documents(docs: DataFrame, training: DataFrame, filter_bits: int = FILTER_BITS,
@@ -235,29 +281,40 @@ def score_documents(docs: DataFrame, training: DataFrame, filter_bits: int = FIL
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     known = spark.sparkContext.broadcast((keys[order], top.column("count").to_numpy()[order]))
-    levels = spark.sparkContext.broadcast(model.filter)
+    filters = model.filters
+    lot_tokens = LOT_TOKENS if len(filters.parts) > 1 else 0
     n, v = model.tokens, model.types
     plain = _Totals(n, v)
     carried = [x for x in ("doc_id", "held_out") if x in docs.columns]
     schema = docs.select(*carried).schema.add("row", "long").add("n_tokens", "long").add("known", "long").add(
         "base", "double").add("score", "double").add("rare", T.ArrayType(T.StructType().add("key", "long").add("n", "integer")))
 
+    def lots(batches):
+        """Blocks of one lot after another: the carried columns of a block's rows, its tokens, the rows' first ones."""
+        lot, size = [], 0
+        for batch in batches:
+            for low, high, words, first in tokens(batch.column("text")):
+                lot.append(([batch.column(x).slice(low, high - low) for x in carried], words, first))
+                size += len(words)
+                if size >= lot_tokens:
+                    yield lot
+                    lot, size = [], 0
+        if lot:
+            yield lot
+
     def score(batches):
         task, at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, 0
         common_keys, common_counts = known.value
-        for batch in batches:
-            rows = batch.num_rows
-            n_tokens, n_known, base, total = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
-            rare_rows: list[list] = [[] for _ in range(rows)]
-            for low, high, words, first in tokens(batch.column("text")):
-                row = np.repeat(np.arange(low, high), np.diff(first))
-                n_tokens[low:high] = np.diff(first)
-                total += np.bincount(row, plain.log_probability(words, first, levels.value), rows)
+        for lot in lots(batches):
+            chances = plain.log_probabilities([(words, first) for _, words, first in lot], filters)
+            for (own, words, first), chance in zip(lot, chances):
+                rows = len(first) - 1
+                row = np.repeat(np.arange(rows), np.diff(first))
                 place = np.searchsorted(common_keys, words)
                 place[place == len(common_keys)] = 0
                 hit = common_keys[place] == words if len(common_keys) else np.zeros(len(words), bool)
-                n_known += np.bincount(row[hit], minlength=rows)
-                base += np.bincount(row[hit], np.log10((common_counts[place[hit]] + 1) / (n + v + 1)), rows)
+                base = np.bincount(row[hit], np.log10((common_counts[place[hit]] + 1) / (n + v + 1)), rows).astype(np.float64)
+                rare_rows: list[list] = [[] for _ in range(rows)]
                 rare = ~hit
                 if rare.any():
                     sort = np.lexsort((words[rare], row[rare]))
@@ -266,11 +323,12 @@ def score_documents(docs: DataFrame, training: DataFrame, filter_bits: int = FIL
                     many = np.diff(np.append(begin, len(key)))
                     for k, o, m in zip(key[begin].view(np.int64).tolist(), owner[begin].tolist(), many.tolist()):
                         rare_rows[o].append({"key": k, "n": m})
-            arrays = [batch.column(x) for x in carried] + [
-                pa.array(task + at + np.arange(rows)), pa.array(n_tokens), pa.array(n_known), pa.array(base),
-                pa.array(total), pa.array(rare_rows, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())])))]
-            at += rows
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
+                arrays = own + [
+                    pa.array(task + at + np.arange(rows)), pa.array(np.diff(first)), pa.array(np.bincount(row[hit], minlength=rows)),
+                    pa.array(base), pa.array(np.bincount(row, chance, rows).astype(np.float64)),
+                    pa.array(rare_rows, pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())])))]
+                at += rows
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema])
 
     # Written once, so the row numbers of both uses below are the same ones.
     scored = c.materialised(docs.mapInArrow(score, schema), "lm-scored")

@@ -95,6 +95,31 @@ def test_filter_never_lowers_a_level(spark):
     assert (f.levels(c.mix(keys + np.uint64(1))) > 0).mean() < 0.1
 
 
+def test_more_entries_than_a_filter_holds_make_more_filters(spark):
+    counts = spark.createDataFrame([(i * 7919, 1 + i % 5) for i in range(400_000)], "key long, count long")
+    keys = np.array([i * 7919 for i in range(400_000)], np.int64).view(np.uint64)
+    level = np.array([(1 + i % 5).bit_length() for i in range(400_000)])
+    filters = list(bloom_lm.build_filters(counts, 1 << 20))
+    assert len(filters) == 8 and all(f.size <= 1 << 20 for f in filters)
+    shown = bloom_lm.LevelFilters([spark.sparkContext.broadcast(f) for f in filters])
+    assert (shown.levels(keys) >= level).all() and (shown.levels(keys) == level).mean() > 0.9
+    assert (shown.levels(c.mix(keys + np.uint64(1))) > 0).mean() < 0.1
+
+
+def test_lm_scores_do_not_depend_on_the_number_of_filters(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30_000, 400))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r for r in bloom_lm.score_table(docs).collect()}
+    monkeypatch.setattr(bloom_lm.score_documents, "__defaults__", (1 << 19, bloom_lm.FREQUENT))
+    monkeypatch.setattr(bloom_lm, "LOT_TOKENS", 20_000)
+    many = {r.doc_id: r for r in bloom_lm.score_table(docs).collect()}
+    for i, r in one.items():
+        assert many[i][:6] == r[:6] and abs(many[i].score - r.score) < 0.02 * abs(r.score)
+    trained = [i for i, r in one.items() if not r.held_out]
+    assert sum(many[i].score for i in trained) > 0.9 * sum(many[i].base_score for i in trained)
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 def brute_windows(items):
