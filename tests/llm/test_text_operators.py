@@ -279,6 +279,34 @@ def test_secrets(odd, spark):
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
 
 
+def test_network_finds_secrets_that_no_pattern_names(spark):
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(n))
+    of = lambda signs, n: "".join(rng.choice(list(signs), n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, planted, clean = [], {}, {}
+    for i in range(600):
+        if i % 3 == 0:
+            rows.append((i, f'{text(6)} token = "{of("0123456789abcdef", 40)}" {text(6)}'))
+        elif i % 3 == 1:
+            clean[i] = f"mail{i % 90}.example.com"
+            rows.append((i, f"{text(6)} jane.{i % 90}@{clean[i]} {text(6)}"))
+    for i in range(600, 720):
+        planted[i] = [f"ghp_{of(mixed, 36)}", f"xoxb-{of('0123456789', 12)}-{of(mixed, 24)}", of(mixed + "+/", 40),
+                      f"eyJ{of(mixed, 17)}.eyJ{of(mixed, 30)}.{of(mixed + '_-', 43)}"][i % 4]
+        rows.append((i, f"{text(6)} {planted[i]} {text(6)}"))
+    for i in range(720, 800):
+        clean[i] = f"{text(1)}_{text(1)}-{text(1)}_{i}.txt"
+        rows.append((i, f"{text(6)} {clean[i]} {text(6)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_cnn.report(docs).collect()}
+    places = {i: f"model:{t.index(planted[i])}:{t.index(planted[i]) + len(planted[i])}" for i, t in rows if i in planted}
+    assert sum(spans[i] == place for i, place in places.items()) > 0.9 * len(planted)
+    assert sum("model:" in spans[i] for i in clean) < 0.05 * len(clean)
+    cleaned = {r.doc_id: r.text for r in secret_cnn.redact(docs).collect()}
+    assert sum(planted[i] not in cleaned[i] for i in planted) > 0.9 * len(planted)
+
+
 def test_network_tells_secrets_from_words_it_never_saw():
     rng = np.random.default_rng(5)
     letters = "abcdefghijklmnopqrstuvwxyz"
