@@ -32,9 +32,23 @@ def _page(df: DataFrame, limit: int, offset: int) -> DataFrame:
     return df.offset(offset).limit(limit) if offset else df.limit(limit)
 
 
-def after(df: DataFrame, key: dict[str, object]) -> DataFrame:
-    """The rows that follow ``key`` in the order of its columns; with a limit, the next page of any depth."""
-    return df.where(F.struct(*key) > F.struct(*[F.lit(x).alias(c) for c, x in key.items()]))
+def after(df: DataFrame, key: dict[str, object], descending: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that follow ``key`` in the order of its columns; with a limit, the next page of any depth.
+
+    Columns ascend with nulls first; those named in ``descending`` descend with nulls last.
+    """
+    follows, equal = F.lit(False), F.lit(True)
+    for column, value in key.items():
+        own, v = F.col(column), F.lit(value)
+        if column in descending:
+            further = F.lit(False) if value is None else own.isNull() | (own < v)
+        else:
+            further = own.isNotNull() if value is None else F.coalesce(own > v, F.lit(False))
+        follows, equal = follows | (equal & further), equal & own.eqNullSafe(v)
+    return df.where(follows)
+
+
+NEWEST = ("created_at",)
 
 
 def search_requirements(requirements: DataFrame, town: str | None = None, county: str | None = None,
@@ -53,16 +67,19 @@ def requirements_by_location(requirements: DataFrame, town: str, state: str,
 
 
 def search_jobs(jobs: DataFrame, status: str | None = None, town: str | None = None, state: str | None = None,
-                limit: int = 100, offset: int = 0) -> DataFrame:
+                limit: int = 100, offset: int = 0, last: dict[str, object] | None = None) -> DataFrame:
+    """``last``: created_at and id of the row before the page, in this order."""
     df = _equal(_containing(jobs, {"town": town}), {"processing_status": status, "state": state})
+    df = after(df, last, NEWEST) if last else df
     return _page(df.orderBy(F.desc("created_at"), "id"), limit, offset)
 
 
 def list_documents(documents: DataFrame, status: str | None = None, municipality: str | None = None,
-                   skip: int = 0, limit: int = 100) -> DataFrame:
-    """A page of documents; ``total`` counts all documents that pass the filters."""
+                   skip: int = 0, limit: int = 100, last: dict[str, object] | None = None) -> DataFrame:
+    """A page of documents; ``total`` counts all documents that pass the filters. ``last``: as in :func:`search_jobs`."""
     df = _equal(_containing(documents, {"municipality": municipality}), {"processing_status": status})
     total = df.agg(F.count(F.lit(1))).scalar()
+    df = after(df, last, NEWEST) if last else df
     return _page(df.orderBy(F.desc("created_at"), "id"), limit, skip).withColumn("total", total)
 
 

@@ -245,3 +245,20 @@ def test_pages_by_key(spark):
     assert first + rest.orderBy("town", "zone", "id").collect() == rows.orderBy("town", "zone", "id").collect()
     with pytest.raises(ValueError):
         search.search_requirements(rows, offset=10 ** 6)
+
+
+def test_pages_by_key_past_the_offset_limit(spark):
+    from parcelrules.operators import search
+
+    rows = spark.range(10_500).selectExpr(
+        "id", "CASE WHEN id % 50 > 0 THEN timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id % 7) END AS created_at")
+    whole = rows.orderBy(F.desc("created_at"), "id").collect()
+    for at in (10_100, 10_400):       # before and among the rows without a time
+        last = {"created_at": whole[at].created_at, "id": whole[at].id}
+        assert search.search_jobs(rows, limit=60, last=last).collect() == whole[at + 1:at + 61]
+        page = search.list_documents(rows, limit=60, last=last).collect()
+        assert [(r.id, r.created_at) for r in page] == [(r.id, r.created_at) for r in whole[at + 1:at + 61]]
+        assert {r.total for r in page} == {10_500}
+    first = rows.where("id < 150").orderBy("created_at", "id").collect()
+    rest = search.after(rows.where("id < 150"), {"created_at": None, "id": 50}).orderBy("created_at", "id").collect()
+    assert rest == first[2:]
