@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelrules.session import prepare, work_folder
 
-BATCH_ROWS = 1000        # rows handed to Python at once
+BATCH_ROWS = 1000        # rows handed to Python at once, ...
+BATCH_BYTES = 1 << 22    # ... and about their bytes, but one row at least
 BROADCAST_ROWS = 1 << 18 # a side of short rows (64 bytes at most) is broadcast up to this many rows, 16 MB
 BLOCK_BYTES = 1 << 22    # bytes hashed at once; bounds the temporary arrays
 
@@ -27,6 +28,7 @@ def session(spark: SparkSession) -> SparkSession:
     """The library's settings, and smaller Arrow batches, as texts are long."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

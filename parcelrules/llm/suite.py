@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import bloom_lm, common as c, decontaminate, divergence, kd_shards, order_minhash, packing, secret_cnn, suffix_dedup, url_filter, warc
+from parcelrules.llm import (bloom_lm, common as c, decontaminate, divergence, hard_negatives, kd_shards, order_minhash, packing, pca_clusters,
+                             secret_cnn, suffix_dedup, url_filter, warc)
 from parcelrules.plans.registry import rounded
 from parcelrules.session import work_folder
 
@@ -169,3 +170,54 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_suffix_dedup")
 def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(c.table(spark, folder, "documents")).drop("spans")
+
+
+@query("op11_hard_negatives", f"""
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+        SELECT a.vec_id AS anchor_id, x.vec_id AS other_id, a.label = x.label AS same, a.vec_id = x.vec_id AS own,
+               CAST(list_sum(list_transform(list_zip(a.q, x.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+        FROM e a, e x WHERE a.vec_id % {hard_negatives.EVERY} = 0
+    ), positives AS (
+        SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same AND NOT own
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= {hard_negatives.POSITIVES}
+    )
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN pairs USING (anchor_id)
+    WHERE NOT same AND {hard_negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.HIGH} * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+    QUALIFY row_number() OVER w <= {hard_negatives.NEGATIVES}""")
+def mined(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(c.table(spark, folder, "embeddings"))
+
+
+def cluster_rounds() -> str:
+    """Assignment and means, once per round, and the assignment that follows."""
+    steps = ["c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id) - 1 AS number, q FROM v "
+             f"QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), vec_id) <= {pca_clusters.CLUSTERS})"]
+    far = "CAST(list_sum(list_transform(list_zip(v.q, m.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    for i in range(pca_clusters.ROUNDS + 1):
+        steps.append(f"far{i} AS (SELECT rid, v.q, number, {far} AS distance FROM v, c{i} m), "
+                     f"a{i} AS (SELECT * FROM far{i} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY distance, number) = 1)")
+        if i < pca_clusters.ROUNDS:
+            steps.append(f"""s{i} AS (SELECT number, place, sum(x) AS s, count(*) AS n FROM (SELECT number, unnest(q) AS x, unnest(range(1, len(q) + 1)) AS place FROM a{i})
+                GROUP BY number, place),
+                m{i} AS (SELECT number, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS q FROM s{i} GROUP BY number),
+                c{i + 1} AS (SELECT number, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (number))""")
+    return ", ".join(steps)
+
+
+@query("op13_pca_clusters", f"""
+    WITH v AS (
+        SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM embeddings WHERE len(embedding) = {pca_clusters.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), {cluster_rounds()}
+    SELECT vec_id, CAST(number AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia,
+           CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256
+    FROM a{pca_clusters.ROUNDS} JOIN v USING (rid) JOIN c{pca_clusters.ROUNDS} m USING (number)""")
+def clustered(spark: SparkSession, folder: str) -> DataFrame:
+    return pca_clusters.clusters(c.table(spark, folder, "embeddings"))
