@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.llm import (bloom_lm, common as c, decontaminate, divergence, hard_negatives, kd_shards, order_minhash, packing, pca_clusters,
-                             secret_cnn, suffix_dedup, url_filter, warc)
+from parcelrules.llm import (bloom_lm, common as c, debruijn, decontaminate, divergence, hard_negatives, kd_shards, order_minhash, packing,
+                             pca_clusters, secret_cnn, suffix_dedup, url_filter, warc)
 from parcelrules.plans.registry import rounded
 from parcelrules.session import work_folder
 
@@ -221,3 +221,17 @@ def cluster_rounds() -> str:
     FROM a{pca_clusters.ROUNDS} JOIN v USING (rid) JOIN c{pca_clusters.ROUNDS} m USING (number)""")
 def clustered(spark: SparkSession, folder: str) -> DataFrame:
     return pca_clusters.clusters(c.table(spark, folder, "embeddings"))
+
+
+@query("op12_debruijn_dedup", f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{NOT_SPACE}+') AS w FROM documents),
+    windows AS (SELECT rid, a, md5(array_to_string(w[a:a + {debruijn.WINDOW - 1}], ' ')) AS words
+                FROM (SELECT rid, w, unnest(range(1, len(w) - {debruijn.WINDOW} + 2)) AS a FROM d WHERE len(w) >= {debruijn.WINDOW})),
+    again AS (SELECT rid, a FROM windows JOIN (SELECT words FROM windows GROUP BY words HAVING count(*) > 1) USING (words)),
+    words AS (SELECT rid, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+    marked AS (SELECT words.rid, word, i, i - a < {debruijn.WINDOW} AS gone FROM words ASOF LEFT JOIN again ON words.rid = again.rid AND words.i >= again.a),
+    kept AS (SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone IS NOT TRUE) AS text FROM marked GROUP BY rid)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (rid)""")
+def without_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return debruijn.dedup(c.table(spark, folder, "documents")).drop("n_spans")
