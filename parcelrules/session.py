@@ -74,7 +74,11 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 def remove_work_folders(spark: SparkSession) -> int:
     """Delete the work folders this application has made, once no DataFrame needs them; how many there were."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
+    remove_folders(spark, paths)
+    return len(paths)
+
+
+def remove_folders(spark: SparkSession, paths) -> None:
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    return len(paths)
