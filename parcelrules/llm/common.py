@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelrules.session import prepare, work_folder
+from parcelrules.session import prepare, remove_folders, work_folder
 
 BATCH_ROWS = 1000        # rows handed to Python at once, ...
 BATCH_BYTES = 1 << 22    # ... and about their bytes, but one row at least
@@ -47,6 +47,20 @@ def materialised(df: DataFrame, purpose: str, small: bool = False, narrow: bool
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt to as many buckets by ``key`` as a shuffle has partitions; joins on ``key`` need no shuffle of it."""
+    spark, path = df.sparkSession, work_folder(df.sparkSession, purpose)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def removed(table: DataFrame) -> None:
+    """Delete a table that ``materialised`` wrote, once nothing reads it any more."""
+    remove_folders(table.sparkSession, {f.rsplit("/", 1)[0] for f in table.inputFiles()})
+
+
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 

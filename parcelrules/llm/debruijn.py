@@ -7,15 +7,17 @@ The graph's edges are the ``WINDOW``-word k-mers; a document is a walk over its
    equal ones the first). Neighbouring windows with one minimizer at one place form a stretch, so
    equal windows lie in stretches with equal minimizers. A first scan counts the stretches of each minimizer
    and whether all are alike.
-2. Edges. A second scan skips minimizers that occur once. Where all of a minimizer's stretches
-   are alike, a stretch is a path without branches and becomes one edge; else each of its windows does.
-   An edge is known by a 128-bit BLAKE2 digest of its words, and by the coordinates of its first
-   occurrence, its source. Edges with two occurrences are the repeated graph.
-3. Compaction. Documents link neighbouring edges. A link is kept if it is the only one out
-   of its edge and the only one into the next. Links between neighbours in the source are folded
-   by a window over source coordinates; the rest by joins that double pointers.
-4. Spans. Occurrences of a path's edges in a row are one span of their document. An
-   occurrence's words agree with those at the source coordinates, as their digests do.
+2. Edges. A second scan skips minimizers that occur once, and names every other stretch by a 128-bit BLAKE2
+   digest of its words. Equal stretches are counted and stand for each other from here on, with the
+   coordinates of their first occurrence, the source. Where all of a minimizer's stretches are alike, a
+   stretch is a path without branches and becomes one edge. Else the windows of each distinct
+   stretch are read at its source, each an edge with a digest and a source of its own. Edges with two
+   occurrences are the repeated graph.
+3. Compaction. Stretches and their order in documents link neighbouring edges. A link is kept if it
+   is the only one out of its edge and the only one into the next. Links between neighbours in the
+   source are folded by a window over source coordinates; the rest by joins that double pointers.
+4. Spans. A path's edges in a document make its repeated spans. An occurrence's words agree with
+   those at the source coordinates, as their digests do.
 
 The two filters of minimizers have a fixed size (``FILTER_BITS`` each) and are broadcast; a full one lets more
 through, which counting then sorts out, so results don't depend on it. Words are told apart by 64-bit
@@ -39,14 +41,15 @@ from parcelrules.llm import common as c
 from parcelrules.operators.skew import splittable
 
 WINDOW = 35
-GRAM = 8
+GRAM = 16
 CHOICE = WINDOW - GRAM + 1        # runs in a window
 FILTER_BITS = 27                  # 16 MB a filter
 PLACE_BITS = np.uint64(20)        # a piece has fewer words
 SLICE_BYTES = 1 << 19
 PIECE = 1 << 17                   # windows of a text looked at together
 BLANKS = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
-EDGE = "one long, two long, row long, start int, n int"
+STRETCH = "one long, two long, next_one long, next_two long, row long, start int, n int, several boolean"
+IN_STRETCH = "cr long, cs int, offset int, w1 long, w2 long, times long"
 
 
 # --- words and stretches ----------------------------------------------------------------
@@ -96,7 +99,9 @@ def stretches(hashes: np.ndarray, first: np.ndarray):
     """Per piece: start word and windows of each stretch, its minimizer, and a hash of its words."""
     for low in range(0, max(len(hashes) - WINDOW + 1, 0), PIECE):
         words = hashes[low:low + PIECE + WINDOW - 1]
-        grams = c.run_hashes(words, GRAM)
+        up, down = c.powers(len(words) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(words * up[:len(words)], dtype=np.uint64))
+        grams = c.mix((sums[GRAM:] - sums[:-GRAM]) * down[:len(sums) - GRAM])
         key = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(len(grams), dtype=np.uint64)
         width, least = 1, key
         while 2 * width <= CHOICE:
@@ -113,8 +118,6 @@ def stretches(hashes: np.ndarray, first: np.ndarray):
         fresh = np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1))
         begin = start[fresh]
         n = np.diff(np.append(np.flatnonzero(fresh), len(start)))
-        up, down = c.powers(len(words) + 1)
-        sums = np.append(np.uint64(0), np.cumsum(words * up[:len(words)], dtype=np.uint64))
         whole = c.mix((sums[begin + n + WINDOW - 1] - sums[begin]) * down[begin] + n.astype(np.uint64))
         yield begin + low, n, grams[place[fresh]], whole
 
@@ -152,10 +155,19 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-# --- edges ----------------------------------------------------------------------------------
+# --- stretches and edges ----------------------------------------------------------------------
+
+def digest(words: Words, low: int, high: int) -> bytes:
+    return hashlib.blake2b(words.text(low, high), digest_size=16).digest()
+
+
+def halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(digests), "<i8")
+    return pa.array(both[0::2]), pa.array(both[1::2])
+
 
-def edges(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Every occurrence of an edge that may repeat: digest, row, first word, windows."""
+def occurrences(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Every stretch that may repeat: digest, the next one's if it follows at once, row, first word, windows, and ``several``."""
     known = texts.sparkSession.sparkContext.broadcast(filters(c.materialised(minimizers(texts), "minimizers", narrow=True), bits))
 
     def run(batches):
@@ -165,50 +177,89 @@ def edges(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
                 for begin, n, least, _ in stretches(words.hashes(), words.first):
                     may = passes(known.value[0], least)
                     begin, n, least = begin[may], n[may], least[may]
-                    split = np.where(passes(known.value[1], least), n, 1)           # edges of a stretch
-                    start = begin.repeat(split) + np.arange(split.sum()) - (np.cumsum(split) - split).repeat(split)
-                    size = np.where(split == n, 1, n).repeat(split)
-                    digest = np.empty(2 * len(start), np.int64)
-                    for i, (a, m) in enumerate(zip(start.tolist(), size.tolist())):
-                        digest[2 * i:2 * i + 2] = np.frombuffer(hashlib.blake2b(words.text(a, a + m + WINDOW - 1), digest_size=16).digest(), "<i8")
-                    text = np.searchsorted(words.first, start, "right") - 1
+                    one, two = halves([digest(words, a, a + m + WINDOW - 1) for a, m in zip(begin.tolist(), n.tolist())])
+                    text = np.searchsorted(words.first, begin, "right") - 1
+                    then = np.append(np.arange(1, len(begin)), 0)[:len(begin)]
+                    apart = np.append(begin[1:] != begin[:-1] + n[:-1], True)[:len(begin)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(digest[0::2]), pa.array(digest[1::2]), pa.array(rows[low + text]), pa.array((start - words.first[text]).astype(np.int32)),
-                         pa.array(size.astype(np.int32))], names=["one", "two", "row", "start", "n"])
+                        [one, two, *(pa.array(x.to_numpy()[then], mask=apart) for x in (one, two)), pa.array(rows[low + text]),
+                         pa.array((begin - words.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(passes(known.value[1], least))],
+                        names=[x.split()[0] for x in STRETCH.split(", ")])
 
-    return c.materialised(texts.mapInArrow(run, EDGE), "edges")
+    return c.materialised(texts.mapInArrow(run, STRETCH), "stretches")
 
 
-def places(found: DataFrame) -> DataFrame:
-    """Occurrences of repeated edges: row, start, n, and the source coordinates er, es."""
-    source = found.groupBy("one", "two").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("row", "start")).alias("source")) \
-        .where("count > 1").select("one", "two", F.col("source.row").alias("er"), F.col("source.start").alias("es"))
-    return found.join(splittable(source, "one", "two"), ["one", "two"]).select("row", "start", "n", "er", "es")
+def distinct_stretches(found: DataFrame) -> DataFrame:
+    """Each stretch once: its source coordinates, and how often it occurs; those that can hold no repeat are left out."""
+    return c.materialised(found.groupBy("one", "two").agg(
+        F.min(F.struct("row", "start")).alias("source"), F.min("n").alias("size"), F.max("several").alias("several"), F.count(F.lit(1)).alias("times"))
+        .where("several OR times > 1").select("one", "two", F.col("source.row").alias("cr"), F.col("source.start").alias("cs"), "size", "several", "times"),
+        "distinct-stretches", narrow=True)
+
+
+def windows(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The windows of stretches whose minimizer has several, read at the source: source coordinates, offset, digest, times."""
+    wanted = distinct.where("several").groupBy(F.col("cr").alias("row")).agg(F.collect_list(F.struct("cs", "size", "times")).alias("own"))
+
+    def run(batches):
+        for batch in batches:
+            for row, text, own in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("own").to_pylist()):
+                words = Words([plain(text.as_py() or b"")])
+                own.sort(key=lambda x: x["cs"])
+                size = np.array([x["size"] for x in own])
+                start = np.array([x["cs"] for x in own]).repeat(size)
+                offset = np.arange(size.sum()) - (np.cumsum(size) - size).repeat(size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32)), pa.array(offset.astype(np.int32)),
+                     *halves([digest(words, a, a + WINDOW) for a in (start + offset).tolist()]),
+                     pa.array(np.array([x["times"] for x in own], np.int64).repeat(size))], names=[x.split()[0] for x in IN_STRETCH.split(", ")])
+
+    return c.materialised(texts.join(wanted, "row").select("row", "text", "own").mapInArrow(run, IN_STRETCH), "windows")
+
+
+def edges(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The repeated edges in each distinct stretch (cr, cs): offset, windows, and the edge's source coordinates er, es."""
+    inside = windows(texts, distinct)
+    again = inside.groupBy("w1", "w2").agg(F.sum("times").alias("times"), F.min(F.struct("cr", F.col("cs") + F.col("offset"))).alias("source")) \
+        .where("times > 1").select("w1", "w2", F.col("source.cr").alias("er"), F.col("source.col2").alias("es"))
+    single = inside.join(splittable(again, "w1", "w2"), ["w1", "w2"]).select("cr", "cs", "offset", F.lit(1).alias("n"), "er", "es")
+    whole = distinct.where("NOT several").select("cr", "cs", F.lit(0).alias("offset"), F.col("size").alias("n"), F.col("cr").alias("er"), F.col("cs").alias("es"))
+    made = c.materialised(single.unionByName(whole), "edges", narrow=True)
+    c.removed(inside)
+    return made
 
 
 # --- compaction -------------------------------------------------------------------------------
 
-def single_links(at: DataFrame) -> DataFrame:
-    """(er, es, n, nr, ns): the only link out of an edge, if it is the only one into the next."""
-    walk = Window.partitionBy("row").orderBy("start")
-    follows = F.lead("start").over(walk) == F.col("start") + F.col("n")
-    pairs = c.materialised(at.select("er", "es", "n", F.when(follows, F.lead("er").over(walk)).alias("nr"), F.when(follows, F.lead("es").over(walk)).alias("ns"))
-                           .where("nr IS NOT NULL AND (nr <> er OR ns <> es)").distinct(), "links", narrow=True)
+def links(found: DataFrame, distinct: DataFrame, own: DataFrame) -> DataFrame:
+    """Distinct (er, es, n, nr, ns): an edge, and one that follows it at once in some document."""
+    walk = Window.partitionBy("cr", "cs").orderBy("offset")
+    follows = F.lead("offset").over(walk) == F.col("offset") + F.col("n")
+    inner = own.select("er", "es", "n", F.when(follows, F.lead("er").over(walk)).alias("nr"), F.when(follows, F.lead("es").over(walk)).alias("ns")).where("nr IS NOT NULL")
+    pairs = found.where("next_one IS NOT NULL").select("one", "two", "next_one", "next_two").distinct()
+    named = own.join(distinct.select("one", "two", "cr", "cs", "size"), ["cr", "cs"])
+    last = named.where("offset + n = size").select("one", "two", "er", "es", "n")
+    first = named.where("offset = 0").select(F.col("one").alias("next_one"), F.col("two").alias("next_two"), F.col("er").alias("nr"), F.col("es").alias("ns"))
+    across = pairs.join(last, ["one", "two"]).join(first, ["next_one", "next_two"]).select("er", "es", "n", "nr", "ns")
+    return c.materialised(inner.unionByName(across).where("nr <> er OR ns <> es").distinct(), "links", narrow=True)
+
+
+def single_links(pairs: DataFrame) -> DataFrame:
+    """The only link out of an edge, if it is the only one into the next."""
     for own in (["er", "es"], ["nr", "ns"]):
         once = pairs.groupBy(*own).agg(F.count(F.lit(1)).alias("ways")).where("ways = 1").drop("ways")
         pairs = pairs.join(splittable(once, *own), own)
-    return pairs
+    return c.materialised(pairs, "single-links", narrow=True)
 
 
-def path_heads(at: DataFrame) -> DataFrame:
+def path_heads(own: DataFrame, single: DataFrame) -> DataFrame:
     """(er, es, pr, ps): the first edge of each edge's path; in a circle, the one of least coordinates."""
-    links = c.materialised(single_links(at), "single-links", narrow=True)
     straight = (F.col("nr") == F.col("er")) & (F.col("ns") == F.col("es") + F.col("n"))
-    follows = links.where(straight).select(F.col("nr").alias("er"), F.col("ns").alias("es"), F.lit(True).alias("goes_on"))
+    follows = single.where(straight).select(F.col("nr").alias("er"), F.col("ns").alias("es"), F.lit(True).alias("goes_on"))
     along = Window.partitionBy("er").orderBy("es").rowsBetween(Window.unboundedPreceding, 0)
-    parts = c.materialised(at.select("er", "es").distinct().join(follows, ["er", "es"], "left").select(
+    parts = c.materialised(own.select("er", "es").distinct().join(follows, ["er", "es"], "left").select(
         "er", "es", F.max(F.when(F.col("goes_on").isNull(), F.col("es"))).over(along).alias("head")), "path-parts", narrow=True)
-    jumps = links.where(~straight).join(parts, ["er", "es"]).select("nr", "ns", F.col("er").alias("pr"), F.col("head").alias("ps"))
+    jumps = single.where(~straight).join(parts, ["er", "es"]).select("nr", "ns", F.col("er").alias("pr"), F.col("head").alias("ps"))
     heads = followed(jumps)
     if heads is None:
         return parts.select("er", "es", F.col("er").alias("pr"), F.col("head").alias("ps"))
@@ -239,27 +290,40 @@ def followed(jumps: DataFrame) -> DataFrame | None:
         F.when(F.col("circle"), F.col("least.s")).otherwise(F.col("ps")).alias("ps"))
 
 
-def spans(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """(row, start, end, pr, ps): word ranges of occurrences of paths; ranges of different paths may overlap."""
-    at = c.materialised(places(edges(texts, bits)), "places", narrow=True)
-    own = at.join(splittable(path_heads(at), "er", "es"), ["er", "es"])
+def pieces(texts: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(row, start, end, pr, ps): word ranges that a repeated path covers within one stretch; neighbours overlap."""
+    found = occurrences(texts, bits)
+    distinct = distinct_stretches(found)
+    own = edges(texts, distinct)
+    heads = path_heads(own, single_links(links(found, distinct, own)))
+    walk = Window.partitionBy("cr", "cs").orderBy("offset")
+    before = F.lag(F.struct(F.col("offset") + F.col("n"), "pr", "ps")).over(walk)
+    runs = own.join(splittable(heads, "er", "es"), ["er", "es"]).withColumn("fresh", (~before.eqNullSafe(F.struct("offset", "pr", "ps"))).cast("int")) \
+        .withColumn("run", F.sum("fresh").over(walk.rowsBetween(Window.unboundedPreceding, 0))).groupBy("cr", "cs", "run") \
+        .agg(F.min("offset").alias("offset"), F.sum("n").cast("int").alias("n"), F.first("pr").alias("pr"), F.first("ps").alias("ps"))
+    runs = runs.join(distinct.select("one", "two", "cr", "cs"), ["cr", "cs"])
+    return found.select("one", "two", "row", "start").join(splittable(runs, "one", "two"), ["one", "two"]).select(
+        "row", (F.col("start") + F.col("offset")).alias("start"), (F.col("start") + F.col("offset") + F.col("n") + (WINDOW - 1)).alias("end"), "pr", "ps")
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """Pieces of one path that follow at once, as one range: (row, start, end, pr, ps)."""
     walk = Window.partitionBy("row").orderBy("start")
-    before = F.lag(F.struct(F.col("start") + F.col("n"), "pr", "ps")).over(walk)
-    marked = own.select("row", "start", "n", "pr", "ps", (~before.eqNullSafe(F.struct("start", "pr", "ps"))).cast("int").alias("fresh"))
-    runs = marked.withColumn("run", F.sum("fresh").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("row", "run").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) + (WINDOW - 1)).alias("end"),
-                                          F.first("pr").alias("pr"), F.first("ps").alias("ps")).drop("run")
+    before = F.lag(F.struct(F.col("end") - (WINDOW - 1), "pr", "ps")).over(walk)
+    marked = found.withColumn("fresh", (~before.eqNullSafe(F.struct("start", "pr", "ps"))).cast("int"))
+    return marked.withColumn("run", F.sum("fresh").over(walk.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.first("pr").alias("pr"), F.first("ps").alias("ps")).drop("run")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id and text, written once, so that a row's number stays."""
-    return c.materialised(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+    """row, doc_id and text, written once in buckets by row: a row's number stays, and joins on it leave the texts where they are."""
+    return c.bucketed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "row", "numbered")
 
 
 def repeated_paths(docs: DataFrame) -> DataFrame:
     """The repeated paths' occurrences: doc_id, start and end word, path (source row and word), occurrences of the path."""
     texts = numbered(docs)
-    found = c.materialised(spans(texts), "spans", narrow=True)
+    found = c.materialised(spans(pieces(texts)), "spans", narrow=True)
     times = found.groupBy("pr", "ps").agg(F.count(F.lit(1)).alias("occurrences"))
     return found.join(splittable(times, "pr", "ps"), ["pr", "ps"]).join(texts.select("row", "doc_id"), "row").select(
         "doc_id", "start", "end", F.col("pr").alias("path_row"), F.col("ps").alias("path_start"), "occurrences")
@@ -268,7 +332,7 @@ def repeated_paths(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and the number of its spans of repeated paths."""
     texts = numbered(docs)
-    ranges = spans(texts, bits).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    ranges = pieces(texts, bits).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
     def cut(batches):
         for batch in batches:

@@ -22,4 +22,4 @@ def test_native_plans_hold_no_python(name, spark, folder):
 
 def test_one_query_per_operator():
     names = sorted(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
