@@ -8,7 +8,7 @@ operator's module defines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelrules.llm import common as c, decontaminate, divergence, order_minhash, packing, secret_cnn
 from parcelrules.llm.suite import tokenizer_path
@@ -35,8 +35,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of windows of 4096 ids."""
-    return packing.digest(packing.pack(prepared(spark, docs), tokenizer_path()))
+    """The pieces of windows of 4096 ids, with the ids and their checksum."""
+    return packing.pack(prepared(spark, docs), tokenizer_path()).withColumn("ids_crc32", F.crc32("ids"))
 
 
 def prepared(spark: SparkSession, docs: DataFrame) -> DataFrame:
