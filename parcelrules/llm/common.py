@@ -9,6 +9,7 @@ million distinct words meet with a chance below one in a thousand).
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ from parcelrules.session import prepare, remove_folders, work_folder
 BATCH_ROWS = 1000        # rows handed to Python at once, ...
 BATCH_BYTES = 1 << 22    # ... and about their bytes, but one row at least
 BROADCAST_ROWS = 1 << 18 # a side of short rows (64 bytes at most) is broadcast up to this many rows, 16 MB
-BLOCK_BYTES = 1 << 22    # bytes hashed at once; bounds the temporary arrays
+BLOCK_BYTES = 1 << 19    # bytes hashed at once; bounds the temporary arrays and the tables of powers
+LONG_WORD = 1 << 18      # bytes; a longer word's hash is a digest
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -160,15 +162,20 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """A 64-bit hash of each byte range; ranges in order of their starts."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
-    while at < len(starts):
-        to = max(int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")), at + 1)
-        low, high = int(starts[at]), int(ends[to - 1])
-        up, down = powers(high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data[low:high]] * up[:high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
+    for long in [*np.flatnonzero(ends - starts > LONG_WORD).tolist(), len(starts)]:
+        while at < long:
+            to = min(max(int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")), at + 1), long)
+            low, high = int(starts[at]), int(ends[to - 1])
+            up, down = powers(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[data[low:high]] * up[:high - low], out=sums[1:])
+            s, e = starts[at:to] - low, ends[at:to] - low
+            out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+            at = to
+        if at < len(starts):
+            digest = hashlib.blake2b(data[starts[at]:ends[at]].data, digest_size=8).digest()
+            out[at] = np.frombuffer(digest, np.uint64)[0]
+            at += 1
     return out
 
 

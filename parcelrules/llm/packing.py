@@ -39,9 +39,9 @@ END_ID = 2
 SENTENCE, INSIDE = 16, 128
 LOOSE, STEP = 256, 64
 RUN = 1 << 20
-REMEMBER = 3 << 19          # words a worker keeps, in about 100 MB
+REMEMBER = 1 << 19          # words a task keeps, in about 30 MB
 ENCODED = 1 << 12           # words encoded at once
-SLICE = 1 << 20             # bytes of text encoded at once
+SLICE = 1 << 19             # bytes of text encoded at once
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 LETTER = np.zeros(256, bool)
@@ -63,7 +63,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        # Sorted hashes and where each one's ids are told: arrays, as a worker keeps them between tasks.
+        # Sorted hashes and where each one's ids are told.
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.counts = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
@@ -238,14 +238,17 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, run: int = RUN)
         words = encoder(tokenizer_path)
         context = TaskContext.get()
         stream = Stream(context.partitionId() if context else 0, size)
-        for batch in batches:
-            out = []
-            for doc_id, (ids, stops) in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text"), words)):
-                stream.add(doc_id, ids, stops)
-                if stream.total >= run:
-                    out.extend(stream.settle(False))
-            yield frame(out)
-        yield frame(list(stream.settle(True)))
+        try:
+            for batch in batches:
+                out = []
+                for doc_id, (ids, stops) in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text"), words)):
+                    stream.add(doc_id, ids, stops)
+                    if stream.total >= run:
+                        out.extend(stream.settle(False))
+                yield frame(out)
+            yield frame(list(stream.settle(True)))
+        finally:
+            words.forget()      # a worker lives on after its task
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(solve, PIECES)
 

@@ -44,7 +44,7 @@ HOT = 100_000
 BLOCK_ROWS = 50_000
 FILTER_BITS = 1 << 27             # 16 MB; a fuller filter passes more, which the join then sorts out
 PLACE_BITS = np.uint64(23)
-CHUNK = 1 << 22
+CHUNK = 1 << 19                   # bytes hashed at once
 
 
 # --- anchors ------------------------------------------------------------------------
@@ -58,9 +58,9 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     return c.mix((sums[size:] - sums[:n]) * down[:n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all strings of SPAN bytes that lie within a row, and their hashes."""
-    places, hashes = [], []
+def anchors(data: np.ndarray, offsets: np.ndarray):
+    """Per chunk: positions of the anchors of all strings of SPAN bytes that lie within a row, and their hashes."""
+    last = -1
     for low in range(0, max(len(data) - SPAN + 1, 0), CHUNK):
         part = data[low:low + CHUNK + SPAN - 1]
         h = gram_hashes(part)
@@ -79,23 +79,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         inside = start + SPAN <= offsets[row + 1]
         found = (least[inside] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
         found = found[np.append(True, found[1:] != found[:-1])] if len(found) else found
-        places.append(found + low)
-        hashes.append(h[found])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, hash_ = np.concatenate(places), np.concatenate(hashes)
-    fresh = np.append(True, place[1:] != place[:-1])        # a chunk may find the last one's anchor again
-    return place[fresh], hash_[fresh]
+        found = found[found + low > last]                      # a chunk may find the last one's anchor again
+        if len(found):
+            last = int(found[-1]) + low
+            yield found + low, h[found]
 
 
 def anchor_slices(column: pa.Array):
-    """Per slice of texts: first row, positions (from each text's start), hashes and rows of the anchors."""
+    """Per chunk of a slice of texts: first row, positions (from each text's start), hashes and rows of the anchors."""
     raw, offsets = c.text_bytes(column)
     for low, high in c.slices(offsets):
         rows = offsets[low:high + 1] - offsets[low]
-        place, hash_ = anchors(raw[offsets[low]:offsets[high]], rows)
-        row = np.searchsorted(rows, place, "right") - 1
-        yield low, place - rows[row], hash_, row + low
+        for place, hash_ in anchors(raw[offsets[low]:offsets[high]], rows):
+            row = np.searchsorted(rows, place, "right") - 1
+            yield low, place - rows[row], hash_, row + low
 
 
 # --- deep-shallow sorting -------------------------------------------------------------
