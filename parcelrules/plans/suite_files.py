@@ -10,7 +10,8 @@ from parcelrules.plans.registry import query, rounded, CHECK_SQL
 from parcelrules.plans.suite_reports import AS_OF
 from parcelrules.session import work_folder
 from parcelrules.sources import bindings, files, responses as src, sinks
-from parcelrules.streaming import flows
+from parcelrules.plans.suite_responses import NORMAL_TYPES, ZONES_CHECK
+from parcelrules.streaming import documents as flow, flows
 
 # Files hold many texts, in no order: their lines are compared as a sum of hashes.
 TEXT_SQL = """
@@ -132,3 +133,74 @@ def stream_stats(t):
     tests = t.spark.sql(bindings.BINDINGS["tests"], lineitem=lines)
     flows.stats_stream(tests, f"{base}/partials", f"{base}/checkpoint")
     return rounded(flows.merge_stats(t.spark.read.parquet(f"{base}/partials")))
+
+
+# Documents by time of processing, in three parts, as they come in.
+PARTS = (0, 234, 468, 700)
+FLOW_CHECK = f"""{ZONES_CHECK},
+    d AS (SELECT DISTINCT r AS id, CASE WHEN r % 8 = 0 THEN ' Mytown ' WHEN r % 8 = 1 THEN 'unknown'
+                 ELSE 'Unknown_file ' || CAST(r AS VARCHAR) || '_v1_pdf' END AS town, CASE WHEN r % 16 = 0 THEN 'Mycounty' ELSE '' END AS county,
+                 CASE WHEN r % 9 = 2 THEN 'Failed to extract text from document' WHEN r % 9 = 5 THEN 'Request timed out' END AS error_message,
+                 TIMESTAMP '2024-01-01 00:00:00' + (r % 700) * INTERVAL '1' MINUTE AS done_at FROM f),
+    j AS (SELECT *, row_number() OVER (PARTITION BY town, county ORDER BY done_at, id) = 1 AS opens FROM d WHERE error_message IS NULL),
+    taken AS (SELECT n.* FROM n JOIN j ON n.response_id = j.id WHERE opens)"""
+
+
+def _flow(t):
+    """The documents of each part come in and are processed; then a part's batch is sent again, and the tables are compacted."""
+    base = work_folder(t.spark, "documents")
+    made = src.uploaded_documents(t.spark, t.folder)
+    minute = F.timestamp_diff("MINUTE", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("processed_at"))
+    ledger = flow.document_ledger(t.spark, f"{base}/tables")
+    for number, (low, high) in enumerate(zip(PARTS[:-1], PARTS[1:])):
+        part = made.where((minute >= low) & (minute < high))
+        part.write.parquet(f"{base}/in/part={number}")
+        flow.process_documents(flows.parquet_stream(t.spark, f"{base}/in/part=*", made.schema), f"{base}/tables", f"{base}/checkpoint", "rules-1")
+        if number == 1:
+            flow.compact_documents(ledger)
+    flow.process_batch(ledger, "rules-1")(t.spark.read.schema(made.schema).parquet(f"{base}/in/part=1"), 1)
+    return ledger
+
+
+@query("stream_documents", f"""WITH {FLOW_CHECK}
+    SELECT d.id, CASE WHEN d.error_message IS NULL THEN 'completed' ELSE 'failed' END AS processing_status, d.error_message,
+           CASE WHEN opens THEN j.town END AS job_town, CASE WHEN opens THEN j.county END AS job_county, CASE WHEN opens THEN 'completed' END AS job_status,
+           CASE WHEN opens THEN d.done_at END AS job_completed_at, (SELECT count(*) FROM taken WHERE response_id = d.id) AS requirement_count
+    FROM d LEFT JOIN j USING (id)""")
+def stream_documents(t):
+    ledger = _flow(t)
+    jobs = ledger.read("jobs").select(F.col("id").alias("job_id"), F.col("town").alias("job_town"), F.col("county").alias("job_county"),
+                                      F.col("processing_status").alias("job_status"), F.col("processing_completed_at").alias("job_completed_at"))
+    return flow.current_documents(ledger).join(jobs, "job_id", "left").select(
+        "id", "processing_status", "error_message", "job_town", "job_county", "job_status", "job_completed_at", "requirement_count")
+
+
+@query("stream_document_requirements", f"""WITH {FLOW_CHECK},
+    u AS (SELECT * EXCLUDE (job_id), min(extracted_at) OVER (PARTITION BY town, county, state, zone) AS created_at, max(extracted_at) OVER
+          (PARTITION BY town, county, state, zone) AS updated_at, row_number() OVER (PARTITION BY town, county, state, zone
+          ORDER BY extracted_at DESC, response_id DESC, position DESC) AS rn FROM taken)
+    SELECT * EXCLUDE (rn) FROM u WHERE rn = 1""", types=NORMAL_TYPES)
+def stream_document_requirements(t):
+    return rounded(flow.current_requirements(_flow(t)).drop("job_id", "_commit"))
+
+
+# A file is read at once, after one or two more attempts, or never, as its length in bytes says.
+DOCS_IN_FILE = 50
+
+
+@query("stream_retries", f"""
+    WITH g AS (SELECT CAST(floor(doc_id / {DOCS_IN_FILE}) AS BIGINT) AS part, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY 1)
+    SELECT part, CAST(CASE WHEN bytes % 4 = 3 THEN 3 ELSE bytes % 4 + 1 END AS INTEGER) AS attempts_made,
+           CASE WHEN bytes % 4 = 3 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN bytes % 4 <> 3 THEN bytes END AS text_bytes FROM g""")
+def stream_retries(t):
+    base, folder = work_folder(t.spark, "uploads"), work_folder(t.spark, "texts")
+    part = F.floor(F.col("doc_id") / DOCS_IN_FILE).alias("part")
+    t.documents.select(part, "text").repartition("part").write.partitionBy("part").text(folder)
+    read = lambda content, attempt: F.when(F.octet_length(content) % 4 < attempt, files.text_of(content))
+    flow.take_uploads(flows.file_stream(t.spark, folder, glob="*.txt", files_per_batch=100), f"{base}/tables", f"{base}/checkpoint", read)
+    flow.retry_uploads(t.spark, f"{base}/tables", read)
+    ledger = flow.upload_ledger(t.spark, f"{base}/tables")
+    ledger.compact()
+    sizes = ledger.read("texts").select("path", F.octet_length("text").cast("long").alias("text_bytes"))
+    return flow.upload_states(ledger).join(sizes, "path", "left").select(
+        F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), "attempts_made", "status", "text_bytes")

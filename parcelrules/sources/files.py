@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelrules import fixed_values as fv
 from parcelrules.functions.text import file_name, file_suffix, human_size
 
 REPLACEMENT = "�"
+WRITTEN = "\x00\ufffe<replacement character>\ufffe\x00"      # stands for one while undecodable bytes are dropped
 
 
 def files_of(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -35,14 +36,19 @@ def admission(files: DataFrame, suffixes: list[str] = fv.ALLOWED_SUFFIXES,
                             .when(F.col("length") > max_bytes, F.lit("size")))
 
 
+def text_of(content: Column) -> Column:
+    """Bytes as UTF-8 text; what can't be decoded is dropped, a replacement character that was written stays."""
+    raw = F.replace(content.cast("string"), F.lit(REPLACEMENT), F.lit(WRITTEN))
+    return F.replace(F.replace(F.make_valid_utf8(raw), F.lit(REPLACEMENT), F.lit("")), F.lit(WRITTEN), F.lit(REPLACEMENT))
+
+
 def as_text(files: DataFrame) -> DataFrame:
     """Add suffix, text (UTF-8, undecodable bytes dropped) and ``needs_parser`` for PDF and Word."""
     suffix = file_suffix(F.col("path"))
-    decoded = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit(REPLACEMENT), F.lit(""))
     needs = suffix.isin(fv.PARSER_SUFFIXES)
     return files.select(
         "path", suffix.alias("suffix"), "length", needs.alias("needs_parser"),
-        F.when(~needs, decoded).alias("text"))
+        F.when(~needs, text_of(F.col("content"))).alias("text"))
 
 
 def suffix_glob(suffixes: list[str]) -> str:

@@ -76,6 +76,18 @@ RESPONSES_SQL = f"""
     FROM h"""
 
 
+# Uploaded documents with what the service said: some have no text, for some it failed.
+UPLOADS_SQL = f"""
+    SELECT response_id AS id, filename AS original_filename, municipality, county, state,
+           CASE WHEN response_id % 9 <> 2 THEN 'Ordinance ' || CAST(response_id AS STRING) END AS text, response_text,
+           CASE WHEN response_id % 9 = 5 THEN 'Request timed out' END AS error,
+           processed_at - make_dt_interval(0, 0, 1) AS created_at, processed_at FROM ({RESPONSES_SQL})"""
+
+
+def uploaded_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return bind_sql(spark, folder, UPLOADS_SQL)
+
+
 def zone_values(spark: SparkSession, folder: str) -> DataFrame:
     return bind_sql(spark, folder, ZONE_VALUES)
 

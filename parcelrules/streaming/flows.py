@@ -116,7 +116,7 @@ def compact_batches(spark: SparkSession, target: str, merge: Callable[[DataFrame
 
 
 def compacted(spark: SparkSession, target: str, last: int | None = None) -> DataFrame:
-    """The newest complete merged folder and the batches after it; older batch folders aren't listed."""
+    """The newest complete merged folder, the batches after it, and all retry rounds, which are never merged."""
     folders, done = finished_folders(spark, f"{target}_merged", "upto"), -1
     if last is not None:
         folders = [n for n in folders if n < last]
@@ -127,19 +127,22 @@ def compacted(spark: SparkSession, target: str, last: int | None = None) -> Data
     newer = [n for n in finished_folders(spark, target, "batch_id") if n > done and (last is None or n <= last)]
     if newer:
         parts.append(spark.read.parquet(*[batch_folder(target, n) for n in newer]))
+    rounds = finished_folders(spark, target, "batch_id", "r") if last is None else []
+    if rounds:
+        parts.append(spark.read.parquet(*[f"{target}/batch_id=r{n}" for n in rounds]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def finished_folders(spark: SparkSession, base: str, key: str) -> list[int]:
-    """Numbers of the folders ``key=N`` under ``base`` whose write was committed."""
+def finished_folders(spark: SparkSession, base: str, key: str, mark: str = "") -> list[int]:
+    """Numbers of the folders ``key=N`` (with ``mark``, ``key=<mark>N``) under ``base`` whose write was committed."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(base)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{key}=*/_SUCCESS")) or []
-    names = [status.getPath().getParent().getName().split("=", 1)[1] for status in found]
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{key}={mark}*/_SUCCESS")) or []
+    names = [status.getPath().getParent().getName().split("=", 1)[1][len(mark):] for status in found]
     return [int(n) for n in names if n.isdigit()]
 
 
