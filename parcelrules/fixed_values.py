@@ -241,3 +241,5 @@ PHRASES = {
     "maximum_far": ["FAR", "floor area ratio"],
     "maximum_density_units_per_acre": ["density"],
 }
+
+SQFT_IN_ACRE = 43560.0

@@ -1,17 +1,10 @@
-"""The two sides of the language-model step that Spark can do.
-
-``build_prompts`` makes the text to send for every planned test, from whole
-documents. ``rule_extract`` reads the rules out of an ordinance by its own
-wording: headings split a text into zones, one pattern per field finds a value.
-"""
+"""The text to send to a language model for every planned test, from whole documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelrules import fixed_values as fv
-from parcelrules.functions.numeric import parse_double
-from parcelrules.functions.text import let, strip
 
 
 def fill_template(template: Column, values: dict[str, Column]) -> Column:
@@ -53,78 +46,3 @@ def build_prompts(plan: DataFrame, experiments: DataFrame, documents: DataFrame,
         "state": F.coalesce("state", F.lit(fv.DEFAULT_STATE))})
     return rows.withColumn("status", status).select(
         "prompt_experiment_id", "ground_truth_doc_id", "status", F.when(F.col("status") == "ready", prompt).alias("prompt"))
-
-
-# A zone's code: capitals, then digits, letters and hyphened parts; footnote signs after it are dropped.
-HEADING = r"\b(?i:zone|district)\s+([A-Z]{1,4}(?:-?[0-9]+[A-Z]?)?(?:-[A-Z0-9]{1,3})*)(?:[¹²³⁰⁴-⁹]+|\^[0-9]+|\([0-9]+\))?(?![\w-])"
-HALF = r"(?:\s*½|\s+1/2)"
-NUMBER = rf"([0-9][0-9,]*+(?:\.[0-9]++)?+{HALF}?+|\.[0-9]++)"
-STORY = r"(?:stories|storeys|story|floors)"
-WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
-COUNTED = rf"({'|'.join(WORDS)})(\s+and\s+(?:one|a)[- ]half)?[\s-]+{STORY}"
-# Between a phrase and its number: the same clause, where stories may be named before feet.
-GAP = rf"(?:[^0-9,;.\n]|{NUMBER.replace('(', '(?:', 1)}\s*-?\s*{STORY})*?"
-# What may not follow a number of a field; a range's or another unit's number isn't taken.
-NOT_AFTER = {"area": rf"(?!\s*(?:-\s*)?(?:ft\b|feet|foot|%|{STORY}))", "feet": rf"(?!\s*-?\s*(?:%|sq|{STORY}|acres?\b))",
-             "percent": rf"(?!\s*(?:ft\b|feet|foot|{STORY}|sq))", "ratio": r"(?!\s*(?:ft\b|feet|foot|%|sq))"}
-UNIT = {"interior_min_lot_area_sqft": "area", "max_building_coverage_percent": "percent", "max_lot_coverage_percent": "percent",
-        "maximum_far": "ratio", "maximum_density_units_per_acre": "ratio"}
-AREA = rf"(?i)(?<![0-9,.]){NUMBER}\s*(?:sq\.?\s*(?:ft|feet)|square\s+(?:feet|foot)|sf\b)"
-PER_ACRE = rf"(?i)(?<![0-9,.]){NUMBER}\s*(?:dwelling\s+)?units\s+per\s+acre"
-ACCESSORY = r"(?i)\b(?:accessory|garage|shed|outbuilding)"
-ACCESSORY_CLAUSE = rf"{ACCESSORY}[^;\n]*?(?:;|\n|\.\s|\.?$)"
-TOWN = (r"\b(?:Town|City|Borough|Township|Village) of "
-        r"([A-Z][\w'-]*(?: (?!Zoning|Land|Ordinance|Code)[A-Z][\w'-]*)*)")
-COUNTY = r"County:\s*([A-Z][\w'-]*(?: [A-Z][\w'-]*)*)"
-
-
-def stated_number(found: Column) -> Column:
-    """'10,000' is 10000, '2½' and '2 1/2' are 2.5."""
-    def value(raw: Column) -> Column:
-        digits = strip(F.translate(F.regexp_replace(raw, HALF, ""), ",", ""))
-        return parse_double(digits) + F.when(raw.rlike(HALF), F.lit(0.5)).otherwise(F.lit(0.0))
-
-    return let(F.nullif(found, F.lit("")), value)
-
-
-def stated(body: Column, phrases: list[str], unit: str) -> Column:
-    """The number after the first of the phrases that has one of its unit in the same clause."""
-    return stated_number(F.regexp_extract(body, rf"(?i)\b(?:{'|'.join(phrases)}){GAP}(?<![0-9,.]){NUMBER}{NOT_AFTER[unit]}", 1))
-
-
-def stated_stories(body: Column) -> Column:
-    """'2½ stories', '2 1/2 stories' and 'two and one-half stories' are 2.5."""
-    digits = stated_number(F.regexp_extract(body, rf"(?i)(?<![0-9,.]){NUMBER}\s*-?\s*{STORY}", 1))
-    word = F.lower(F.regexp_extract(body, rf"(?i)\b{COUNTED}", 1))
-    names = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
-    half = F.when(F.regexp_extract(body, rf"(?i)\b{COUNTED}", 2) != "", F.lit(0.5)).otherwise(F.lit(0.0))
-    return F.coalesce(digits, F.when(word != "", names[word] + half))
-
-
-def rule_extract(texts: DataFrame) -> DataFrame:
-    """One row per zone heading of a text (doc_id, text) with the fields its section states.
-
-    Clauses on accessory buildings are read apart from the others. An area without
-    a phrase is the first number of square feet.
-    """
-    marked = F.regexp_replace("text", HEADING, "\x01$1\x02")
-    parts = texts.select("doc_id", F.nullif(F.regexp_extract("text", TOWN, 1), F.lit("")).alias("extracted_town"),
-                         F.nullif(F.regexp_extract("text", COUNTY, 1), F.lit("")).alias("extracted_county"),
-                         F.split(marked, "\x01").alias("parts"))
-    zones = parts.select("doc_id", "extracted_town", "extracted_county",
-                         F.posexplode("parts").alias("position", "part")).where(F.col("position") > 0)
-    zones = zones.select("doc_id", "extracted_town", "extracted_county", "position",
-                         F.split_part("part", F.lit("\x02"), F.lit(1)).alias("zone_name"),
-                         F.split_part("part", F.lit("\x02"), F.lit(2)).alias("body"))
-    zones = zones.withColumns({
-        "own": F.regexp_replace("body", ACCESSORY_CLAUSE, ";"),
-        "accessory": F.array_join(F.regexp_extract_all("body", F.lit(ACCESSORY_CLAUSE), F.lit(0)), ";")})
-    fields = {key: stated(F.col("own"), phrases, UNIT.get(key, "feet")) for key, phrases in fv.PHRASES.items()}
-    area, density = "interior_min_lot_area_sqft", "maximum_density_units_per_acre"
-    fields[area] = F.coalesce(fields[area], stated_number(F.regexp_extract("own", AREA, 1)))
-    fields[density] = F.coalesce(stated_number(F.regexp_extract("own", PER_ACRE, 1)), fields[density])
-    accessory = {f"accessory_min_{side}_yard_ft": stated(F.col("accessory"), [rf"{side}(?:\s+(?:yard|setback|line))*"], "feet")
-                 for side in ("front", "side", "rear")}
-    return zones.select(
-        "doc_id", "extracted_town", "extracted_county", "position", "zone_name", *[x.alias(k) for k, x in fields.items()],
-        stated_stories(F.col("own")).alias("principal_max_height_stories"), *[x.alias(k) for k, x in accessory.items()])

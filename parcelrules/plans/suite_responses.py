@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelrules import fixed_values as fv
 from parcelrules.functions import numeric, scores, text, variants as v
-from parcelrules.operators import maintenance, prompts, responses as r, scoring
+from parcelrules.operators import maintenance, ordinance, prompts, responses as r, scoring
 from parcelrules.plans.registry import query, rounded
 from parcelrules.plans.suite_reports import sql_percent
 from parcelrules.sources import responses as src
@@ -461,20 +461,35 @@ def build_prompts(t):
 ACCESSORY = ["accessory_min_front_yard_ft", "accessory_min_side_yard_ft", "accessory_min_rear_yard_ft"]
 
 
+FRONTAGE = "CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END"
+WIDTH = f"coalesce(CASE WHEN p_size % 5 = 1 THEN p_size + 5.0 END, {FRONTAGE})"
+IN_DOC = "CAST(FLOOR(p_partkey / 8) AS BIGINT)"
+
+
 @query("rule_extract", f"""
-    SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS doc_id, p_partkey % 8 + 1 AS position,
-           'Springfield_' || CAST(CAST(FLOOR(p_partkey / 8) AS BIGINT) AS VARCHAR) AS extracted_town,
-           'Union_' || CAST(CAST(FLOOR(p_partkey / 8) AS BIGINT) % 21 AS VARCHAR) || ' County' AS extracted_county,
-           {src.ZONE_NAMES} AS zone_name,
-           p_size * 1000.0 AS interior_min_lot_area_sqft,
-           CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS interior_min_lot_frontage_ft,
-           NULL AS interior_min_lot_width_ft, NULL AS interior_min_lot_depth_ft,
+    WITH s AS (
+    SELECT {IN_DOC} AS doc_id, p_partkey % 8 + 1 AS position, {src.ZONE_NAMES} AS zone_name,
+           p_size * 1000.0 AS interior_min_lot_area_sqft, {FRONTAGE} AS interior_min_lot_frontage_ft,
+           {WIDTH} AS interior_min_lot_width_ft, coalesce(CASE WHEN p_size % 5 = 2 THEN p_size + 7.0 END, {WIDTH}) AS interior_min_lot_depth_ft,
            p_size + 5.0 AS principal_min_front_yard_ft,
            CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS DOUBLE) END AS principal_min_side_yard_ft,
-           NULL AS principal_min_rear_yard_ft, 30.0 AS principal_max_height_feet, NULL AS max_building_coverage_percent,
-           CAST(p_size AS DOUBLE) AS max_lot_coverage_percent, 1.5 AS maximum_far, NULL AS maximum_density_units_per_acre,
-           2.5 AS principal_max_height_stories, NULL AS accessory_min_front_yard_ft, NULL AS accessory_min_side_yard_ft,
-           CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS accessory_min_rear_yard_ft FROM part""",
+           CASE WHEN p_partkey % 6 IN (0, 1, 2, 4) THEN p_size + 7.0 END AS principal_min_rear_yard_ft, 30.0 AS principal_max_height_feet,
+           CASE WHEN p_partkey % 6 = 0 THEN CAST(p_size AS DOUBLE) END AS max_building_coverage_percent,
+           CAST(p_size AS DOUBLE) AS max_lot_coverage_percent, 1.5 AS maximum_far,
+           CASE WHEN p_partkey % 6 IN (1, 2) THEN CAST(p_size AS DOUBLE) END AS maximum_density_units_per_acre,
+           2.5 AS principal_max_height_stories, CASE WHEN p_partkey % 6 = 0 THEN p_size + 5.0 END AS accessory_min_front_yard_ft,
+           CASE WHEN p_partkey % 6 = 0 THEN 4.0 END AS accessory_min_side_yard_ft,
+           CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS accessory_min_rear_yard_ft FROM part
+    UNION ALL BY NAME
+    SELECT doc_id, n + 2 AS position, 'T-1' AS zone_name, 9100.0 + doc_id % 21 AS interior_min_lot_area_sqft, 80.0 AS interior_min_lot_width_ft,
+           80.0 AS interior_min_lot_depth_ft, 25.0 AS principal_min_front_yard_ft, 3.0 AS accessory_min_rear_yard_ft, 35.0 AS principal_max_height_feet,
+           2.5 AS principal_max_height_stories, 40.0 AS max_lot_coverage_percent, 0.5 AS maximum_far
+    FROM (SELECT {IN_DOC} AS doc_id, count(*) AS n FROM part GROUP BY 1) WHERE doc_id % 5 = 0
+    UNION ALL BY NAME
+    SELECT doc_id, n + 3 AS position, 'Mill Village' AS zone_name, 12000.0 AS interior_min_lot_area_sqft, doc_id % 9 AS principal_min_front_yard_ft, 12.0 AS principal_min_side_yard_ft,
+           38.0 AS principal_max_height_feet, 3.0 AS principal_max_height_stories, 35.0 AS max_lot_coverage_percent, 0.75 AS maximum_far
+    FROM (SELECT {IN_DOC} AS doc_id, count(*) AS n FROM part GROUP BY 1) WHERE doc_id % 5 = 0)
+    SELECT *, 'Springfield_' || CAST(doc_id AS VARCHAR) AS extracted_town, 'Union_' || CAST(doc_id % 21 AS VARCHAR) || ' County' AS extracted_county FROM s""",
        types={"position": "INTEGER", "principal_max_height_stories": "DOUBLE", **{k: "DOUBLE" for k in [*fv.PHRASES, *ACCESSORY]}})
 def rule_extract(t):
-    return prompts.rule_extract(src.ordinance_texts(t.spark, t.folder))
+    return ordinance.rule_extract(src.ordinance_texts(t.spark, t.folder))

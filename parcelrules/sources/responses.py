@@ -159,32 +159,46 @@ BULK_SQL = f"""
                    WHEN response_id % 7 = 2 THEN '[' || zones || ',"x",null,[1]]' ELSE '[' || zones || ']' END
            || CASE WHEN response_id % 17 = 6 THEN '' ELSE '}}}}' END AS response_text FROM g"""
 
-# Ordinance texts: a heading per zone, then its rules in one of six wordings.
-ZONE_NAMES = """CASE p_partkey % 6 WHEN 1 THEN 'C-' WHEN 3 THEN 'PUD-' WHEN 4 THEN 'CBD' WHEN 5 THEN 'M-' ELSE 'R-' END
-    || CASE WHEN p_partkey % 6 = 4 THEN '' ELSE CAST(p_size AS VARCHAR(10)) END || CASE WHEN p_partkey % 6 = 5 THEN '-A' ELSE '' END"""
+# Ordinance texts: a heading per zone, then its rules in one of six wordings; every fifth text ends with a table.
+ZONE_NAMES = """CASE p_partkey % 6 WHEN 1 THEN 'C-' WHEN 2 THEN 'r-' WHEN 3 THEN 'PLANNED' WHEN 4 THEN 'Highway Commercial' WHEN 5 THEN 'M-' ELSE 'R-' END
+    || CASE WHEN p_partkey % 6 IN (3, 4) THEN '' ELSE CAST(p_size AS VARCHAR(10)) END || CASE WHEN p_partkey % 6 = 5 THEN '-A' ELSE '' END"""
 
 ORDINANCE_SQL = f"""
     WITH v AS (SELECT CAST(FLOOR(p_partkey / 8) AS BIGINT) AS doc_id, p_partkey AS k, p_partkey % 6 AS w, p_size AS n,
-                 CAST(p_size AS STRING) AS s, format_number(p_size * 1000, 0) AS area, CAST(p_size + 5 AS STRING) AS front, {ZONE_NAMES} AS zone
+                 CAST(p_size AS STRING) AS s, format_number(p_size * 1000, 0) AS area, CAST(p_size + 5 AS STRING) AS front,
+                 CAST(p_size + 7 AS STRING) AS rear, {ZONE_NAMES} AS zone
                FROM {{part}}),
     z AS (SELECT doc_id, k, CASE WHEN w % 2 = 0 THEN 'Zone ' ELSE 'DISTRICT ' END || zone
                  || CASE w WHEN 2 THEN '¹: ' WHEN 3 THEN '^2: ' WHEN 4 THEN ': ' ELSE ' requirements:' || chr(10) END
                  || CASE w WHEN 0 THEN '- Minimum lot area: ' || area || ' square feet' WHEN 1 THEN 'Required area ' || CAST(n * 1000 AS STRING) || ' sq ft'
-                           WHEN 2 THEN area || ' sq ft, and no less' WHEN 3 THEN 'minimum area ' || area || ' sf'
+                           WHEN 2 THEN area || ' sq ft, and no less' WHEN 3 THEN 'minimum area, as in section 12, ' || area || ' sf'
                            WHEN 4 THEN 'lot size ' || area ELSE area || ' sf minimum lot' END || chr(10)
                  || CASE WHEN n % 2 = 0 THEN '- Minimum lot frontage: ' || s || ' feet' || chr(10) ELSE '' END
-                 || CASE WHEN w < 3 THEN '- Front yard setback: ' || front || ' feet, side yard '
-                         ELSE 'The front setback required of every principal structure in the district shall be ' || front || ' ft; side setback ' END
-                 || CASE WHEN n % 3 = 0 THEN 'N/A' ELSE s || ' ft' END || chr(10)
+                 || CASE WHEN n % 5 = 1 THEN 'Lot width, at the building line, ' || front || ' ft' || chr(10) ELSE '' END
+                 || CASE WHEN n % 5 = 2 THEN 'lot depth ' || rear || ' feet' || chr(10) ELSE '' END
+                 || CASE w WHEN 3 THEN 'Front yard, ' || front || ' feet; side yards (both), ' || CASE WHEN n % 3 = 0 THEN 'none' ELSE s || ' feet' END
+                           WHEN 4 THEN 'setbacks: front ' || front || ' feet, side ' || CASE WHEN n % 3 = 0 THEN 'N/A' ELSE s || ' feet' END || ', rear ' || rear || ' feet'
+                           WHEN 5 THEN 'The front setback required of every principal structure in the district shall be ' || front || ' ft; side setback '
+                                || CASE WHEN n % 3 = 0 THEN 'N/A' ELSE s || ' ft' END
+                           ELSE '- Front yard setback: ' || front || ' feet, side yard ' || CASE WHEN n % 3 = 0 THEN 'N/A' ELSE s || ' ft' END END || chr(10)
+                 || CASE WHEN w < 3 THEN 'minimum rear yard, for corner lots, ' || rear || ' feet' || chr(10) ELSE '' END
                  || CASE w WHEN 1 THEN 'Maximum height 2 1/2 stories or 30 feet' WHEN 3 THEN 'Height limit two and one-half stories, height 30 ft'
                            WHEN 5 THEN 'H=30; 2.5 stories' ELSE '- Maximum height: 30 feet (2½ stories)' END || chr(10)
-                 || CASE WHEN w % 2 = 1 THEN 'Accessory buildings: rear setback ' || s || ' feet.' || chr(10) ELSE '' END
+                 || CASE WHEN w % 2 = 1 THEN 'Accessory buildings: rear setback ' || s || ' feet, height 15 feet.' || chr(10)
+                         WHEN w = 0 THEN 'Garage setback ' || front || ' feet, side 4 feet; ' ELSE '' END
                  || CASE WHEN w < 3 THEN '- Maximum lot coverage: ' || s || '%; FAR shall not exceed 1.5'
-                         ELSE 'site coverage of no more than ' || s || '%, FAR=1.5' END || chr(10) AS body FROM v),
+                         ELSE 'site coverage of no more than ' || s || '%, FAR=1.5' END || chr(10)
+                 || CASE w WHEN 0 THEN 'Building coverage: ' || s || ' percent' WHEN 1 THEN s || ' dwelling units per acre' WHEN 2 THEN 'density ' || s ELSE '' END || chr(10)
+                 AS body FROM v),
     g AS (SELECT doc_id, array_join(transform(sort_array(collect_list(struct(k, body))), x -> x.body), '') AS bodies
           FROM z GROUP BY doc_id)
     SELECT doc_id, 'Town of Springfield_' || CAST(doc_id AS STRING) || ' Zoning Ordinance' || chr(10)
-           || 'County: Union_' || CAST(doc_id % 21 AS STRING) || ' County' || chr(10) || bodies AS text FROM g"""
+           || 'County: Union_' || CAST(doc_id % 21 AS STRING) || ' County' || chr(10) || bodies
+           || CASE WHEN doc_id % 5 <> 0 THEN '' ELSE 'Schedule of dimensions' || chr(10)
+                   || 'District | Minimum lot area (sq ft) | Width | Front | Side yard | Garage rear | Height (ft) | Stories | Lot coverage | FAR' || chr(10)
+                   || '---|---|---|---|---|---|---|---|---|---' || chr(10)
+                   || 'T-1¹ | 9,' || CAST(doc_id % 21 + 100 AS STRING) || ' | 80 | 25 | - | 3 | 35 | 2½ | 40% | 0.5' || chr(10)
+                   || 'Mill Village | 12,000 sf | N/A | ' || CAST(doc_id % 9 AS STRING) || ' | 12 | none | 38 | 3 | 35 | .75' || chr(10) END AS text FROM g"""
 
 
 def verified_zones(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 
 from parcelrules import schemas
-from parcelrules.operators import prompts, responses
+from parcelrules.operators import ordinance, responses
 
 AT = datetime(2024, 1, 1)
 
@@ -123,11 +123,11 @@ Zone R-1-A²: 7,500 sf, 4-story buildings; zone boundaries follow the map
 
 
 def test_ordinance_in_other_words(spark):
-    rows = prompts.rule_extract(spark.createDataFrame([(1, ORDINANCE)], "doc_id int, text string")).orderBy("position").collect()
+    rows = ordinance.rule_extract(spark.createDataFrame([(1, ORDINANCE)], "doc_id int, text string")).orderBy("position").collect()
     assert [(r.extracted_town, r.extracted_county, r.zone_name) for r in rows] == [
         ("Harrow Mills", "Larch County", z) for z in ("AG-40", "TC", "R-1-A")]
     farm, center, homes = [{k: x for k, x in r.asDict().items() if isinstance(x, float)} for r in rows]
-    assert farm == {"interior_min_lot_area_sqft": 40000, "interior_min_lot_width_ft": 150, "principal_min_front_yard_ft": 60,
+    assert farm == {"interior_min_lot_area_sqft": 40000, "interior_min_lot_width_ft": 150, "interior_min_lot_depth_ft": 150, "principal_min_front_yard_ft": 60,
                     "principal_min_rear_yard_ft": 2.5, "principal_max_height_feet": 45, "accessory_min_side_yard_ft": 6,
                     "accessory_min_rear_yard_ft": 9}
     assert center == {"principal_max_height_feet": 36, "principal_max_height_stories": 2.5, "max_building_coverage_percent": 55,
@@ -136,6 +136,60 @@ def test_ordinance_in_other_words(spark):
     assert homes == {"interior_min_lot_area_sqft": 7500, "principal_max_height_stories": 4}
 
 
+SECTIONS = {
+    "minimum rear yard, for corner lots, 30 feet": {"principal_min_rear_yard_ft": 30},
+    "Front yard, 25 feet; side yards (both), 12 feet": {"principal_min_front_yard_ft": 25, "principal_min_side_yard_ft": 12},
+    "setbacks: front 25 feet, side 10 feet, rear 30 feet": {
+        "principal_min_front_yard_ft": 25, "principal_min_side_yard_ft": 10, "principal_min_rear_yard_ft": 30},
+    "Yards:\n- front 25 ft\n- rear 30'\n": {"principal_min_front_yard_ft": 25, "principal_min_rear_yard_ft": 30},
+    "garage setback 8 feet": {"accessory_min_front_yard_ft": 8},
+    "Accessory buildings, rear 5 feet and side 3 feet, height 15 feet\nheight 35 feet": {
+        "accessory_min_rear_yard_ft": 5, "accessory_min_side_yard_ft": 3, "principal_max_height_feet": 35},
+    "frontage 80 feet": {"interior_min_lot_frontage_ft": 80, "interior_min_lot_width_ft": 80, "interior_min_lot_depth_ft": 80},
+    "lot area, as stated in section 12.4, 2 acres": {"interior_min_lot_area_sqft": 87120},
+    "lot area within 30 days of notice, 4 lots": {},
+    "side setback: N/A, 40 feet from the front": {},
+    "Height three and one-half stories, 42 feet. 20 feet wide": {"principal_max_height_stories": 3.5, "principal_max_height_feet": 42},
+    "coverage shall not exceed 30%": {}, "impervious coverage 45 percent, building coverage: 30%": {
+        "max_lot_coverage_percent": 45, "max_building_coverage_percent": 30},
+    "as far as 3 miles": {}, "FAR=.5; density: 4.25": {"maximum_far": 0.5, "maximum_density_units_per_acre": 4.25},
+    "front yard 25 feet, 30 feet on corners": {"principal_min_front_yard_ft": 25}, "": {},
+}
+
+
+@pytest.mark.parametrize("section", SECTIONS)
+def test_clauses(section):
+    found = ordinance.with_fallbacks(ordinance.found_in(section))
+    assert {n: found[t] for t, n in zip(ordinance.TARGETS, ordinance.VALUES) if t in found} == SECTIONS[section]
+
+
+def test_headings_and_tables(spark):
+    text = """Zone PLANNED requirements: frontage 50 ft
+Zone Highway Commercial: FAR 2
+in zone r-2 the lot size is 9,000
+Zone Regulations apply; each zone has rules. District Highway Commercial shall have FAR 3
+| Zone | Lot Size | Front | Garage side | Max height | Stories | Coverage |
+|---|---|---|---|---|---|---|
+| R-9² | 8,500 sf | 20 ft | 4 | - | 2½ | 30% |
+| too | few |
+| Old Mill | 1,000 | N/A | x | 28 | 2 | 25 |
+after the table FAR 4
+zones\tarea\tdepth
+A\t5,000\t90
+"""
+    df = spark.createDataFrame([("x", text, 1), ("y", None, 2), ("z", "", 3), (None, "Zone B: FAR 1", 4)], "doc_id string, text string, extra int")
+    rows = sorted(ordinance.rule_extract(df).collect(), key=lambda r: (r.doc_id is None, r.position))
+    assert [(r.doc_id, r.position, r.zone_name) for r in rows] == [
+        ("x", 1, "PLANNED"), ("x", 2, "Highway Commercial"), ("x", 3, "r-2"), ("x", 4, "Highway Commercial"),
+        ("x", 6, "R-9"), ("x", 8, "Old Mill"), ("x", 9, "A"), (None, 1, "B")]
+    assert [r.maximum_far for r in rows] == [None, 2, None, 3, None, None, None, 1] and rows[2].interior_min_lot_area_sqft == 9000
+    assert {k: v for k, v in rows[4].asDict().items() if isinstance(v, float)} == {
+        "interior_min_lot_area_sqft": 8500, "principal_min_front_yard_ft": 20, "accessory_min_side_yard_ft": 4, "principal_max_height_stories": 2.5,
+        "max_lot_coverage_percent": 30}
+    assert (rows[6].interior_min_lot_area_sqft, rows[6].interior_min_lot_depth_ft) == (5000, 90)
+    assert ordinance.rule_extract(df.where("false")).count() == 0
+
+
 def test_odd_bulk_calls(spark):
     good = {"zone_name": "A", "max_far": "1.5"}
     calls = [json.dumps({"extracted_town": "T", "zoning_requirements": [good, "x", None, [good], {"zone_name": "B", "max_far": {}}, {"zone_name": "C"}]}),
