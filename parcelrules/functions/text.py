@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from parcelrules import fixed_values as fv
@@ -14,6 +16,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def built_once(make):
+    """Keep what ``make`` builds (columns that depend on its arguments only) as long as the JVM lives.
+
+    A long expression takes a second to build call by call, and a stream would build it for every batch.
+    """
+    kept: dict[tuple, tuple] = {}
+
+    @functools.wraps(make)
+    def get(*args):
+        gateway = SparkContext._gateway
+        if args not in kept or kept[args][0] is not gateway:
+            made = make(*args)
+            kept[args] = (SparkContext._gateway, made)
+        return kept[args][1]
+
+    return get
+
+
 # Every character that counts as white space, not only the blank.
 WHITE_SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
                "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")

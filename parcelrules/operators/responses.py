@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelrules import fixed_values as fv
 from parcelrules.functions import numeric, text, variants as v
-from parcelrules.functions.text import let
+from parcelrules.functions.text import built_once, let
 
 
 # --- parsing --------------------------------------------------------------------
@@ -72,35 +72,39 @@ def as_zones(value: Column) -> Column:
     return F.try_variant_get(value, "$", f"array<{ZONE}>")
 
 
+@built_once
+def parsing() -> list[dict[str, Column]]:
+    """The new columns of each step from a text to body and zones."""
+    raw, one, wrapped, plain = F.col("response_text"), is_one(F.col("_f")), F.col("body.raw_response"), F.col("_inner").isNull()
+    # The first key that is present decides, even if it holds an empty list.
+    nothing = F.col("_known").isNull() | (F.size("_zones") == 0) | (F.col("_zones").isNull() & F.to_json("_known").isin("{}", '""'))
+    return [
+        {"_f": framed(raw)},
+        {"_source": F.when(one, raw).otherwise(repair_json(raw)), "_f": F.when(one, F.col("_f")).otherwise(framed(repair_json(raw)))},
+        {"_source": F.col("_source"), "_f": F.col("_f"), "_read": F.coalesce(one, F.lit(False)), "body": F.when(one, F.try_variant_get("_f", "$[0]", BODY))},
+        {"_source": F.col("_source"), "_read": F.col("_read"), "body": F.col("body"), "_inner": F.when(v.kind(wrapped) == "STRING", v.text(wrapped))},
+        {"_source": F.col("_source"), "_read": F.col("_read"), "body": F.col("body"), "_inner": F.col("_inner"),
+         "_f": F.when(F.col("_inner").isNotNull(), framed(F.col("_inner")))},
+        {"_source": F.when(plain, F.col("_source")).otherwise(F.col("_inner")),
+         "outcome": F.when(F.col("_read") & (plain | one), F.lit("json")).otherwise(F.lit("text")),
+         "body": F.when(plain, F.col("body")).when(one, F.try_variant_get("_f", "$[0]", BODY))},
+        {"_source": F.col("_source"), "outcome": F.col("outcome"), "body": F.col("body"), "_known": F.coalesce(*[F.col(f"body.{k}") for k in fv.ZONE_ARRAY_KEYS])},
+        {"_source": F.col("_source"), "outcome": F.col("outcome"), "body": F.col("body"), "_known": F.col("_known"), "_zones": as_zones(F.col("_known"))},
+        {"outcome": F.col("outcome"), "body": F.col("body"), "zones": F.when(F.col("body").isNotNull(), F.when(
+            F.coalesce(nothing, F.lit(False)), as_zones(zones_from_any_list(F.col("_source")))).otherwise(F.col("_zones")))},
+    ]
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Add ``outcome``, ``body`` (the keys that matter) and ``zones`` (list of objects).
 
     ``outcome`` is 'json' when the text, its repaired form or its inner
     ``raw_response`` could be read, 'text' when only the text is left.
     """
-    keep, raw = responses.columns, F.col("response_text")
-    one = is_one(F.col("_f"))
-    step = responses.withColumn("_f", framed(raw))
-    step = step.select(*keep, F.when(one, raw).otherwise(repair_json(raw)).alias("_source"),
-                       F.when(one, F.col("_f")).otherwise(framed(repair_json(raw))).alias("_f"))
-    step = step.select(*keep, "_source", F.coalesce(one, F.lit(False)).alias("_read"),
-                       F.when(one, F.try_variant_get("_f", "$[0]", BODY)).alias("body"))
-    wrapped = F.col("body.raw_response")
-    step = step.withColumn("_inner", F.when(v.kind(wrapped) == "STRING", v.text(wrapped)))
-    step = step.withColumn("_f", F.when(F.col("_inner").isNotNull(), framed(F.col("_inner"))))
-    plain = F.col("_inner").isNull()
-    step = step.select(
-        *keep, F.when(plain, F.col("_source")).otherwise(F.col("_inner")).alias("_source"),
-        F.when(F.col("_read") & (plain | one), F.lit("json")).otherwise(F.lit("text")).alias("outcome"),
-        F.when(plain, F.col("body")).when(one, F.try_variant_get("_f", "$[0]", BODY)).alias("body"))
-    # The first key that is present decides, even if it holds an empty list.
-    known = F.coalesce(*[F.col(f"body.{k}") for k in fv.ZONE_ARRAY_KEYS])
-    step = step.withColumn("_known", known).withColumn("_zones", as_zones(F.col("_known")))
-    nothing = F.col("_known").isNull() | (F.size("_zones") == 0) | (
-        F.col("_zones").isNull() & F.to_json("_known").isin("{}", '""'))
-    zones = F.when(F.col("body").isNotNull(), F.when(
-        F.coalesce(nothing, F.lit(False)), as_zones(zones_from_any_list(F.col("_source")))).otherwise(F.col("_zones")))
-    return step.select(*keep, "outcome", "body", zones.alias("zones"))
+    step = responses
+    for made in parsing():
+        step = step.select(*responses.columns, *[x.alias(n) for n, x in made.items()])
+    return step
 
 
 def zone_mentions(raw: Column) -> Column:
@@ -112,7 +116,8 @@ def zone_mentions(raw: Column) -> Column:
 
 # --- place ------------------------------------------------------------------------
 
-def with_place(parsed: DataFrame) -> DataFrame:
+@built_once
+def places() -> dict[str, Column]:
     """town, county and state: the user's value, else the response's, else a made-up name."""
     user_town = text.strip(F.coalesce("municipality", F.lit("")))
     user_county = text.strip(F.coalesce("county", F.lit("")))
@@ -127,7 +132,11 @@ def with_place(parsed: DataFrame) -> DataFrame:
     county = (F.when(~user_county.isin("", fv.UNKNOWN_COUNTY), user_county)
               .when(F.col("outcome") == "text", F.lit(fv.UNKNOWN_COUNTY))
               .otherwise(F.coalesce(said("extracted_county"), F.lit(fv.UNKNOWN_COUNTY))))
-    return parsed.withColumns({"town": town, "county": county, "state": state})
+    return {"town": town, "county": county, "state": state}
+
+
+def with_place(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumns(places())
 
 
 # --- zones and fields ---------------------------------------------------------------
@@ -174,28 +183,34 @@ def with_fallbacks(fields: dict[str, Column], yards: dict[str, Column]) -> dict[
     return out
 
 
-def zone_rows(placed: DataFrame) -> DataFrame:
-    """One row per zone of a response: ``position``, ``zone`` (name) and ``zone_object``.
-
-    Reading stops at the first element that is not an object, and the first of
-    several zones with one name is taken; zones of a list are told apart without
-    regard to case, zones mentioned in a text with it.
-    """
+@built_once
+def zone_steps() -> list[Column]:
+    """Zone objects up to the first that is none; their names; the names as keys; and the first zone of each key."""
     mentioned = F.transform(zone_mentions(F.col("response_text")),
                             lambda z: F.try_variant_get(F.parse_json(F.to_json(F.struct(z.alias("zone")))), "$", ZONE))
     listed = F.when(F.col("outcome") == "text", mentioned).otherwise(F.col("zones"))
     whole = let(listed, lambda zones: let(
         F.array_position(F.transform(zones, lambda z: z.isNull()), F.lit(True)).cast("int"),
         lambda bad: F.when(bad > 0, F.slice(zones, F.lit(1), bad - 1)).otherwise(zones)))
-    staged = placed.withColumn("_zones", whole)
-    staged = staged.withColumn("_names", F.transform("_zones", zone_name))
-    staged = staged.withColumn("_keys", F.when(F.col("outcome") == "text", F.col("_names"))
-                               .otherwise(F.transform("_names", F.lower)))
+    keys = F.when(F.col("outcome") == "text", F.col("_names")).otherwise(F.transform("_names", F.lower))
     first = F.filter(F.arrays_zip(F.col("_names").alias("zone"), F.col("_keys").alias("key"),
                                   F.col("_zones").alias("zone_object"),
                                   F.transform("_keys", lambda _, i: i).alias("position")),
                      lambda n: F.array_position(F.col("_keys"), n["key"]) == n["position"] + 1)
-    return staged.withColumn("_n", F.explode(first)).select(
+    return [whole, F.transform("_zones", zone_name), keys, F.explode(first)]
+
+
+def zone_rows(placed: DataFrame) -> DataFrame:
+    """One row per zone of a response: ``position``, ``zone`` (name) and ``zone_object``.
+
+    Reading stops at the first element that is not an object, and the first of
+    several zones with one name is taken; zones of a list are told apart without
+    regard to case, zones mentioned in a text with it.
+    """
+    staged = placed
+    for name, made in zip(("_zones", "_names", "_keys", "_n"), zone_steps()):
+        staged = staged.withColumn(name, made)
+    return staged.select(
         *[c for c in placed.columns if c not in ("zones", "response_text")],
         F.col("_n.position").alias("position"), F.col("_n.zone").alias("zone"),
         F.col("_n.zone_object").alias("zone_object"))
@@ -204,6 +219,19 @@ def zone_rows(placed: DataFrame) -> DataFrame:
 NUMBER_FIELDS = [f for f in fv.RULE_FIELDS if f not in fv.INTEGER_FIELDS]
 
 
+@built_once
+def field_columns(mode: str) -> tuple[Column, Column, list[Column]]:
+    """All values as numbers; the lot area after its repair; and the 29 fields with the exact stories."""
+    area = let(F.col("_numbers")[0], lambda a: numeric.fix_lot_area(a, area_zone_name(F.col("_name")), mode))
+    cell = {f: F.col("_numbers")[i] for i, f in enumerate(NUMBER_FIELDS)}
+    yards = {f: F.col("_numbers")[len(NUMBER_FIELDS) + i] for i, f in enumerate(fv.ACCESSORY_FALLBACK_KEYS)}
+    cell["interior_min_lot_area_sqft"] = F.col("_area")
+    cell = with_fallbacks(cell, yards)
+    cell["max_height_stories"] = v.whole_number(F.element_at("_values", -1))
+    return F.transform("_values", v.number), area, [*[cell[f].alias(f) for f in fv.RULE_FIELDS],
+                                                    F.element_at("_numbers", -1).alias("max_height_stories_exact")]
+
+
 def typed_fields(zones: DataFrame, mode: str = "compatible") -> DataFrame:
     """Replace ``zone_object`` by the 29 rule fields."""
     values = [*[_field(f) for f in NUMBER_FIELDS],
@@ -212,19 +240,12 @@ def typed_fields(zones: DataFrame, mode: str = "compatible") -> DataFrame:
     found = zones.selectExpr("*", *[_group(g) for g in fv.GROUP_KEYS]).selectExpr(
         *[c for c in zones.columns if c != "zone_object"], f"array({', '.join(values)}) AS _values",
         "zone_object.zone_name AS _name")
-    found = found.withColumn("_numbers", F.transform("_values", v.number))
-    found = found.withColumn("_area", let(F.col("_numbers")[0], lambda a: numeric.fix_lot_area(
-        a, area_zone_name(F.col("_name")), mode)))
-    cell = {f: F.col("_numbers")[i] for i, f in enumerate(NUMBER_FIELDS)}
-    yards = {f: F.col("_numbers")[len(NUMBER_FIELDS) + i] for i, f in enumerate(fv.ACCESSORY_FALLBACK_KEYS)}
-    cell["interior_min_lot_area_sqft"] = F.col("_area")
-    cell = with_fallbacks(cell, yards)
-    cell["max_height_stories"] = v.whole_number(F.element_at("_values", -1))
-    return found.select(
-        *[c for c in zones.columns if c != "zone_object"], *[cell[f].alias(f) for f in fv.RULE_FIELDS],
-        F.element_at("_numbers", -1).alias("max_height_stories_exact"))
+    numbers, area, fields = field_columns(mode)
+    found = found.withColumn("_numbers", numbers).withColumn("_area", area)
+    return found.select(*[c for c in zones.columns if c != "zone_object"], *fields)
 
 
+@built_once
 def confidence() -> Column:
     given = F.col("body.extraction_confidence")
     return (F.when(F.col("outcome") == "text", F.lit(fv.REGEX_CONFIDENCE))
