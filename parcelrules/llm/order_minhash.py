@@ -1,26 +1,28 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-A text is its sequence of five-word shingles (lower-cased words). A shingle is
-labelled with its occurrence number, so that repeats count. Each of ``SKETCHES``
+A text is its sequence of lower-cased words. Its k-mers are five-word shingles,
+labelled with their occurrence numbers, so that repeats count. Each of ``SKETCHES``
 seeds picks the ``PICKED`` labelled shingles of least hash and keeps them in text
 order; texts with an equal pick meet in a bucket. With picks in order, meeting is
-the likelier the smaller the edit distance, not only the larger the overlap.
+the likelier the smaller the edit distance, not only the larger the overlap. One edit
+breaks five shingles, too many of a short text's: texts of up to ``SHORT`` words also
+pick ``WORDS_PICKED`` labelled words for each of ``WORD_SKETCHES`` seeds.
 
-Two texts of n and m shingles are near when their alignment matches M shingles in
-order with M / (n + m - M) >= ``LEAST``. That measure is 1 less a metric (the
-biotope transform of the edit distance), which the search uses below. The
-alignment is the bit-parallel longest common subsequence in the band that texts
-near enough can't leave, so it is exact for them.
+Two texts of n and m words are near when their alignment matches M words in
+order with M / (n + m - M) >= ``LEAST``. So are all texts whose aligned shingles reach
+that share, and also those in which scattered edits break more shingles than words. The
+measure is 1 less a metric (the biotope transform of the edit distance), which the
+search uses below. The alignment is the bit-parallel longest common subsequence in the
+band that texts near enough can't leave, so it is exact for them.
 
 A bucket of near copies may hold a third of all texts, so no bucket is expanded
 into its pairs. First each text meets its bucket's pivot, the text with most company
 in all its buckets, for ``STARS`` rounds; what a round joins, or shows to be out
 of reach of any text left (by the triangle inequality), leaves the bucket. Then
 the bucket's guests, the texts outside its largest class, are compared with all
-texts left, in blocks of ``BLOCK`` by ``BLOCK`` texts: a task counts the shingles in
+texts left, in blocks of ``BLOCK`` by ``BLOCK`` texts: a task counts the words in
 common and aligns what could be near, and only links leave it. So no link between
-texts that share a bucket is lost; texts with a similarity of 0.8 miss
-all buckets with a chance of 2 in 10,000, nearer ones less.
+texts that share a bucket is lost. ``chance`` tells how likely a pair is to share one.
 
 Exact copies are one text throughout. Defined cases: a null or empty text is
 alone in its class, whose id is its doc_id; a text under five words has no
@@ -31,6 +33,7 @@ it gets, whatever they are named.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -42,8 +45,11 @@ from parcelrules.llm.components import components
 from parcelrules.operators.skew import splittable
 
 SHINGLE = 5
-SKETCHES = 16
-PICKED = 4
+SKETCHES = 24
+PICKED = 3
+SHORT = 40              # words; a text of 32 is near none of more
+WORD_SKETCHES = 12
+WORDS_PICKED = 4
 LEAST = 0.8
 STARS = 2
 BLOCK = 256
@@ -53,68 +59,86 @@ SEEDS = c.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B9
 
 # --- in the tasks -------------------------------------------------------------------
 
-def shingle_runs(column: pa.Array):
-    """Per text its shingle hashes."""
+def word_rows(column: pa.Array):
+    """Per text the hashes of its words and of its shingles."""
     raw, offsets = c.text_bytes(column)
     for low, high in c.slices(offsets):
         data = c.ASCII_LOWER[raw[offsets[low]:offsets[high]]]
         starts, ends, first = c.word_bounds(data, offsets[low:high + 1] - offsets[low], c.NO_WORD)
-        runs = c.run_hashes(c.range_hashes(data, starts, ends), SHINGLE)
+        words = c.range_hashes(data, starts, ends)
+        runs = c.run_hashes(words, SHINGLE)
         for a, b in zip(first[:-1], first[1:]):
-            yield runs[a:max(a, b - SHINGLE + 1)]
+            yield words[a:b], runs[a:max(a, b - SHINGLE + 1)]
 
 
-def labelled(shingles: np.ndarray) -> np.ndarray:
-    """The shingles with their occurrence numbers mixed in."""
-    order = np.argsort(shingles, kind="stable")
-    ranked = shingles[order]
+def labelled(mers: np.ndarray) -> np.ndarray:
+    """The words or shingles with their occurrence numbers mixed in."""
+    order = np.argsort(mers, kind="stable")
+    ranked = mers[order]
     begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    number = np.empty(len(shingles), np.uint64)
-    number[order] = np.arange(len(shingles)) - np.repeat(begin, np.diff(np.append(begin, len(shingles))))
-    return c.mix(shingles + number * LABEL)
+    number = np.empty(len(mers), np.uint64)
+    number[order] = np.arange(len(mers)) - np.repeat(begin, np.diff(np.append(begin, len(mers))))
+    return c.mix(mers + number * LABEL)
 
 
-def sketch(shingles: np.ndarray) -> list[int]:
-    """One bucket key per seed; none without shingles."""
-    if not len(shingles):
+def sketch(mers: np.ndarray, seeds: np.ndarray, picked: int) -> list[int]:
+    """One bucket key per seed; none without words or shingles."""
+    if not len(mers):
         return []
-    own = labelled(shingles)
+    own = labelled(mers)
     keys = []
-    for seed in SEEDS:
+    for seed in seeds:
         h = c.mix(own ^ seed)
-        pick = np.sort(np.argpartition(h, PICKED)[:PICKED]) if len(h) > PICKED else np.arange(len(h))
+        pick = np.sort(np.argpartition(h, picked)[:picked]) if len(h) > picked else np.arange(len(h))
         key = np.uint64(len(pick))
         for x in own[pick]:
             key = c.mix(np.array([key ^ x]))[0]
-        keys.append(int(key.view(np.int64)))
+        keys.append(int(key.view(np.int64)) or 1)
     return keys
 
 
-def sketches(columns: list[np.ndarray]) -> list[list[int]]:
-    """``sketch`` of many texts; the keys of texts with ``PICKED`` or more shingles are made together."""
+def sketches(columns: list[np.ndarray], seeds: np.ndarray, picked: int) -> list[list[int]]:
+    """``sketch`` of many texts; the keys of texts with over ``picked`` words or shingles are made together."""
     picks, owner, out = [], [], [[] for _ in columns]
-    for i, shingles in enumerate(columns):
-        if len(shingles) <= PICKED:
-            out[i] = sketch(shingles)
+    for i, mers in enumerate(columns):
+        if len(mers) <= picked:
+            out[i] = sketch(mers, seeds, picked)
             continue
-        own = labelled(shingles)
+        own = labelled(mers)
         if len(own) <= 1 << 14:
-            h = c.mix(own[None, :] ^ SEEDS[:, None])
-            at = np.sort(np.argpartition(h, PICKED, axis=1)[:, :PICKED], axis=1)
+            h = c.mix(own[None, :] ^ seeds[:, None])
+            at = np.sort(np.argpartition(h, picked, axis=1)[:, :picked], axis=1)
         else:
-            at = np.array([np.sort(np.argpartition(c.mix(own ^ seed), PICKED)[:PICKED]) for seed in SEEDS])
+            at = np.array([np.sort(np.argpartition(c.mix(own ^ seed), picked)[:picked]) for seed in seeds])
         picks.append(own[at])
         owner.append(i)
     if picks:
         x = np.stack(picks)
-        key = np.full(x.shape[:2], PICKED, np.uint64)
-        for k in range(PICKED):
+        key = np.full(x.shape[:2], picked, np.uint64)
+        for k in range(picked):
             key = c.mix(key ^ x[:, :, k])
+        key[key == 0] = 1
         for i, row in zip(owner, key.view(np.int64).tolist()):
             out[i] = row
     return out
 
 
+def text_keys(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
+    """All bucket keys of texts given by words and shingles: by shingles, then by words, 0 where a text has none of these."""
+    by_run = sketches([runs for _, runs in rows], SEEDS, PICKED)
+    by_word = sketches([words if SHINGLE <= len(words) <= SHORT else words[:0] for words, _ in rows], SEEDS[:WORD_SKETCHES], WORDS_PICKED)
+    return [a + (b or [0] * WORD_SKETCHES) if a else [] for a, b in zip(by_run, by_word)]
+
+
+def chance(one: np.ndarray, other: np.ndarray, seeds: int, picked: int) -> float:
+    """The chance that texts with these words or shingles share one of ``seeds`` buckets, if what they share stands in one order."""
+    if min(len(one), len(other)) < picked:
+        return float(len(one) == len(other) and bool((one == other).all()))
+    both = np.intersect1d(labelled(one), labelled(other), assume_unique=True).size
+    united = len(one) + len(other) - both
+    return 1 - (1 - math.comb(both, picked) / math.comb(united, picked)) ** seeds
+
+
 def matched(a: np.ndarray, b: np.ndarray, width: int) -> int:
     """The longest common subsequence over pairs of positions at most ``width`` apart, bit-parallel.
 
@@ -147,7 +171,7 @@ def matched(a: np.ndarray, b: np.ndarray, width: int) -> int:
 
 
 def reach(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Bounds of the distance of two texts' shingles; both the distance itself where it is at most 1 - LEAST."""
+    """Bounds of the distance of two texts' words; both the distance itself where it is at most 1 - LEAST."""
     n, m = len(a), len(b)
     if not n or not m:
         return 1.0, 1.0
@@ -189,7 +213,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def align(batches):
         for batch in batches:
-            bounds = [reach(a, b) for a, b in zip(shingle_runs(batch.column("pt")), shingle_runs(batch.column("xt")))]
+            bounds = [reach(a, b) for (a, _), (b, _) in zip(word_rows(batch.column("pt")), word_rows(batch.column("xt")))]
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("x"), pa.array([x[0] for x in bounds], pa.float64()),
                                               pa.array([x[1] for x in bounds], pa.float64())], names=["p", "x", "low", "high"])
 
@@ -221,26 +245,27 @@ def block_links(own: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
         seed = block.column("seed")[0].as_py()
         keys = np.array(block.column("keys").to_pylist(), np.int64)
         text = block.column("text").combine_chunks()
-        shingles = list(shingle_runs(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text))
+        words = [own for own, _ in word_rows(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)]
         mine, theirs = np.flatnonzero(guest), np.flatnonzero(~guest)
-        size = np.array([len(s) for s in shingles])
-        held = np.concatenate([labelled(shingles[t]) for t in theirs])
+        size = np.array([len(w) for w in words])
+        held = np.concatenate([labelled(words[t]) for t in theirs])
         order = np.argsort(held)
         held, owner = held[order], np.repeat(np.arange(len(theirs)), size[theirs])[order]
         near, found = 1 - LEAST + 1e-12, []
         for g in mine:
             # A pair is compared in the first of its buckets only.
             may = (root[theirs] != root[g]) & (low[theirs] - high[g] <= near) & (low[g] - high[theirs] <= near) & (
-                (keys[theirs] == keys[g]).argmax(1) == seed)
+                np.minimum(size[theirs], size[g]) >= (1 - near) * np.maximum(size[theirs], size[g])) & (
+                ((keys[theirs] == keys[g]) & (keys[g] != 0)).argmax(1) == seed)
             if not may.any():
                 continue
-            own = labelled(shingles[g])
+            own = labelled(words[g])
             begin, end = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
             count = end - begin
             at = np.arange(int(count.sum())) + np.repeat(begin - np.cumsum(count) + count, count)
             most = np.bincount(owner[at], minlength=len(theirs))
             may &= most >= (1 - near) * (size[theirs] + size[g] - most)
-            found += [(int(node[g]), int(node[t])) for t in theirs[may] if reach(shingles[g], shingles[t])[1] <= near]
+            found += [(int(node[g]), int(node[t])) for t in theirs[may] if reach(words[g], words[t])[1] <= near]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return full.groupBy("seed", "key", "i", "j").applyInArrow(compare, "a long, b long")
@@ -252,14 +277,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches):
         for batch in batches:
-            keys = sketches(list(shingle_runs(batch.column("text"))))
+            keys = text_keys(list(word_rows(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"),
                                               pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
 
     sketched = c.materialised(docs.where(F.octet_length("text") > 0).select("doc_id", F.xxhash64("text").alias("node"), "text")
                               .mapInArrow(run, "doc_id long, node long, keys array<long>"), "sketches")
     bucket = sketched.groupBy("node").agg(F.first("keys").alias("keys")).select(
-        "node", F.posexplode("keys").alias("seed", "key"))
+        "node", F.posexplode("keys").alias("seed", "key")).where("key <> 0")
     # A bucket is a seed's key; it stays while two texts of it may still be linked.
     crowd = bucket.groupBy("seed", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     crowded = c.materialised(bucket.join(splittable(crowd, "seed", "key"), ["seed", "key"]), "buckets", narrow=True)

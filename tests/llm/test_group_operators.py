@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelrules.llm import components, kd_shards, order_minhash, suffix_dedup, url_filter, warc
@@ -63,23 +64,20 @@ def family(rng, size, edits):
 
 
 def brute_classes(rows):
-    shingles = {}
-    for t in {t for _, t in rows if t}:
-        w = PLAIN.findall(t.lower())
-        shingles[t] = [tuple(w[a:a + 5]) for a in range(len(w) - 4)]
-    root = {t: t for t in shingles}
+    words = {t: PLAIN.findall(t.lower()) for t in {t for _, t in rows if t}}
+    root = {t: t for t in words}
 
     def find(t):
         while root[t] != t:
             t = root[t]
         return t
 
-    texts = list(shingles)
+    texts = [t for t in words if len(words[t]) >= 5]
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            x, y = shingles[a], shingles[b]
+            x, y = words[a], words[b]
             both = sum((collections.Counter(x) & collections.Counter(y)).values())
-            if x and y and both / (len(x) + len(y) - both) >= 0.8:
+            if both / (len(x) + len(y) - both) >= 0.8:
                 m = lcs(x, y)
                 if m / (len(x) + len(y) - m) >= 0.8:
                     root[find(a)] = find(b)
@@ -89,9 +87,62 @@ def brute_classes(rows):
     return sorted(sorted(map(str, g)) for g in groups.values())
 
 
+def edited(rng, words, edits):
+    """``edits`` words changed, dropped or added, each kind as often."""
+    own = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(own)), rng.randrange(3)
+        own[at:at + (kind < 2)] = [] if kind == 1 else [f"e{rng.randrange(10 ** 9)}"]
+    return own
+
+
+@pytest.mark.parametrize("length, edits", [(9, 1), (12, 1), (20, 1), (20, 2), (33, 2), (41, 2), (50, 3), (150, 8), (150, 12), (600, 30), (600, 50)])
+def test_near_copies_meet_at_every_length(length, edits):
+    rng = random.Random(length * 100 + edits)
+    near, met = 0, 0
+    for _ in range(150):
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(length)]
+        other = edited(rng, base, edits)
+        m = lcs(base, other)
+        pair = list(order_minhash.word_rows(pa.array([" ".join(base), " ".join(other)])))
+        (x, _), (y, _) = pair
+        assert (order_minhash.reach(x, y)[1] <= 0.2 + 1e-9) == (m / (len(base) + len(other) - m) >= 0.8)
+        if m / (len(base) + len(other) - m) < 0.8:
+            continue
+        near += 1
+        a, b = order_minhash.text_keys(pair)
+        met += any(p == q != 0 for p, q in zip(a, b))
+    assert near >= 75
+    # One word in twenty changed is found; nearer the bound some pairs of long texts share no bucket.
+    assert met >= (0.95 if length < 33 or edits <= length * 0.06 else 0.8) * near
+
+
+def test_keys_of_many_texts_are_those_of_each():
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(n)) for n in (0, 4, 5, 6, 7, 8, 32, 40, 41, 300)]
+    rows = list(order_minhash.word_rows(pa.array(texts)))
+    keys = order_minhash.text_keys(rows)
+    whole = order_minhash.SKETCHES + order_minhash.WORD_SKETCHES
+    assert [len(k) for k in keys] == [0, 0] + [whole] * 8
+    for (words, runs), own in zip(rows[2:], keys[2:]):
+        assert own[:order_minhash.SKETCHES] == order_minhash.sketch(runs, order_minhash.SEEDS, order_minhash.PICKED)
+        by_word = order_minhash.sketch(words, order_minhash.SEEDS[:order_minhash.WORD_SKETCHES], order_minhash.WORDS_PICKED)
+        assert own[order_minhash.SKETCHES:] == (by_word if len(words) <= order_minhash.SHORT else [0] * order_minhash.WORD_SKETCHES)
+
+
+def test_chance_of_a_shared_bucket():
+    one, other = np.arange(10, dtype=np.uint64), np.arange(2, 12, dtype=np.uint64)
+    assert order_minhash.chance(one, other, 1, 3) == pytest.approx(56 / 220)
+    assert order_minhash.chance(one, one, 5, 3) == 1
+    assert order_minhash.chance(one[:2], other, 5, 3) == 0
+
+
 def test_classes_match_all_pairs(spark):
     rng = random.Random(4)
     texts = family(rng, 60, 6) + family(rng, 40, 2) + [f"only {i} few words" for i in range(5)] + family(rng, 3, 1)
+    # Short texts: near ones, and others that share their opening only.
+    title = [f"t{i}" for i in range(20)]
+    texts += [" ".join(edited(rng, title, 1)) for _ in range(12)] + [" ".join(title[:10] + [f"x{i}{j}" for j in range(8)]) for i in range(12)]
     rows = list(enumerate(texts)) + [(500, texts[0]), (501, texts[0]), (502, None), (503, ""), (504, "Few WORDS"), (505, "Few WORDS")]
     got = order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     groups = collections.defaultdict(list)
