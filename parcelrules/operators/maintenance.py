@@ -46,6 +46,17 @@ def upsert(old: DataFrame, changes: DataFrame, keys: list[str] = UPSERT_KEY,
     return latest_per_key(both, keys, ["_new", *order]).drop("_new")
 
 
+def upsert_touching(old: DataFrame, changes: DataFrame, now: Column, keys: list[str] = UPSERT_KEY,
+                    order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """As :func:`upsert`; a row that replaced another, of the table or of the batch, has ``updated_at`` = ``now``."""
+    ordering = ["_new", *order]
+    rest = [c for c in old.columns if c not in keys]
+    both = old.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
+    won = both.groupBy(*_conflict_key(keys, ordering)).agg(
+        F.max_by(F.struct(*rest), F.struct(*ordering)).alias("_row"), ((F.max("_new") == 1) & (F.count(F.lit(1)) > 1)).alias("_hit"))
+    return touched(won.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], "_hit"), F.col("_hit"), now).select(*old.columns)
+
+
 def upsert_keep_created(old: DataFrame, changes: DataFrame, keys: list[str] = UPSERT_KEY,
                         order: tuple[str, ...] = ("created_at", "id"),
                         kept: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
@@ -228,13 +239,21 @@ def append_rows(old: DataFrame, new: DataFrame, defaults: dict[str, Column]) ->
     return old.unionByName(new.select(*[filled(c).cast(old.schema[c].dataType).alias(c) for c in old.columns]))
 
 
-def record_tests(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Append test rows; a failed run scores zero, and the location score is full unless said."""
+def record_tests(old: DataFrame, new: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """Append test rows; a failed run scores zero, and the location score of others is full unless said.
+
+    Where the table has ``test_batch_id``, rows without one get ``batch_id``, or a batch of their own
+    named by a hash of the run.
+    """
     ok = F.coalesce(F.col("extraction_success"), F.lit(True)) if "extraction_success" in new.columns else F.lit(True)
     scores = ("overall_accuracy_score", "zone_identification_accuracy", "field_extraction_accuracy")
-    zero = F.when(~ok, F.lit(0.0))
-    return append_rows(old, new, {"location_extraction_accuracy": F.lit(1.0), "test_epoch": F.lit(1), "extraction_success": F.lit(True),
-                                  **{s: zero for s in scores if s in old.columns}})
+    defaults = {s: F.when(~ok, F.lit(0.0)) for s in scores if s in old.columns}
+    defaults |= {"location_extraction_accuracy": F.when(~ok, F.lit(0.0)).otherwise(1.0), "test_epoch": F.lit(1), "extraction_success": F.lit(True)}
+    if "test_batch_id" in old.columns:
+        run = [c for c in ("prompt_experiment_id", "ground_truth_doc_id", "part_id", "test_epoch", "test_date") if c in new.columns]
+        own = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in run]), 256)
+        defaults["test_batch_id"] = own if batch_id is None else F.lit(batch_id)
+    return append_rows(old, new, defaults)
 
 
 def add_experiments(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parcelrules.operators import maintenance as m, quality, stats
+from parcelrules.operators import guarded, maintenance as m, quality, stats
 from parcelrules.plans.registry import query, rounded
 from parcelrules.plans.suite_reports import STATS_COLUMNS, STATS_SQL
 
@@ -12,6 +12,7 @@ REQ, CHG, JOBS, DOCS = "requirements", "requirement_changes", "jobs", "zdocument
 KEY = "town, county, state, zone"
 VALUES = "job_id, interior_min_lot_area_sqft, principal_front_yard_ft, max_lot_coverage_percent, " \
          "round(extraction_confidence, 9) AS extraction_confidence"
+NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 
 
 @query("upsert_requirements", f"""
@@ -23,6 +24,17 @@ def upsert_requirements(t):
     return rounded(m.upsert(t.requirements, t.requirement_changes))
 
 
+@query("upsert_touching", f"""
+    WITH u AS (SELECT *, 0 AS pr FROM requirements UNION ALL BY NAME SELECT *, 1 AS pr FROM requirement_changes),
+    r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY {KEY}, CASE WHEN county IS NULL THEN id END) AS n
+          FROM u WINDOW w AS (PARTITION BY {KEY}, CASE WHEN county IS NULL THEN id END ORDER BY pr DESC, created_at DESC, id DESC))
+    SELECT id, {KEY}, {VALUES}, created_at, CASE WHEN pr = 1 AND n > 1 THEN {NOW} ELSE created_at END AS updated_at
+    FROM r WHERE rn = 1""", (REQ, CHG))
+def upsert_touching(t):
+    stamped = [rows.withColumn("updated_at", F.col("created_at")) for rows in (t.requirements, t.requirement_changes)]
+    return rounded(m.upsert_touching(*stamped, F.expr(NOW)))
+
+
 @query("upsert_keep_created", f"""
     WITH u AS (SELECT *, 0 AS pr FROM requirements UNION ALL BY NAME SELECT *, 1 AS pr FROM requirement_changes),
     r AS (SELECT *, row_number() OVER w AS rn,
@@ -155,7 +167,6 @@ def toggle_experiment(t):
     return m.toggle_experiment(t.experiments, 7, False)
 
 
-NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 
 
 @query("toggle_touches", f"""SELECT * EXCLUDE (is_active), CASE WHEN id = 7 THEN FALSE ELSE is_active END AS is_active,
@@ -185,13 +196,70 @@ def add_gt_documents(t):
     return m.add_gt_documents(t.gt_documents, new)
 
 
-@query("record_failed_tests", """SELECT ground_truth_doc_id, prompt_experiment_id, 0.0 AS overall_accuracy_score, 1 AS test_epoch
-    FROM tests WHERE NOT extraction_success""", ("tests",), {"overall_accuracy_score": "DOUBLE", "test_epoch": "INTEGER"})
+# New truth rows: some of an unknown document, without a zone, below zero, of a key the table has or the batch has twice.
+def new_truth(shift: int, half: int) -> list[str]:
+    return [f"id + {shift} AS id", "CASE WHEN id % 5 = 0 THEN id + 900000000 ELSE ground_truth_doc_id END AS ground_truth_doc_id",
+            "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN zone ELSE 'New' END AS zone",
+            f"CASE WHEN id % 13 = 0 AND id % 2 = {half} THEN -1 ELSE interior_min_lot_area_sqft END AS interior_min_lot_area_sqft",
+            "principal_front_yard_ft"]
+
+
+TRUTH_BATCH = f"""SELECT {', '.join(new_truth(10000000, 0))} FROM gt_requirements
+    UNION ALL SELECT {', '.join(new_truth(20000000, 1))} FROM gt_requirements WHERE id % 7 < 3"""
+TRUTH_SQL = f"""n AS ({TRUTH_BATCH}),
+    j AS (SELECT *, zone IS NULL AS no_zone, interior_min_lot_area_sqft < 0 AS below, ground_truth_doc_id NOT IN (SELECT id FROM gt_documents) AS lost,
+                 EXISTS (SELECT 1 FROM gt_requirements g WHERE g.ground_truth_doc_id = n.ground_truth_doc_id AND g.zone = n.zone) AS taken FROM n),
+    k AS (SELECT *, min(CASE WHEN NOT (no_zone OR below OR lost) THEN id END) OVER (PARTITION BY ground_truth_doc_id, zone) AS first_id FROM j),
+    judged AS (SELECT *, concat_ws('; ', CASE WHEN no_zone THEN 'zone not null' END,
+        CASE WHEN below THEN 'interior_min_lot_area_sqft not negative' END, CASE WHEN lost THEN 'ground_truth_doc_id unknown' END,
+        CASE WHEN taken THEN 'key taken' WHEN NOT (no_zone OR below OR lost) AND id <> first_id THEN 'key twice' END) AS reasons FROM k)"""
+
+
+def judged_truth(t):
+    old = t.gt_requirements
+    new = old.selectExpr(*new_truth(10000000, 0)).unionByName(old.where("id % 7 < 3").selectExpr(*new_truth(20000000, 1)))
+    return guarded.truth_rows(old, new, t.gt_documents)
+
+
+@query("guarded_truth_rejects", f"""WITH {TRUTH_SQL} SELECT id, ground_truth_doc_id, zone, reasons FROM judged WHERE reasons <> ''""",
+       ("gt_documents", "gt_requirements"))
+def guarded_truth_rejects(t):
+    _, bad = guarded.append(t.gt_requirements, judged_truth(t))
+    return bad.select("id", "ground_truth_doc_id", "zone", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("guarded_truth_table", f"""WITH {TRUTH_SQL} SELECT * FROM gt_requirements UNION ALL SELECT id, ground_truth_doc_id, zone,
+    interior_min_lot_area_sqft, principal_front_yard_ft, NULL, NULL, NULL FROM judged WHERE reasons = ''""", ("gt_documents", "gt_requirements"))
+def guarded_truth_table(t):
+    return guarded.append(t.gt_requirements, judged_truth(t))[0]
+
+
+@query("guarded_tests", """
+    WITH n AS (SELECT * REPLACE (CASE WHEN part_id % 9 = 0 THEN prompt_experiment_id + 900000000 ELSE prompt_experiment_id END AS prompt_experiment_id,
+        overall_accuracy_score * (CASE WHEN part_id % 8 = 0 THEN 1.2 ELSE 1 END) AS overall_accuracy_score) FROM tests)
+    SELECT prompt_experiment_id, ground_truth_doc_id, part_id, test_epoch, concat_ws('; ',
+        CASE WHEN overall_accuracy_score > 1 THEN 'overall_accuracy_score within 0..1' END,
+        CASE WHEN prompt_experiment_id NOT IN (SELECT id FROM experiments) THEN 'prompt_experiment_id unknown' END,
+        CASE WHEN ground_truth_doc_id NOT IN (SELECT id FROM gt_documents) THEN 'ground_truth_doc_id unknown' END) AS reasons
+    FROM n""", ("experiments", "gt_documents", "tests"))
+def guarded_tests(t):
+    wrong = F.when(F.col("part_id") % 9 == 0, F.col("prompt_experiment_id") + 900000000).otherwise(F.col("prompt_experiment_id"))
+    new = t.tests.withColumn("prompt_experiment_id", wrong).withColumn(
+        "overall_accuracy_score", F.col("overall_accuracy_score") * F.when(F.col("part_id") % 8 == 0, 1.2).otherwise(1.0))
+    told = guarded.judged(t.tests, new, quality.rules("tests", new.columns), {
+        "prompt_experiment_id": t.experiments, "ground_truth_doc_id": t.gt_documents})
+    return told.select("prompt_experiment_id", "ground_truth_doc_id", "part_id", "test_epoch", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("record_failed_tests", """SELECT ground_truth_doc_id, prompt_experiment_id, 0.0 AS overall_accuracy_score,
+    0.0 AS location_extraction_accuracy, 1 AS test_epoch
+    FROM tests WHERE NOT extraction_success""",
+       ("tests",), {"overall_accuracy_score": "DOUBLE", "location_extraction_accuracy": "DOUBLE", "test_epoch": "INTEGER"})
 def record_failed_tests(t):
     new = t.tests.where("NOT extraction_success").select("prompt_experiment_id", "ground_truth_doc_id", "test_date", "extraction_success")
     both = m.record_tests(t.tests.where("extraction_success"), new)
     return both.where("NOT extraction_success").select("ground_truth_doc_id", "prompt_experiment_id", "overall_accuracy_score",
-                                                       F.col("test_epoch").cast("int").alias("test_epoch"))
+                                                       "location_extraction_accuracy", F.col("test_epoch").cast("int").alias("test_epoch"))
 
 
 @query("record_tests", f"""WITH {STATS_SQL.replace('FROM tests GROUP', 'FROM (SELECT * FROM tests UNION ALL '

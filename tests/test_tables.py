@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from parcelrules.operators import maintenance as m, quality, stats
+from parcelrules.operators import guarded, maintenance as m, quality, stats
 from parcelrules.sources import files, sinks
 from parcelrules.streaming import flows
 
@@ -262,3 +262,45 @@ def test_pages_by_key_past_the_offset_limit(spark):
     first = rows.where("id < 150").orderBy("created_at", "id").collect()
     rest = search.after(rows.where("id < 150"), {"created_at": None, "id": 50}).orderBy("created_at", "id").collect()
     assert rest == first[2:]
+
+
+def test_guarded_rows_match_one_by_one_appends(spark):
+    rng = random.Random(12)
+    kind = "id int, doc int, zone string, size double"
+    old = [(i, i % 9, f"z{i // 9}", 1.0) for i in range(27)]
+    new = [(100 + i, rng.choice([None, *range(14)]), rng.choice([None, "z0", "z1", "z5", "z6"]), rng.choice([-1.0, None, 2.0])) for i in range(200)]
+    held, reasons = {(d, z) for _, d, z, _ in old}, {}
+    taken = set(held)
+    for i, doc, zone, size in new:
+        why = [*(["size not negative"] if size is not None and size < 0 else []), *(["doc unknown"] if doc is not None and doc > 11 else [])]
+        if doc is not None and zone is not None:
+            if (doc, zone) in held:
+                why.append(guarded.TAKEN)
+            elif not why and (doc, zone) in taken:
+                why.append(guarded.TWICE)
+            elif not why:
+                taken.add((doc, zone))
+        reasons[i] = why
+    parents = spark.createDataFrame([(i,) for i in [*range(12), None, 3]], "id int")
+    table = spark.createDataFrame(old, kind)
+    told = guarded.judged(table, spark.createDataFrame(new, kind), {"size not negative": F.col("size") >= 0}, {"doc": parents},
+                          ["doc", "zone"], ["id"])
+    assert {r.id: r.reasons for r in told.collect()} == reasons
+    assert {w for why in reasons.values() for w in why} == {"size not negative", "doc unknown", guarded.TAKEN, guarded.TWICE}
+    good, bad = guarded.append(table, told, {"size": F.lit(0.0)})
+    assert {r.id for r in good.collect()} == {r[0] for r in old} | {i for i, why in reasons.items() if not why}
+    assert good.where("size IS NULL").count() == 0 and bad.count() == sum(1 for why in reasons.values() if why)
+    none = table.limit(0)
+    assert guarded.judged(none, none, {}, {"doc": parents}, ["doc", "zone"], ["id"]).count() == 0
+
+
+def test_failed_runs_score_zero_and_batches_are_named(spark):
+    kind = "prompt_experiment_id int, ground_truth_doc_id int, extraction_success boolean, {} test_batch_id string"
+    scores = "overall_accuracy_score double, location_extraction_accuracy double, test_epoch int,"
+    old = spark.createDataFrame([], kind.format(scores))
+    new = spark.createDataFrame([(1, 1, False, None), (1, 2, True, None), (2, 1, None, "mine")], kind.format(""))
+    rows = {(r.prompt_experiment_id, r.ground_truth_doc_id): r for r in m.record_tests(old, new).collect()}
+    assert (rows[1, 1].overall_accuracy_score, rows[1, 1].location_extraction_accuracy) == (0.0, 0.0)
+    assert (rows[1, 2].overall_accuracy_score, rows[1, 2].location_extraction_accuracy) == (None, 1.0)
+    assert rows[2, 1].extraction_success and rows[2, 1].test_batch_id == "mine" and rows[1, 1].test_batch_id != rows[1, 2].test_batch_id
+    assert {r.test_batch_id for r in m.record_tests(old, new, "b7").collect()} == {"b7", "mine"}
