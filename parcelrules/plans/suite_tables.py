@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parcelrules.operators import guarded, maintenance as m, quality, stats
 from parcelrules.plans.registry import query, rounded
 from parcelrules.plans.suite_reports import STATS_COLUMNS, STATS_SQL
+from parcelrules.sources import footers
 
 REQ, CHG, JOBS, DOCS = "requirements", "requirement_changes", "jobs", "zdocuments"
 KEY = "town, county, state, zone"
@@ -357,3 +358,14 @@ def experiment_violations(t):
 def plausibility_flags(t):
     truth = t.gt_requirements
     return quality.violations(truth, quality.plausibility_rules(truth.columns), ["id"])
+
+
+COUNTED = {"documents": ("doc_id", "text"), "orders": ("o_orderkey", "o_orderdate"), "lineitem": ("l_orderkey", "l_shipdate"),
+           "part": ("p_partkey", "p_brand"), "supplier": ("s_suppkey", "s_acctbal")}
+
+
+@query("footer_counts", " UNION ALL ".join(
+    f"""SELECT '{n}' AS table_name, count(*) AS row_count, CAST(min({k}) AS BIGINT) AS least_id, CAST(max({k}) AS BIGINT) AS greatest_id,
+    count({o}) AS filled_rows FROM {n}""" for n, (k, o) in COUNTED.items()))
+def footer_counts(t):
+    return footers.footer_counts(t.spark, {n: (f"{t.folder.rstrip('/')}/{n}.parquet", k, o) for n, (k, o) in COUNTED.items()})

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelrules.operators import guarded, maintenance as m, quality, stats
-from parcelrules.sources import files, sinks
+from parcelrules.sources import files, footers, sinks
 from parcelrules.streaming import flows
 
 T0 = datetime(2024, 1, 1)
@@ -304,3 +304,17 @@ def test_failed_runs_score_zero_and_batches_are_named(spark):
     assert (rows[1, 2].overall_accuracy_score, rows[1, 2].location_extraction_accuracy) == (None, 1.0)
     assert rows[2, 1].extraction_success and rows[2, 1].test_batch_id == "mine" and rows[1, 1].test_batch_id != rows[1, 2].test_batch_id
     assert {r.test_batch_id for r in m.record_tests(old, new, "b7").collect()} == {"b7", "mine"}
+
+
+def test_counts_come_from_the_footers(spark, tmp_path):
+    rows = [(i, None if i % 3 else f"t{i}") for i in range(50)]
+    whole, none = str(tmp_path / "whole"), str(tmp_path / "none")
+    spark.createDataFrame(rows, "id int, name string").repartition(4).write.parquet(whole)
+    spark.createDataFrame([], "id int, name string").write.parquet(none)
+    before = spark.conf.get(footers.V1_SOURCES)
+    got = footers.footer_counts(spark, {"whole": (whole, "id", "name"), "none": (none, "id", "name")})
+    assert spark.conf.get(footers.V1_SOURCES) == before
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(id), MAX(id), COUNT(name)]" in plan
+    assert "ReadSchema: struct<count(*):bigint,min(id):int,max(id):int,count(name):bigint>" in plan
+    assert {tuple(r) for r in got.collect()} == {("whole", 50, 0, 49, 17), ("none", 0, None, None, 0)}
