@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 V1_SOURCES = "spark.sql.sources.useV1SourceList"
 
@@ -26,6 +26,11 @@ def opened(spark: SparkSession, folder: str) -> DataFrame:
         spark.conf.set(V1_SOURCES, before)
 
 
+def zero_if_none(count: str) -> Column:
+    """Counts from footers are summed, and the sum over files without rows is null, though Spark takes a count for never null."""
+    return F.coalesce(F.nullif(F.col(count), F.lit(-1)), F.lit(0)).alias(count)
+
+
 def footer_counts(spark: SparkSession, tables: dict[str, tuple[str, str, str]]) -> DataFrame:
     """One row per table of ``tables`` (name -> folder, key, other column): rows, bounds of the key, rows with the column filled.
 
@@ -33,8 +38,7 @@ def footer_counts(spark: SparkSession, tables: dict[str, tuple[str, str, str]])
     """
     parts = [opened(spark, folder).agg(F.count(F.lit(1)).alias("row_count"), F.min(key).alias("least_id"), F.max(key).alias("greatest_id"),
                                        F.count(other).alias("filled_rows"))
-             # Counts from footers are summed, and the sum over files without rows is null.
-             .select(F.lit(name).alias("table_name"), F.coalesce("row_count", F.lit(0)).alias("row_count"), F.col("least_id").cast("long").alias("least_id"),
-                     F.col("greatest_id").cast("long").alias("greatest_id"), F.coalesce("filled_rows", F.lit(0)).alias("filled_rows"))
+             .select(F.lit(name).alias("table_name"), zero_if_none("row_count"), F.col("least_id").cast("long").alias("least_id"),
+                     F.col("greatest_id").cast("long").alias("greatest_id"), zero_if_none("filled_rows"))
              for name, (folder, key, other) in tables.items()]
     return reduce(DataFrame.unionByName, parts)
