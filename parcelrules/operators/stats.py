@@ -105,10 +105,14 @@ def test_summary(experiments: DataFrame, tests: DataFrame, start: datetime, end:
     """
     inside = F.col("test_date").between(F.lit(start), F.lit(end)) | F.col("test_date").isNull()
     acc = F.col("overall_accuracy_score")
-    per_exp = tests.groupBy(F.col("prompt_experiment_id").alias("id")).agg(
+    return summary_of(experiments, tests.groupBy(F.col("prompt_experiment_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(acc).alias("mean"),
         F.count_if(inside).alias("n_in"), F.count(F.when(inside, acc)).alias("k_in"),
-        F.sum(F.when(inside, acc)).alias("sum_in"))
+        F.sum(F.when(inside, acc)).alias("sum_in")))
+
+
+def summary_of(experiments: DataFrame, per_exp: DataFrame) -> DataFrame:
+    """The summary from one row per experiment: all-time tests ``n`` and ``mean``, the period's ``n_in``, ``k_in`` and ``sum_in``."""
     rows = experiments.join(per_exp, "id", "left")
     n, mean = F.coalesce("n", F.lit(0)), F.coalesce("mean", F.lit(0.0))
     kept = F.col("n").isNull() | (F.col("n_in") > 0)

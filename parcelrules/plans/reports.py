@@ -62,22 +62,32 @@ def test_results_export(tests: DataFrame, experiments: DataFrame, gt_documents:
         scores.band(F.col("zone_identification_accuracy"), fv.ZONE_BANDS).alias("zone_extraction_category"))
 
 
+DAILY_SUMS = ("overall_accuracy_score", "zone_identification_accuracy", "field_extraction_accuracy",
+              "processing_time_seconds", "llm_tokens_used")
+
+
+def daily_partials(tests: DataFrame, sums: tuple[str, ...] = DAILY_SUMS) -> DataFrame:
+    """Sums and counts per day and experiment, from which any daily or total mean follows."""
+    return tests.groupBy(F.to_date("test_date").alias("day"), F.col("prompt_experiment_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("tests"), F.count_if("extraction_success").alias("ok"),
+        *[F.sum(c).alias(f"s_{c}") for c in sums], *[F.count(c).alias(f"n_{c}") for c in sums])
+
+
 def _daily(tests: DataFrame, experiments: DataFrame, dims: list[str], sums: dict[str, str],
-           as_of: str, days: int) -> DataFrame:
-    """Daily sums and counts per prompt, reduced by experiment before the join."""
-    partial = (
-        tests.where(last_days("test_date", as_of, days))
-        .groupBy(F.to_date("test_date").alias("day"), F.col("prompt_experiment_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("tests"), F.count_if("extraction_success").alias("ok"),
-             *[F.sum(c).alias(f"s_{n}") for n, c in sums.items()],
-             *[F.count(c).alias(f"n_{n}") for n, c in sums.items()]))
+           as_of: str, days: int, partials: DataFrame | None = None) -> DataFrame:
+    """Daily sums and counts per prompt, reduced by experiment before the join; from stored ``partials`` where given."""
+    if partials is None:
+        partial = daily_partials(tests.where(last_days("test_date", as_of, days)), tuple(sums.values()))
+    else:
+        partial = partials.where(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days))
     joined = partial.join(experiments.select("id", *dims), "id")
     return joined.groupBy("day", *dims).agg(
         F.sum("tests").alias("tests"), F.sum("ok").alias("ok"),
-        *[F.try_divide(F.sum(f"s_{n}"), F.sum(f"n_{n}")).alias(n) for n in sums])
+        *[F.try_divide(F.sum(f"s_{c}"), F.sum(f"n_{c}")).alias(n) for n, c in sums.items()])
 
 
-def accuracy_trends(tests: DataFrame, experiments: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+def accuracy_trends(tests: DataFrame | None, experiments: DataFrame, as_of: str, days: int = 90,
+                    partials: DataFrame | None = None) -> DataFrame:
     """Daily means per prompt and model with a trend and a 1-5 rating.
 
     ``accuracy_trend`` compares with the row before it in report order (newest
@@ -87,7 +97,7 @@ def accuracy_trends(tests: DataFrame, experiments: DataFrame, as_of: str, days:
              "daily_avg_zone_accuracy": "zone_identification_accuracy",
              "daily_avg_field_accuracy": "field_extraction_accuracy",
              "avg_processing_time": "processing_time_seconds", "avg_tokens_used": "llm_tokens_used"}
-    daily = _daily(tests, experiments, ["prompt_name", "prompt_version", "llm_model"], means, as_of, days)
+    daily = _daily(tests, experiments, ["prompt_name", "prompt_version", "llm_model"], means, as_of, days, partials)
     prompt = Window.partitionBy("prompt_name", "prompt_version")
     acc = F.col("daily_avg_accuracy")
     newest_first = prompt.orderBy(F.desc("day"), F.desc_nulls_first("daily_avg_accuracy"), "llm_model")
@@ -101,11 +111,12 @@ def accuracy_trends(tests: DataFrame, experiments: DataFrame, as_of: str, days:
     ).orderBy(F.desc("test_date"), F.desc_nulls_first("daily_avg_accuracy"))
 
 
-def accuracy_timeline(tests: DataFrame, experiments: DataFrame, as_of: str, days: int = 90) -> DataFrame:
+def accuracy_timeline(tests: DataFrame | None, experiments: DataFrame, as_of: str, days: int = 90,
+                      partials: DataFrame | None = None) -> DataFrame:
     """Daily accuracy per prompt against the day's baseline and the prompt's day before."""
     means = {"daily_accuracy": "overall_accuracy_score", "daily_zone_accuracy": "zone_identification_accuracy",
              "daily_field_accuracy": "field_extraction_accuracy"}
-    daily = _daily(tests, experiments, ["prompt_name", "prompt_version", "is_baseline"], means, as_of, days)
+    daily = _daily(tests, experiments, ["prompt_name", "prompt_version", "is_baseline"], means, as_of, days, partials)
     acc = F.col("daily_accuracy")
     # A window over the day's prompt means: joining a second aggregate would scan the facts twice.
     baseline = F.avg(F.when(F.col("is_baseline"), acc)).over(Window.partitionBy("day"))

@@ -19,20 +19,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-EMPTY = {"version": 0, "sources": {}, "snapshot": None, "commits": []}
 
+class Manifests:
+    """Numbered manifests under ``base``; the newest says what may be read."""
 
-class Ledger:
-    """Tables under ``base``; ``tables`` names each one's schema (a DDL string or a StructType)."""
+    EMPTY: dict = {"version": 0, "sources": {}}
 
-    def __init__(self, spark: SparkSession, base: str, tables: dict[str, str | StructType]):
+    def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
-        self.tables = {n: StructType.fromDDL(t) if isinstance(t, str) else t for n, t in tables.items()}
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(base).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    # --- manifests ---
-
     def versions(self) -> list[int]:
         found = self._fs.globStatus(self._path(f"{self.base}/_commits/*.json")) or []
         return sorted(int(s.getPath().getName().split(".")[0]) for s in found)
@@ -41,7 +38,7 @@ class Ledger:
         """The newest manifest, or that of an older version."""
         known = self.versions()
         if not known:
-            return dict(EMPTY)
+            return dict(self.EMPTY)
         name = f"{self.base}/_commits/{known[-1] if version is None else version:012d}.json"
         stream = self._fs.open(self._path(name))
         try:
@@ -67,6 +64,16 @@ class Ledger:
         """The number of the next commit."""
         return self.state()["version"] + 1
 
+
+class Ledger(Manifests):
+    """Tables under ``base``; ``tables`` names each one's schema (a DDL string or a StructType)."""
+
+    EMPTY = {"version": 0, "sources": {}, "snapshot": None, "commits": []}
+
+    def __init__(self, spark: SparkSession, base: str, tables: dict[str, str | StructType]):
+        super().__init__(spark, base)
+        self.tables = {n: StructType.fromDDL(t) if isinstance(t, str) else t for n, t in tables.items()}
+
     # --- tables ---
 
     def folder(self, table: str, number: int) -> str:
