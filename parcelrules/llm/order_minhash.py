@@ -272,7 +272,7 @@ def block_links(own: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sketch table (doc_id, node) and the edges (a, b) between near texts."""
+    """The sketch table (doc_id, node) and edges (a, b) that join each class's texts: those of the last comparison as they are, those before by their roots."""
     near = 1 - LEAST + 1e-12
 
     def run(batches):
@@ -305,12 +305,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = told.where(F.col("high") > near).groupBy("seed", "key").agg(F.min("low").alias("nearest"))
         active = c.materialised(told.join(splittable(left, "seed", "key"), ["seed", "key"]).where(
             (F.col("high") > near) | (F.col("nearest") - F.col("high") <= near)).select("seed", "key", "node", "company", "low", "high"), "buckets", narrow=True)
-    edges = c.materialised(done, "edges", narrow=True)
-    roots = components(edges)
+    roots = components(done)
     own = active.join(splittable(roots, "node"), "node", "left").select(
         "seed", "key", "node", "low", "high", F.coalesce("root", "node").alias("root"))
     last = block_links(own, sketched.groupBy("node").agg(F.first("keys").alias("keys")), texts)
-    return sketched.select("doc_id", "node"), c.materialised(edges.unionByName(last), "edges", narrow=True)
+    # The roots stand for the edges they were made of, so that these need not be joined a second time.
+    return sketched.select("doc_id", "node"), roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last)
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -346,3 +346,18 @@ def test_filter_has_no_false_negative(spark):
     asked = spark.range(9000).selectExpr("CAST(id AS STRING) AS key", "id")
     got = url_filter.possible(asked, keys).where("maybe")
     assert got.where("id < 3000").count() == 3000 and got.where("id >= 3000").count() < 300
+
+
+def test_components_of_settled_edges_take_no_round(spark, monkeypatch):
+    """Stars on their least node need no star operation; any graph gets its least nodes."""
+    edges = [(a, b) for a in range(40) for b in (a * 7 % 40, a * 11 % 40) if a % 3 == b % 3] + [(90, 91), (91, 92), (95, 95)]
+    root = {x: x for e in edges[:-1] for x in e if e[0] != e[1]}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    found = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in found.collect()} == root and found.count() == len(root)
+    monkeypatch.setattr(components, "large_star", lambda _: pytest.fail("a round for nothing"))
+    again = components.components(found.selectExpr("root AS a", "node AS b"))
+    assert {r.node: r.root for r in again.collect()} == root
