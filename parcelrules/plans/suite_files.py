@@ -186,6 +186,8 @@ def stream_document_requirements(t):
 
 # A file is read at once, after one or two more attempts, or never, as its length in bytes says.
 DOCS_IN_FILE = 50
+# Of files in a batch: what the cluster works off in a few seconds, whatever the size of one file.
+UPLOAD_BYTES = 256 << 20
 
 
 @query("stream_retries", f"""
@@ -197,7 +199,7 @@ def stream_retries(t):
     part = F.floor(F.col("doc_id") / DOCS_IN_FILE).alias("part")
     t.documents.select(part, "text").repartition("part").write.partitionBy("part").text(folder)
     read = lambda content, attempt: F.when(F.octet_length(content) % 4 < attempt, files.text_of(content))
-    flow.take_uploads(flows.file_stream(t.spark, folder, glob="*.txt", files_per_batch=100), f"{base}/tables", f"{base}/checkpoint", read)
+    flow.take_uploads(flows.file_stream(t.spark, folder, glob="*.txt", bytes_per_batch=UPLOAD_BYTES), f"{base}/tables", f"{base}/checkpoint", read)
     flow.retry_uploads(t.spark, f"{base}/tables", read)
     ledger = flow.upload_ledger(t.spark, f"{base}/tables")
     ledger.compact()

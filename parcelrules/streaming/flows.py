@@ -36,14 +36,19 @@ def batch_folder(target: str, batch_id: int) -> str:
 
 
 def file_stream(spark: SparkSession, folder: str, archive: str | None = None,
-                files_per_batch: int | None = None, glob: str = "*") -> DataFrame:
-    """New files of a folder, each once; with ``archive`` they are moved there when done."""
+                files_per_batch: int | None = None, glob: str = "*", bytes_per_batch: int | None = None) -> DataFrame:
+    """New files of a folder, each once; with ``archive`` they are moved there when done.
+
+    A batch has a cost of its own, so many small files go better by ``bytes_per_batch`` than by number.
+    """
     reader = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
               .option("pathGlobFilter", glob))
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.load(folder)
 
 

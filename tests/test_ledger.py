@@ -127,3 +127,17 @@ def test_compaction_keeps_retry_rounds(spark, tmp_path):
 def test_a_written_replacement_character_stays(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("a�b".encode() + b"\xff\xc3" + "ü�".encode())
     assert [r.text for r in files.scan_documents(spark, str(tmp_path)).collect()] == ["a�bü�"]
+
+
+def test_small_files_come_in_few_batches(spark, tmp_path):
+    """By bytes, the number of batches follows the bytes, not the number of files."""
+    source, base = tmp_path / "in", str(tmp_path / "t")
+    source.mkdir()
+    for k in range(230):
+        (source / f"{k}.txt").write_text("x" * (k % 4 + 1))
+    read = lambda content, attempt: F.when(F.octet_length(content) % 4 < attempt, files.text_of(content))
+    flow.take_uploads(flows.file_stream(spark, str(source), bytes_per_batch=400), base, str(tmp_path / "check"), read)
+    ledger = flow.upload_ledger(spark, base)
+    assert ledger.state()["sources"]["files"] == 1 and ledger.read("attempts").count() == 230
+    assert flow.retry_uploads(spark, base, read) == 2
+    assert flow.upload_states(ledger).groupBy("status").count().collect() and ledger.read("texts").count() == 230 - 57
