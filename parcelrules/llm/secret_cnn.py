@@ -16,15 +16,17 @@ made of words and short numbers (``WORDY``: names of hosts, files, identifiers),
 in their place and rejoined by other signs. Any other run that no pattern touches
 is unlabelled: it is judged, but nothing is learnt from it.
 
-From the examples of all documents the ``SAMPLE`` of least hash of each sort
-(plain and masked secrets, clean runs) are taken (a documented bound); two thirds
-train, the rest calibrate, no value being in both: a logistic fit of the network's
+All distinct examples of all documents count (plain and masked secrets, clean runs);
+two thirds train, the rest calibrate, no value being in both: a logistic fit of the network's
 scores, then the highest threshold that keeps ``RECALL`` of the held-out masked
-secrets, 0.5 at least. With fewer than 10 plain secrets or 10 clean runs, or no
+secrets, 0.5 at least. Examples are dealt by hash to groups of about ``SHARE``. Each
+group trains the network for ``EPOCHS`` rounds in a task; then the groups' weights are
+averaged by their examples, and the next rounds start from these. Only weights go to
+the driver, and from calibration the scores' counts in bins. With fewer than 10 plain secrets or 10 clean runs, or no
 masked secret on either side, nothing is learnt and only base findings are reported.
 
 The texts are read once; findings and candidates are written to the shared
-folder, and both the sample and the scores come from there.
+folder, and both the examples and the scores come from there.
 
 Defined cases: a null or empty text has no findings; repeated rows give a row
 each; only doc_id and text are used, and ``redact`` keeps all other columns.
@@ -33,6 +35,7 @@ each; only doc_id and text are used, and ``redact`` keeps all other columns.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 
 import numpy as np
@@ -53,8 +56,10 @@ LEAST = 16
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
 FILTERS, WIDTH = 16, 5
-SAMPLE = 4000
+SHARE = 8192             # examples in a group
 ROUNDS, RATE, BATCH = 30, 0.01, 128
+EPOCHS = 3               # rounds between two means of the weights
+BINS = 4096              # a unit of the score
 RECALL = 0.98
 LEAST_PROBABILITY = 0.5
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % LEAST)
@@ -229,62 +234,144 @@ class Network:
                 g["fb"][k] += d.sum()
         return g
 
+    def start(self) -> dict:
+        """What training carries from round to round: weights, Adam's two means and the number of steps."""
+        zero = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        return {"w": self.weights, "m": zero, "v": {k: x.copy() for k, x in zero.items()}, "step": 0.0}
+
     def train(self, views: np.ndarray, labels: np.ndarray) -> None:
-        """Adam over mini-batches, in a fixed order."""
+        """All rounds over one group."""
+        self.weights = self.rounds(self.start(), views, labels, 0, ROUNDS)["w"]
+
+    @staticmethod
+    def rounds(state: dict, views: np.ndarray, labels: np.ndarray, begin: int, end: int) -> dict:
+        """Adam over mini-batches, in a fixed order, for the rounds from ``begin`` to ``end``."""
+        net = Network()
+        net.weights, m, v, step = (copied(state["w"]), copied(state["m"]), copied(state["v"]), state["step"])
         r = np.random.default_rng(11)
-        m = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        v = {k: np.zeros_like(x) for k, x in self.weights.items()}
-        step = 0
-        for _ in range(ROUNDS):
+        for turn in range(end):
             order = r.permutation(len(views))
+            if turn < begin:
+                continue
             for at in range(0, len(order), BATCH):
                 step += 1
                 pick = order[at:at + BATCH]
-                for k, g in self.gradients(views[pick], labels[pick]).items():
+                for k, g in net.gradients(views[pick], labels[pick]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.weights[k] -= RATE * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+                    net.weights[k] -= RATE * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
+        return {"w": net.weights, "m": m, "v": v, "step": step}
 
     def calibrate(self, views: np.ndarray, labels: np.ndarray) -> None:
-        """A logistic fit of the scores, and the highest threshold that keeps the recall."""
-        z = self.forward(views)["z"]
+        """The fit, and the highest threshold that keeps the recall, of one group."""
+        z = self.scores(views)
+        self.fit(z, labels, 1 - labels)
+        secrets = np.sort(z[labels == 1])
+        self.keep(secrets[int((1 - RECALL) * len(secrets))])
+
+    def keep(self, least: float) -> None:
+        """What scores ``least`` is reported, if it is a secret rather than not."""
+        self.threshold = max(float(self.likely(least)), LEAST_PROBABILITY)
+
+    def fit(self, z: np.ndarray, secrets: np.ndarray, clean: np.ndarray) -> None:
+        """A logistic fit of scores ``z``, each that of so many secrets and clean runs."""
+        n = secrets + clean
         for _ in range(200):
-            p = 1 / (1 + np.exp(-(self.slope * z + self.shift)))
-            w = p * (1 - p) + 1e-6
+            p = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -700, 700)))
+            w = n * (p * (1 - p) + 1e-6)
             h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-3]])
-            g = np.array([((p - labels) * z).sum(), (p - labels).sum()])
-            move = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
+            off = n * p - secrets
+            move = np.clip(np.linalg.solve(h, np.array([(off * z).sum(), off.sum()])), -0.5, 0.5)
             self.slope, self.shift = self.slope - move[0], self.shift - move[1]
-        kept = np.sort(self.probabilities(views)[labels == 1])
-        at = kept[min(len(kept) - 1, int((1 - RECALL) * len(kept)))]
-        self.threshold = max(float(at), LEAST_PROBABILITY)
 
-    def probabilities(self, views: np.ndarray) -> np.ndarray:
-        z = np.concatenate([self.forward(views[i:i + 1024])["z"] for i in range(0, len(views), 1024)]) if len(views) else np.zeros(0)
+    def likely(self, z):
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -60, 60)))
 
+    def scores(self, views: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.forward(views[i:i + 1024])["z"] for i in range(0, len(views), 1024)]) if len(views) else np.zeros(0)
+
+    def probabilities(self, views: np.ndarray) -> np.ndarray:
+        return self.likely(self.scores(views))
+
+
+def copied(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: x.copy() for k, x in arrays.items()}
+
+
+def mean_state(parts: list[tuple[int, dict]]) -> dict:
+    """The mean of the groups' states by their numbers of examples."""
+    total = sum(n for n, _ in parts)
+    if len(parts) == 1:
+        return parts[0][1]
+    mean = lambda pick: {k: sum(n / total * pick(s)[k] for n, s in parts) for k in pick(parts[0][1])}
+    return {p: mean(lambda s: s[p]) for p in ("w", "m", "v")} | {"step": sum(n / total * s["step"] for n, s in parts)}
+
 
 def as_views(cells: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), LENGTH)
 
 
-def fitted(shown: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """The network trained on at most ``sample`` examples of each sort; None without enough of them."""
-    rows = []
-    cells = shown.select(F.explode("shown").alias("a")).select("a.sort", "a.held", "a.view").distinct()
-    for sort in (PLAIN, MASKED, CLEAN):
-        rows += cells.where(F.col("sort") == sort).orderBy(F.xxhash64("view"), "view", "held").limit(sample).collect()
-    sorts, held = np.array([r["sort"] for r in rows], int), np.array([r["held"] for r in rows], bool)
-    labels = (sorts != CLEAN).astype(np.float64)
-    if (sorts == PLAIN).sum() < 10 or (sorts == CLEAN).sum() < 10 or any(
-            not ((sorts == k) & (held == h)).any() for k in (MASKED, CLEAN) for h in (False, True)):
-        return None
-    views = as_views([bytes(r["view"]) for r in rows])
+def dealt(cells: DataFrame, groups: int) -> DataFrame:
+    """The examples (sort, held, view) as a row per group: number, sorts, held and views, in a fixed order."""
+    cells = cells.select(F.pmod(F.xxhash64("view"), F.lit(groups)).alias("number"), F.struct("sort", F.xxhash64("view").alias("h"), "view", "held").alias("a"))
+    rows = cells.repartition(groups, "number").groupBy("number").agg(F.array_sort(F.collect_list("a")).alias("a"))
+    return rows.select("number", *[F.col(f"a.{n}").alias(n) for n in ("sort", "held", "view")])
+
+
+def trained(groups: DataFrame) -> Network:
+    """The network trained on all groups' examples that are not held back."""
     net = Network()
-    net.train(views[~held], labels[~held])
+    state = net.start()
+
+    def learn(begin: int, state: dict):
+        def run(batches):
+            for batch in batches:
+                for number, sorts, held, views in zip(*(batch.column(n).to_pylist() for n in ("number", "sort", "held", "view"))):
+                    own = ~np.array(held, bool)
+                    labels = (np.array(sorts)[own] != CLEAN).astype(np.float64)
+                    made = Network.rounds(state, as_views(views)[own], labels, begin, min(begin + EPOCHS, ROUNDS))
+                    yield pa.RecordBatch.from_pydict({"number": [number], "n": [int(own.sum())], "state": [pickle.dumps(made)]})
+
+        return run
+
+    for begin in range(0, ROUNDS, EPOCHS):
+        rows = groups.mapInArrow(learn(begin, state), "number long, n long, state binary").where("n > 0").collect()
+        state = mean_state([(r["n"], pickle.loads(r["state"])) for r in sorted(rows, key=lambda r: r["number"])])
+    net.weights = state["w"]
+    return net
+
+
+def fitted(shown: DataFrame, share: int = SHARE) -> Network | None:
+    """The network trained and calibrated on all examples, in groups of about ``share``; None without enough of them."""
+    cells = c.materialised(shown.select(F.explode("shown").alias("a")).select("a.sort", "a.held", "a.view").distinct(), "examples")
+    count = {(r["sort"], r["held"]): r["count"] for r in cells.groupBy("sort", "held").count().collect()}
+    of = lambda sort: count.get((sort, False), 0) + count.get((sort, True), 0)
+    if of(PLAIN) < 10 or of(CLEAN) < 10 or any((k, h) not in count for k in (MASKED, CLEAN) for h in (False, True)):
+        return None
+    learnt = sum(n for (_, held), n in count.items() if not held)
+    groups = c.materialised(dealt(cells, -(-learnt // share)), "example-groups")
+    net = trained(groups)
+
     # Plain secrets are found without the network, so they don't count for its recall.
-    judged = held & (sorts != PLAIN)
-    net.calibrate(views[judged], labels[judged])
+    def score(batches):
+        for batch in batches:
+            for sorts, held, views in zip(*(batch.column(n).to_pylist() for n in ("sort", "held", "view"))):
+                sorts = np.array(sorts)
+                judged = np.array(held, bool) & (sorts != PLAIN)
+                yield pa.RecordBatch.from_pydict({"z": net.scores(as_views(views)[judged]), "secret": sorts[judged] != CLEAN})
+
+    scores = c.materialised(groups.mapInArrow(score, "z double, secret boolean"), "scores", narrow=True)
+    at_bin = F.floor(F.col("z") * BINS)
+    bins = scores.groupBy(at_bin.alias("bin")).agg(F.avg("z").alias("z"), F.count_if("secret").alias("secrets"), F.count_if(~F.col("secret")).alias("clean"))
+    rows = sorted(bins.collect(), key=lambda r: r["bin"])
+    z, secrets, clean = (np.array([r[n] for r in rows], np.float64) for n in ("z", "secrets", "clean"))
+    net.fit(z, secrets, clean)
+    # The secret of that rank is in the first bin up to which there are more.
+    rank, below = int((1 - RECALL) * secrets.sum()), np.cumsum(secrets)
+    first = int(np.searchsorted(below, rank, "right"))
+    skip = rank - int(below[first - 1] if first else 0)
+    least = scores.where(F.col("secret") & (at_bin == rows[first]["bin"])).orderBy("z").offset(skip).limit(1).collect()[0]["z"]
+    net.keep(least)
     return net
 
 

@@ -333,3 +333,26 @@ def test_redaction(odd, odd_rows, none):
     assert out[16] == "the of and"
     assert secret_cnn.redact(odd).count() == len(odd_rows)
     assert secret_cnn.redact(none).count() == 0
+
+
+def test_every_example_counts_however_groups_are_cut(spark):
+    """No example is left out: a rare kind decides as soon as it is there, and groups share what they learn."""
+    rng = np.random.default_rng(9)
+    made = lambda signs, n: "".join(rng.choice(list(signs), n))
+    rows = []
+    for k in range(1500):
+        sort = (secret_cnn.PLAIN, secret_cnn.MASKED, secret_cnn.CLEAN)[k % 3]
+        value = made("abcdefghijklmnopqrst", 8) + "-name-" + str(k % 90) if sort == secret_cnn.CLEAN else made("0123456789ABCXYZabc", 30)
+        rows.append((sort, k % 7 < 2, secret_cnn.view(f"at {value} end", 3, 3 + len(value))))
+    shown = spark.createDataFrame([(rows[i::10],) for i in range(10)], f"shown {secret_cnn.SHOWN}")
+    judged = [r for r in rows if r[1] and r[0] != secret_cnn.PLAIN]
+    x, y = secret_cnn.as_views([r[2] for r in judged]), np.array([r[0] != secret_cnn.CLEAN for r in judged])
+    for share in (1 << 20, 200):
+        net = secret_cnn.fitted(shown, share)
+        secrets = np.sort(net.probabilities(x)[y])
+        least = secrets[int((1 - secret_cnn.RECALL) * len(secrets))]
+        assert net.threshold == pytest.approx(max(least, secret_cnn.LEAST_PROBABILITY), abs=1e-5)
+        assert ((net.probabilities(x) >= net.threshold) == y).mean() > 0.95
+    cells = shown.select(secret_cnn.F.explode("shown").alias("a")).select("a.*").distinct()
+    dealt = secret_cnn.dealt(cells, 7).collect()
+    assert len(dealt) == 7 and sum(len(r["sort"]) for r in dealt) == len(set(rows))
